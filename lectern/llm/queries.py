@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, chat, sharding, substring
+from lectern.llm import bpe, chat, sharding, substring, suffixes
 from lectern.llm.common import table
 
 
@@ -17,6 +17,10 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.drop_repeats(table(spark, sf_dir, "documents"), output="kept_sha256")
+
+
 def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.drop_repeats(table(spark, sf_dir, "documents"), output="kept_sha256")
 
@@ -37,6 +41,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffixes": op1_suffixes,
     "op3_substring": op3_substring,
     "op5_bpe": op5_bpe,
     "op7_chat": op7_chat,
