@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, chat, sharding, substring, suffixes
-from lectern.llm.common import table
+from lectern.llm import bpe, chat, language, sharding, substring, suffixes
+from lectern.llm.common import crc32_text, table
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -21,6 +21,13 @@ def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.drop_repeats(table(spark, sf_dir, "documents"), output="kept_sha256")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.pmod(crc32_text("doc_id"), F.lit(4)) == 2, F.lit(False))
+    model = language.train(docs, ~held_out)
+    return language.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.drop_repeats(table(spark, sf_dir, "documents"), output="kept_sha256")
 
@@ -42,6 +49,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffixes": op1_suffixes,
+    "op2_language": op2_language,
     "op3_substring": op3_substring,
     "op5_bpe": op5_bpe,
     "op7_chat": op7_chat,
