@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, chat, language, sharding, substring, suffixes
+from lectern.llm import bpe, chat, language, pii, sharding, substring, suffixes
 from lectern.llm.common import crc32_text, table
 
 
@@ -43,6 +43,19 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_conversations(chat.format_turns(rows.unionByName(extra)))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+
+    def joined(spans: str):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), F.concat_ws(",", F.nullif(joined("base"), F.lit("")), F.nullif(joined("added"), F.lit(""))).alias("spans"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -53,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring": op3_substring,
     "op5_bpe": op5_bpe,
     "op7_chat": op7_chat,
+    "op8_pii": op8_pii,
     "op9_sharding": op9_sharding,
 }
 
