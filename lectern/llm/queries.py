@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, chat, language, pii, sharding, substring, suffixes
+from lectern.llm import bpe, chat, language, pii, sharding, simhash, substring, suffixes
 from lectern.llm.common import crc32_text, table
 
 
@@ -32,6 +32,10 @@ def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.drop_repeats(table(spark, sf_dir, "documents"), output="kept_sha256")
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary(), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffixes": op1_suffixes,
     "op2_language": op2_language,
     "op3_substring": op3_substring,
+    "op4_simhash": op4_simhash,
     "op5_bpe": op5_bpe,
     "op7_chat": op7_chat,
     "op8_pii": op8_pii,
