@@ -1,10 +1,94 @@
-"""Corpus pipeline: each stage works on what the one before kept, written as Parquet and read again."""
+"""Corpus pipeline: language, near duplicates, benchmark decontamination, personal data, encoding.
+
+Each stage takes (spark, docs, sf_dir), works on all that the stage before kept, and returns the columns of
+``documents``; the last returns digests of the encoded texts.  Stages are written and read again one by one.
+
+Rows without doc_id cannot be named by the decisions of the second and third stage and pass them; every other
+stage treats them like all rows.  Null texts have no letter and go in the first stage.  An empty table passes
+all stages as an empty table.  Other columns than those of ``documents`` are dropped.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from lectern.llm import bpe, decontaminate, language, pii, simhash
+from lectern.llm.common import cut, pick, table
+from lectern.llm.queries import vocabulary
+
+COLUMNS = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
+
+
+def columns(docs: DataFrame) -> DataFrame:
+    return pick(docs, **{name: (name, kind) for name, kind in COLUMNS.items()})
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learns from the labelled rows of its input; texts that the model rejects go."""
+    docs = columns(docs)
+    model = language.train(docs)
+    return language.identify(docs, model, keep=True).filter(~F.col("rejected")).select(*COLUMNS)
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document of the smallest doc_id stays; an id that occurs again stays once."""
+    docs = columns(docs)
+    kept = simhash.near_duplicates(docs).filter("component_id is not null").select(F.col("component_id").alias("doc_id")).distinct()
+    first = Window.partitionBy("doc_id").orderBy(*(c for c in COLUMNS if c != "doc_id"))
+    named = docs.join(kept, "doc_id", "left_semi").withColumn("_n", F.row_number().over(first)).filter("_n = 1")
+    return named.select(*COLUMNS).unionByName(docs.filter("doc_id is null"))
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    docs = columns(docs)
+    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data are marked by kind, revealing terms generalised or removed; n_chars counts the new text."""
+    docs = columns(docs)
+    spans = pii.find_pii(docs).filter("size(base) + size(added) > 0").select("key", "crc", F.concat("base", "added").alias("spans")).dropDuplicates(["key", "crc"])
+    both = docs.withColumn("_key", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("_crc", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
+    joined = both.join(spans, (F.col("_key") == F.col("key")) & (F.col("_crc") == F.col("crc")), "left").select(*COLUMNS, "spans")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for n in range(batch.num_rows):
+                if (spans := batch.column(5)[n]).is_valid and texts[n] is not None:
+                    texts[n] = pii.sanitise(texts[n], spans.as_py())
+            counts = [None if t is None else len(t) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), batch.column(2), batch.column(3), pa.array(counts, pa.int64())], list(COLUMNS))
+
+    return joined.mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind in COLUMNS.items()))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and of the text decoded from them."""
+    return bpe.encode_documents(columns(docs), vocabulary(), ("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+STAGES = [
+    ("language", known_language),
+    ("near_duplicates", without_near_duplicates),
+    ("decontamination", without_benchmark),
+    ("personal_data", without_personal_data),
+    ("encoding", encoded),
+]
+
+#: Training, components and merges are beyond SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
