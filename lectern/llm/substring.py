@@ -97,9 +97,10 @@ def mark_windows(rows: DataFrame, size: int) -> DataFrame:
             # the same row given twice is one place, and no earlier one
             first = np.maximum.accumulate(np.where(later, 0, np.arange(len(order))))
             known = (key != key[first]) | (place != place[first])
-            # what is known needs no meeting and is dealt out by its place instead of its window
-            dealt = np.where(known, mix((key ^ place * 31).view(np.uint64)).view(np.int64), both[:, 0])
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (dealt, both[:, 1], key, place, known)], schema=MARKS)
+            # what is known needs no meeting and is dealt out by its document instead of its window
+            both[known, 0] = mix(key[known].view(np.uint64)).view(np.int64)
+            both[known, 1] = 0
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (both[:, 0], both[:, 1], key, place, known)], schema=MARKS)
 
     def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried = None
