@@ -1,0 +1,15 @@
+"""Checkpoints in the folder that the cluster names."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "lectern-graph"))
+    return df.checkpoint(eager=True)

@@ -49,7 +49,7 @@ def clean(s: str) -> str:
 
 
 def without_comments(s: str) -> str:
-    return re.sub(r"(?<!\\)%[^\n]*\n?", lambda m: "\n" if m[0].endswith("\n") and m.string[m.start() - 1 : m.start()] in ("", "\n") else "", s)
+    return re.sub(r"(?<!\\)%[^\n]*", "", re.sub(r"(?m)^[ \t]*%[^\n]*\n", "", s))
 
 
 def tabular_rows(body: str) -> list[list[str]]:
