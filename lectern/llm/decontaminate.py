@@ -4,11 +4,15 @@ A document is contaminated by a benchmark item if a window of as many words as t
 shingle similarity of THRESHOLD or more with it: shingles of five words (an item of fewer words is one
 shingle), weighted by how often they occur, sum of minima over sum of maxima.
 
-1. Windows without a shingle of any item have similarity 0.  So shingle hashes of all documents are looked
-   up among the items' shingles, and each hit gives the window that lays document over item at that shingle.
-2. These windows get a SimHash fingerprint.  Windows and items of one size meet by multi-index blocks: the
+1. Windows without a shingle of any item have similarity 0.  More than that, a window of similarity t misses
+   at most 1 - t of an item's shingles, so it has one of any larger share of them.  Each item's shingles with
+   the longest first words, just more than 1 - t of them, are its *probes*.  All documents are searched for
+   probes, which only costs a lookup for most words, and only documents with one go on.
+2. In these, shingles are looked up among the items' shingles, and each hit gives the window that lays
+   document over item at that shingle.
+3. These windows get a SimHash fingerprint.  Windows and items of one size meet by multi-index blocks: the
    64 bits are cut into RADIUS + 1 blocks, and fingerprints within RADIUS bits agree in one block at least.
-3. Pairs within RADIUS are verified by their exact similarity.
+4. Pairs within RADIUS are verified by their exact similarity.
 
 Items are held against all documents, so they are the small side: they are broadcast if their shingles were
 counted and are few, and shuffled otherwise.
@@ -25,6 +29,8 @@ from lectern.llm.substring import NO_ID
 SHINGLE, THRESHOLD, RADIUS = 5, 0.8, 19
 #: Shingles of all items up to which they are broadcast.
 BROADCAST = 500_000
+#: First words of probes up to which they are a set in the plan; beyond, all shingles are looked up.
+LITERALS = 20_000
 
 
 def words_of(text: str | Column) -> Column:
@@ -69,7 +75,41 @@ def items_of(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
         own = F.col("n") >= SHINGLE if k == SHINGLE else F.col("n") == k
         part = shingled(rows, k).filter(own).withColumn("k", F.lit(k))
         out = part if out is None else out.unionByName(part)
-    return out.select("item_id", "code", "k", "n", "shingles", simhash("shingles").alias("fp"))
+    led = F.zip_with(F.slice(words_of("text"), 1, F.size("shingles")), "shingles", lambda w, h: F.struct((-F.length(w)).alias("rank"), w.alias("word"), h.alias("shingle")))
+    enough = (F.floor(F.size("shingles") * (1 - THRESHOLD) + 1e-9) + 1).cast("int")
+    return out.select("item_id", "code", "k", "n", "shingles", simhash("shingles").alias("fp"), F.slice(F.array_sort(led), F.lit(1), enough).alias("probes"))
+
+
+def shingle_at(words: Column, i: Column, k: int) -> Column:
+    """The hash that ``shingled`` gives to the k words from place i on."""
+    h = [F.xxhash64(F.get(words, i + j)) for j in range(k)]
+    if k == 1:
+        return h[0]
+    out = F.xxhash64(h[0], h[1])
+    if k == 3:
+        return F.xxhash64(out, h[2])
+    if k >= 4:
+        out = F.xxhash64(out, F.xxhash64(h[2], h[3]))
+    return F.xxhash64(out, h[4]) if k == 5 else out
+
+
+def with_probe(rows: DataFrame, items: DataFrame, kinds: list[int], near) -> DataFrame:
+    """Rows of the documents in which a probe of some item occurs."""
+    probes = items.select("k", F.explode("probes").alias("p")).select("k", "p.word", "p.shingle").distinct()
+    words = [r[0] for r in probes.select("word").distinct().limit(LITERALS + 1).collect()]
+    if len(words) > LITERALS:
+        return rows
+    split = rows.withColumn("words", words_of("text"))
+    places = F.filter(F.transform("words", lambda w, i: F.when(w.isin(words), i)), lambda i: i.isNotNull())
+    placed = split.select("key", "crc", "words", places.alias("places")).filter(F.size("places") > 0)
+    hits = [_hits(k) for k in kinds]
+    found = placed.select("key", "crc", F.explode(F.array_distinct(F.concat(*hits))).alias("x")).select("key", "crc", "x.k", "x.shingle")
+    held = found.join(near(probes.select("k", "shingle").distinct()), ["k", "shingle"], "left_semi").select("key", "crc").distinct()
+    return cut(rows.join(held, ["key", "crc"], "left_semi"))
+
+
+def _hits(k: int) -> Column:
+    return F.transform("places", lambda i: F.struct(F.lit(k).alias("k"), shingle_at(F.col("words"), i, k).alias("shingle")))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -86,6 +126,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     near = F.broadcast if small else (lambda x: x)
     rows = pick(docs, doc_id=(id_col, "long"), text=(text_col, "string")).filter("text is not null")
     keyed = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), crc32_text("text").alias("crc"), "text")
+    keyed = with_probe(keyed, items, sorted(kinds), near) if kinds else keyed
     found = None
     for k in sorted(kinds):
         mine = items.filter(F.col("k") == k)
