@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -72,21 +73,28 @@ def parse_literal(term: str | Column) -> Column:
 # text
 
 
-@pandas_udf("string")
-def ascii_fold(text: pd.Series) -> pd.Series:
-    """Compatibility decomposition without combining marks."""
-    marks = [(0x300, 0x36F), (0x1AB0, 0x1AFF), (0x1DC0, 0x1DFF), (0x20D0, 0x20FF), (0xFE20, 0xFE2F)]
-    drop = {c: None for a, b in marks for c in range(a, b + 1)}
-    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKD", t).translate(drop))
+#: Blocks of combining marks.
+MARKS = [(0x300, 0x36F), (0x1AB0, 0x1AFF), (0x1DC0, 0x1DFF), (0x20D0, 0x20FF), (0xFE20, 0xFE2F)]
+
+
+def _by_text(f: Callable[[str], str], text: str | Column) -> Column:
+    """``f`` over all texts but ASCII ones; the function is made on use, for workers import this module too."""
 
+    def run(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda t: t if t is None or t.isascii() else f(t))
 
-@pandas_udf("string")
-def _nfc(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+    return pandas_udf(run, "string")(col(text))
+
+
+def ascii_fold(text: str | Column) -> Column:
+    """Compatibility decomposition without combining marks."""
+    drop = {c: None for a, b in MARKS for c in range(a, b + 1)}
+    return _by_text(lambda t: unicodedata.normalize("NFKD", t).translate(drop), text)
 
 
 def normalize_text(text: str | Column) -> Column:
-    return F.trim(F.regexp_replace(_nfc(col(text)), r"\s+", " "))
+    """Composed form, runs of white space as one space."""
+    return F.trim(F.regexp_replace(_by_text(lambda t: unicodedata.normalize("NFC", t), text), r"\s+", " "))
 
 
 def estimate_tokens(text: str | Column, chars_per_token: float = 4.0) -> Column:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+from functools import cmp_to_key
+from itertools import groupby
 
-
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 
@@ -71,61 +75,80 @@ def font_runs(words: DataFrame, body: float | None = None) -> DataFrame:
     return out.filter(F.col("font_size") > F.col("_body") * 1.15).withColumn("level", font_heading_level("font_size", "_body")).drop("_body")
 
 
+def folded(df: DataFrame, by: list[str], order: list[str], fold: Callable[[list[dict]], Iterable[dict]], schema: str) -> DataFrame:
+    """What ``fold`` makes of the rows of each group, in order.
+
+    Groups stream by in a sorted partition and one is held at a time; a group is a page, whose size does not grow
+    with the corpus.
+    """
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[dict] = []
+        rows = (r for batch in batches for r in batch.to_pylist())
+        for _, group in groupby(rows, key=lambda r: tuple(r[k] for k in by)):
+            done += fold(list(group))
+            if len(done) >= 4096:
+                yield pa.RecordBatch.from_pylist(done, arrow)
+                done = []
+        yield pa.RecordBatch.from_pylist(done, arrow)
+
+    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
+
+
 def words_to_lines(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
     """(doc, page, line, text, left, top, right, bottom): a line is anchored at its first word's centre."""
 
-    def lines(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.assign(y=(page["top"] + page["bottom"]) / 2).sort_values(["y", "left"], kind="stable")
-        ids, anchor, n = [], None, -1
-        for y in page["y"]:
-            if anchor is None or abs(y - anchor) > tolerance:
-                anchor, n = y, n + 1
-            ids.append(n)
-        page = page.assign(line=ids).sort_values(["line", "left"], kind="stable")
-        out = page.groupby("line").agg(text=("text", " ".join), left=("left", "min"), top=("top", "min"), right=("right", "max"), bottom=("bottom", "max")).reset_index()
-        return out.assign(doc=page["doc"].iloc[0], page=page["page"].iloc[0])[["doc", "page", "line", "text", "left", "top", "right", "bottom"]]
+    def lines(page: list[dict]) -> Iterator[dict]:
+        found: list[tuple[float, list[dict]]] = []
+        for word in page:
+            y = (word["top"] + word["bottom"]) / 2
+            if not found or abs(y - found[-1][0]) > tolerance:
+                found.append((y, []))
+            found[-1][1].append(word)
+        for n, (_, line) in enumerate(found):
+            line.sort(key=lambda w: w["left"])
+            yield {"doc": line[0]["doc"], "page": line[0]["page"], "line": n, "text": " ".join(w["text"] for w in line), "left": line[0]["left"], "top": min(w["top"] for w in line), "right": max(w["right"] for w in line), "bottom": max(w["bottom"] for w in line)}
 
-    return words.groupBy("doc", "page").applyInPandas(lines, "doc string, page int, line long, text string, left double, top double, right double, bottom double")
+    centred = words.select("doc", "page", "text", "left", "top", "right", "bottom", ((F.col("top") + F.col("bottom")) / 2).alias("y"))
+    return folded(centred, ["doc", "page"], ["y", "left"], lines, "doc string, page int, line long, text string, left double, top double, right double, bottom double")
 
 
 def suppress(regions: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Non-maximum suppression per page: the most confident region drops those that overlap it beyond the threshold."""
 
-    def keep(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["confidence", "left", "top"], ascending=[False, True, True], kind="stable")
-        chosen: list = []
-        for r in page.itertuples():
-            def over(s, r=r) -> float:
-                w, h = min(r.right, s.right) - max(r.left, s.left), min(r.bottom, s.bottom) - max(r.top, s.top)
-                inner = max(w, 0) * max(h, 0)
-                union = (r.right - r.left) * (r.bottom - r.top) + (s.right - s.left) * (s.bottom - s.top) - inner
-                return inner / union if union > 0 else 0
-
-            if all(over(s) <= threshold for s in chosen):
+    def overlap(r: dict, s: dict) -> float:
+        w, h = min(r["right"], s["right"]) - max(r["left"], s["left"]), min(r["bottom"], s["bottom"]) - max(r["top"], s["top"])
+        inner = max(w, 0) * max(h, 0)
+        union = (r["right"] - r["left"]) * (r["bottom"] - r["top"]) + (s["right"] - s["left"]) * (s["bottom"] - s["top"]) - inner
+        return inner / union if union > 0 else 0
+
+    def keep(page: list[dict]) -> list[dict]:
+        chosen: list[dict] = []
+        for r in page:
+            if all(overlap(r, s) <= threshold for s in chosen):
                 chosen.append(r)
-        return page.loc[[r.Index for r in chosen]]
+        return chosen
 
-    return regions.groupBy("doc", "page").applyInPandas(keep, regions.schema)
+    ranked = regions.withColumn("_rank", -F.col("confidence"))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in regions.schema.fields)
+    return folded(ranked, ["doc", "page"], ["_rank", "left", "top"], keep, fields)
 
 
 def band_order(regions: DataFrame, share: float = 0.2) -> DataFrame:
     """Reading order in bands: middles closer than ``share`` of the average height are read from left to right."""
-    from functools import cmp_to_key
 
-    def order(page: pd.DataFrame) -> pd.DataFrame:
-        height = (page["bottom"] - page["top"]).mean()
-        rows = page.to_dict("records")
+    def order(page: list[dict]) -> list[dict]:
+        near = share * sum(r["bottom"] - r["top"] for r in page) / len(page)
 
-        def compare(a: dict, b: dict) -> int:
+        def compare(a: dict, b: dict) -> float:
             gap = (a["top"] + a["bottom"] - b["top"] - b["bottom"]) / 2
-            d = a["left"] - b["left"] if abs(gap) < share * height else gap
-            return (d > 0) - (d < 0)
+            return a["left"] - b["left"] if abs(gap) < near else gap
 
-        ranked = sorted(rows, key=cmp_to_key(compare))
-        return pd.DataFrame([r | {"ord": k} for k, r in enumerate(ranked)])
+        return [r | {"ord": k} for k, r in enumerate(sorted(page, key=cmp_to_key(compare)))]
 
-    names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in regions.schema.fields if f.name != "ord")
-    return regions.drop("ord").groupBy("doc", "page").applyInPandas(order, f"{names}, ord long")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in regions.schema.fields if f.name != "ord")
+    return folded(regions.drop("ord"), ["doc", "page"], ["top", "left"], order, f"{fields}, ord long")
 
 
 def section_text(elements: DataFrame, heading: Column) -> DataFrame:
@@ -137,5 +160,3 @@ def section_text(elements: DataFrame, heading: Column) -> DataFrame:
     ends = F.coalesce(*(F.when(F.col("level") == k, F.coalesce(F.col(f"_n{k}"), F.lit(1 << 60))) for k in range(1, 7)))
     heads = marked.filter(heading & (F.col("cls") == "SectionHeader")).select("doc", F.col("el").alias("heading"), F.col("ord").alias("_from"), ends.alias("_to"))
     return elements.join(heads, "doc").filter((F.col("ord") > F.col("_from")) & (F.col("ord") < F.col("_to"))).drop("_from", "_to")
-
-

@@ -95,8 +95,8 @@ def detect_format_pages(spark, d):
 
 
 CSV_ORACLE = """
-with l as (select doc_id, list_filter(list_slice(string_split(text, chr(10)), 1, 10), x -> trim(regexp_replace(x, '\\s', '', 'g')) <> '') as ls from documents),
-c as (select doc_id, len(ls) as n, list_distinct(list_transform(ls, x -> length(x) - length(replace(x, ',', '')))) as a, list_distinct(list_transform(ls, x -> length(x) - length(replace(x, chr(9), '')))) as b from l)
+with l as (select doc_id, [x for x in list_slice(string_split(text, chr(10)), 1, 10) if trim(regexp_replace(x, '\\s', '', 'g')) <> ''] as ls from documents),
+c as (select doc_id, len(ls) as n, list_distinct([length(x) - length(replace(x, ',', '')) for x in ls]) as a, list_distinct([length(x) - length(replace(x, chr(9), '')) for x in ls]) as b from l)
 select doc_id, n >= 2 and ((len(a) = 1 and a[1] > 0) or (len(b) = 1 and b[1] > 0)) as csv_like from c
 """
 
@@ -174,7 +174,7 @@ def heading_all_caps(spark, d):
     return lines(spark, d).filter(T.is_all_caps("line") & (F.octet_length("line") < 80)).select("doc_id", "pos", F.col("line").alias("text"))
 
 
-@register(f"select doc_id, pos::bigint as pos, line as text from ({LINES}) where octet_length(encode(line)) < 60 and not regexp_matches(line, '[.,;:]$') and regexp_matches(line, '^\\p{{Lu}}') and len(list_filter(regexp_split_to_array(line, '\\s+'), x -> x <> '')) <= 8")
+@register(f"select doc_id, pos::bigint as pos, line as text from ({LINES}) where octet_length(encode(line)) < 60 and not regexp_matches(line, '[.,;:]$') and regexp_matches(line, '^\\p{{Lu}}') and len([x for x in regexp_split_to_array(line, '\\s+') if x <> '']) <= 8")
 def heading_short_line(spark, d):
     return lines(spark, d).filter(T.is_short_heading("line", F.lit(3))).select("doc_id", "pos", F.col("line").alias("text"))
 
@@ -369,7 +369,7 @@ def region_frames(spark, d) -> DocFrames:
     return convert(body.select(F.lit("region.csv").alias("name"), F.encode(F.concat(F.lit("r_regionkey,r_name\n"), "x"), "UTF-8").alias("content")))
 
 
-@register(f"with c as (select row, col, text, greatest(3, max(length(text)) over (partition by col)) as w from ({REGION_CELLS})), r as (select row, '| ' || string_agg(rpad(text, w, ' '), ' | ' order by col) || ' |' as line, '| ' || string_agg(repeat('-', w), ' | ' order by col) || ' |' as rule from c group by row) select string_agg(case when row = 0 then line || chr(10) || rule else line end, chr(10) order by row) || chr(10) as text from r")
+@register(f"with c as (select row, col, text, greatest(3, max(length(text)) over (partition by col)) as w from ({REGION_CELLS})), r as (select row, '| ' || string_agg(rpad(text, w::int, ' '), ' | ' order by col) || ' |' as line, '| ' || string_agg(repeat('-', w::int), ' | ' order by col) || ' |' as rule from c group by row) select string_agg(case when row = 0 then line || chr(10) || rule else line end, chr(10) order by row) || chr(10) as text from r")
 def table_markdown(spark, d):
     return export.markdown(region_frames(spark, d)).select("text")
 

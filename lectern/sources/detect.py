@@ -20,6 +20,9 @@ MIMES = {
     "latex": "application/x-latex application/x-tex text/x-tex", "image": "image/png image/jpeg image/gif image/bmp image/tiff image/webp", "webvtt": "text/vtt", "asciidoc": "text/asciidoc text/x-asciidoc", "xml": "application/xml text/xml", "json": "application/json", "text": "text/plain", "epub": "application/epub+zip", "rtf": "application/rtf text/rtf", "xbrl": "application/xbrl+xml",
 }
 
+#: Bytes that are looked at.
+HEAD = 8192
+
 
 def _mapped(key: Column, table: dict[str, str]) -> Column:
     pairs = [F.lit(x) for kind, keys in table.items() for k in keys.split() for x in (k, kind)]
@@ -36,8 +39,7 @@ def by_mime(mime: str | Column) -> Column:
     return _mapped(F.lower(F.trim(F.substring_index(m, ";", 1))), MIMES)
 
 
-@pandas_udf("string")
-def zip_kind(content: pd.Series) -> pd.Series:
+def zip_kind(content: Column) -> Column:
     """Office kind of an archive by its entries."""
 
     def one(data: bytes) -> str | None:
@@ -50,7 +52,10 @@ def zip_kind(content: pd.Series) -> pd.Series:
                 return kind
         return None
 
-    return content.map(one)
+    def run(batch: pd.Series) -> pd.Series:
+        return batch.map(one)
+
+    return pandas_udf(run, "string")(content)
 
 
 def by_magic(content: str) -> Column:
@@ -90,10 +95,10 @@ def by_text(text: Column) -> Column:
 
 
 def by_content(content: str) -> Column:
-    """First 8 KiB: magic numbers, archives, then text if it is UTF-8."""
-    head = F.substring(content, 1, 8192)
-    # a cut may fall inside a character
-    text = F.try_validate_utf8(F.decode(head, "UTF-8"))
+    """First HEAD bytes: magic numbers, archives, then text if it is UTF-8."""
+    # a cut may fall inside a character, of which 3 bytes at most are left
+    heads = [F.substring(content, 1, HEAD - k).cast("string") for k in range(4)]
+    text = F.coalesce(F.try_validate_utf8(heads[0]), F.when(F.length(content) > HEAD, F.coalesce(*map(F.try_validate_utf8, heads[1:]))))
     zipped = F.hex(F.substring(content, 1, 4)) == "504B0304"
     return F.coalesce(by_magic(content), F.when(zipped, zip_kind(F.when(zipped, F.col(content)))), F.when(~zipped, by_text(text)))
 
