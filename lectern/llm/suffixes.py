@@ -198,7 +198,7 @@ def find_repeats(rows: DataFrame, length: int) -> DataFrame:
             out = []
             all_runs = [(run, x) for b in held for run, x in b.items()]
             data = np.frombuffer(b"".join(run for run, _ in all_runs), np.uint8)
-            lengths = np.array([len(run) for run, _ in all_runs])
+            lengths = np.array([len(run) for run, _ in all_runs], dtype=np.int64)
             ends = np.cumsum(lengths)
             room = np.repeat(ends, lengths) - np.arange(len(data))
             found = classes(data, room, length)
