@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import pick
+from lectern.llm.common import pick, position
 
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
@@ -168,24 +168,20 @@ def identify(docs: DataFrame, model: Model | None, keep: bool = False, id_col: s
     was nothing to learn from.  Whole texts are read, whatever their length; repeated rows get equal results;
     an empty table gives an empty result.
     """
-    if keep:
-        rows = docs.withColumn("_text", pick_text(docs, text_col))
-        fields = [*docs.columns, "_text"]
-    else:
-        rows, fields = pick(docs, doc_id=(id_col, "long"), _text=(text_col, "string")), ["doc_id", "_text"]
+    # by position, for names may clash
+    given = docs.toDF(*(f"_p{i}" for i in range(len(docs.columns))))
+    passed = given.columns if keep else [f"_p{position(docs, id_col)}"]
+    names = docs.columns if keep else ["doc_id"]
+    rows = given.select(*(F.col(c) if keep else F.col(c).cast("long") for c in passed), F.col(f"_p{position(docs, text_col)}").cast("string").alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = Scores(shared.value) if shared.value else None
         for batch in batches:
-            found = [scores.score(t) if scores is not None else (UNKNOWN, 0.0) for t in batch.column(len(fields) - 1).to_pylist()]
+            found = [scores.score(t) if scores is not None else (UNKNOWN, 0.0) for t in batch.column(len(passed)).to_pylist()]
             limit = shared.value.threshold if shared.value else 1.0
-            columns = [batch.column(i) for i in range(len(fields) - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[0] == UNKNOWN or x[1] < limit for x in found], pa.bool_())], [*fields[:-1], "lang_pred", "score", "rejected"])
+            columns = [batch.column(i) for i in range(len(passed))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[0] == UNKNOWN or x[1] < limit for x in found], pa.bool_())], [*passed, "lang_pred", "score", "rejected"])
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    return rows.mapInArrow(run, ", ".join([*kinds, "lang_pred string", "score double", "rejected boolean"]))
-
-
-def pick_text(docs: DataFrame, text_col: str) -> Column:
-    return docs[text_col].cast("string")
+    return rows.mapInArrow(run, ", ".join([*kinds, "lang_pred string", "score double", "rejected boolean"])).toDF(*names, "lang_pred", "score", "rejected")
