@@ -49,7 +49,9 @@ def pages(spark: SparkSession, d: str) -> DocFrames:
     return convert(page_sources(spark, d))
 
 
-PAGE_ID = F.regexp_extract("file_name", r"(\d+)", 1).cast("long").alias("page_id")
+def page_id():
+    """Made on use: the catalog is read without a session too."""
+    return F.regexp_extract("file_name", r"(\d+)", 1).cast("long").alias("page_id")
 
 
 @register()
@@ -64,7 +66,7 @@ def html_headings(spark, d):
 @register("select page_id, nullif(regexp_extract(html, '<html lang=\"([^\"]*)\"', 1), '') as language, octet_length(encode(html))::bigint as file_size, sha256(html) as document_hash from pages")
 def html_title_lang(spark, d):
     docs = pages(spark, d).docs
-    return docs.select(PAGE_ID, "language", "file_size", "document_hash")
+    return docs.select(page_id(), "language", "file_size", "document_hash")
 
 
 @register("select page_id, len(regexp_extract_all(html, '<li>'))::bigint as n_items, len(regexp_extract_all(html, '<a href='))::bigint as n_links, len(regexp_extract_all(html, '<h1>'))::bigint as n_headings from pages")
@@ -73,7 +75,7 @@ def html_element_counts(spark, d):
     n = lambda c: F.count_if(F.col("cls") == c)
     counts = f.elements.groupBy("doc").agg(n("ListItem").alias("n_items"), n("Hyperlink").alias("n_links"), n("SectionHeader").alias("n_headings"))
     # parsed rows and their document rows come from one scan each; equal pages share a document
-    return f.docs.select("doc", PAGE_ID).join(counts.withColumn("_copies", F.lit(1)), "doc", "left").select("page_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_items", "n_links", "n_headings")))
+    return f.docs.select("doc", page_id()).join(counts.withColumn("_copies", F.lit(1)), "doc", "left").select("page_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_items", "n_links", "n_headings")))
 
 
 @register("select page_id, t.i - 1 as pos, regexp_extract(t.x, 'href=\"([^\"]*)\"', 1) as link_target from (select page_id, unnest(regexp_extract_all(html, '<a href=\"[^\"]*\"')) as x, generate_subscripts(regexp_extract_all(html, '<a href=\"[^\"]*\"'), 1) as i from pages) t")
@@ -82,7 +84,7 @@ def html_links(spark, d):
     links = f.elements.filter("cls = 'Hyperlink'")
     w = Window.partitionBy("doc").orderBy("ord")
     numbered = links.withColumn("pos", (F.row_number().over(w) - 1).cast("long")).select("doc", "pos", "link_target")
-    return f.docs.select("doc", PAGE_ID).join(numbered, "doc").select("page_id", "pos", "link_target")
+    return f.docs.select("doc", page_id()).join(numbered, "doc").select("page_id", "pos", "link_target")
 
 
 # sources: detection
