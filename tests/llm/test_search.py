@@ -133,6 +133,8 @@ def brute_leaks(docs, items):
                 continue
             k = min(5, len(theirs))
             cut = lambda w, k=k: [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
+            if not set(cut(words)) & set(cut(theirs)):
+                continue
             for s in range(max(1, len(words) - len(theirs) + 1)):
                 window = cut(words[s : s + len(theirs)])
                 if window and (x := brute_similarity(window, cut(theirs))) >= 0.8 and x > out.get((key, item), (0,))[0]:
