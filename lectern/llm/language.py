@@ -90,7 +90,10 @@ class Scores(dict):
 
 
 def sampled(labelled: DataFrame, size: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """(lang, buckets, their shares) of about ``size`` rows picked by a hash of their text; whole texts are read."""
+    """(lang, buckets, their shares) of about ``size`` different rows picked by a hash of their text; whole texts are read.
+
+    Copies of a picked text count once, so a large group of copies cannot fill the sample.
+    """
     total = labelled.count()
     share = min(1.0, size / max(total, 1))
     chosen = labelled.filter(F.pmod(F.xxhash64(F.lit("sample"), "text"), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else labelled
@@ -105,7 +108,7 @@ def sampled(labelled: DataFrame, size: int) -> list[tuple[str, np.ndarray, np.nd
                     langs.append(lang), ids.append(b), shares.append((n / n.sum()).astype(np.float32))
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(ids, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))], ["lang", "ids", "shares"])
 
-    rows = chosen.mapInArrow(features, "lang string, ids array<int>, shares array<float>").limit(2 * size).toArrow()
+    rows = chosen.distinct().mapInArrow(features, "lang string, ids array<int>, shares array<float>").limit(2 * size).toArrow()
     out = [(a, np.asarray(b.values), np.asarray(c.values)) for a, b, c in zip(rows.column(0).to_pylist(), rows.column(1), rows.column(2), strict=True)]
     return sorted(out, key=lambda x: (crc32(x[1].tobytes() + x[2].tobytes()), x[0]))
 

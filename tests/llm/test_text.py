@@ -144,6 +144,17 @@ def test_language_edges(spark):
     assert language.identify(docs.limit(0), model).count() == 0
 
 
+def test_language_learns_beside_many_copies(spark):
+    rng = random.Random(4)
+    rows = [(k, " ".join(rng.sample(t.split(), 5)), lang) for k in range(400) for lang, t in SPOKEN.items()]
+    rows += [(k, "copied words of one text", "aa") for k in range(1200)]
+    docs = table(spark, [(i, t) for i, t, _ in rows], [x for _, _, x in rows])
+    sample = language.sampled(docs.toDF(*(f"{c}_{k}" for k, c in enumerate(docs.columns))).selectExpr("lang_7 as lang", "text_0 as text"), 200)
+    assert 50 < len(sample) < 400 and len({(lang, ids.tobytes()) for lang, ids, _ in sample}) > 0.9 * len(sample)
+    got = language.identify(docs, language.train(docs, size=200)).collect()
+    assert np.mean([r["lang_pred"] == rows[k][2] for k, r in enumerate(got)]) > 0.97
+
+
 def luhn_ok(digits):
     total = sum(int(d) if k % 2 == 0 else sum(map(int, str(2 * int(d)))) for k, d in enumerate(reversed(digits)))
     return total % 10 == 0
