@@ -27,6 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import cut
 from lectern.llm.substring import keyed
 
 KINDS = ("email", "ip", "card", "phone")
@@ -172,9 +173,7 @@ def term_counts(rows: DataFrame, lets: Broadcast) -> DataFrame:
 
 
 def revealing(rows: DataFrame) -> DataFrame:
-    """(term, disclosure): terms that reveal some entity, with the largest disclosure."""
-    from lectern.llm.common import cut
-
+    """(term, disclosure): terms that reveal some entity, with the largest disclosure; written, for two readings follow."""
     total = rows.count()
     near = cut(beside(rows))
     entities = near.filter("term = ''").select("entity", F.col("n_docs").alias("n_entity"))
@@ -184,7 +183,7 @@ def revealing(rows: DataFrame) -> DataFrame:
     seen = pairs.join(counts, "term").join(entities, "entity")
     pmi = F.log2(F.lit(float(total)) * F.col("n_both") / (F.col("n_entity") * F.greatest("n_term", "n_both")))
     content = F.log2(F.lit(float(total)) / F.col("n_entity"))
-    return seen.filter(F.col("n_entity") < total).groupBy("term").agg(F.max(pmi / content).alias("disclosure")).filter(F.col("disclosure") >= GENERALISE)
+    return cut(seen.filter(F.col("n_entity") < total).groupBy("term").agg(F.max(pmi / content).alias("disclosure")).filter(F.col("disclosure") >= GENERALISE))
 
 
 def term_spans(rows: DataFrame, terms: DataFrame) -> DataFrame:
