@@ -6,8 +6,8 @@ In a segment fingerprints are sorted by their rank in the reflected Gray code, w
 runs of bits.  Over the sorted list stands a hierarchy: each node keeps the bits that all fingerprints below
 it share, as a mask and a pattern.  Two nodes whose shared patterns differ in more than RADIUS places are
 pruned with everything below them; the rest is followed down to single fingerprints.  Nodes whose
-fingerprints are all known to be connected are skipped, so a dense cluster is not compared pair by pair, and
-only a spanning forest of the links is sent on.
+fingerprints are all known to be connected are skipped, so a dense cluster is not compared pair by pair.  What is
+sent on is a star for each component of a segment, so that joining the segments takes few rounds.
 
 Segments of more than CHUNK fingerprints are cut into chunks, and every pair of chunks is a task of its own
 size.  Segments are 4 * 65,536 at most whatever the corpus, so their counts are a bounded broadcast.
@@ -171,6 +171,17 @@ def segment_links(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return fps[a], fps[b]
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As many links as nodes at most that connect the same fingerprints, each node straight to one of its component."""
+    nodes, places = np.unique(np.concatenate([a, b]), return_inverse=True)
+    forest = Forest(len(nodes))
+    for x, y in zip(places[: len(a)].tolist(), places[len(a) :].tolist(), strict=True):
+        forest.union(x, y)
+    roots = forest.labels() if len(nodes) else np.zeros(0, np.int64)
+    leaves = np.flatnonzero(roots != np.arange(len(nodes)))
+    return nodes[leaves], nodes[roots[leaves]]
+
+
 def fingerprint_links(distinct: DataFrame) -> DataFrame:
     """(a, b): links among distinct fingerprints (column fp) that connect all within RADIUS bits."""
     key = lambda k: F.lit(k << BLOCK_BITS) + F.shiftrightunsigned("fp", k * BLOCK_BITS).bitwiseAND((1 << BLOCK_BITS) - 1)
@@ -197,7 +208,7 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
             yield linked([rest[3]])
 
     def linked(segments: list[np.ndarray]) -> pa.RecordBatch:
-        found = [segment_links(x.view(np.uint64)) for x in segments if len(x) > 1]
+        found = [stars(*segment_links(x.view(np.uint64))) for x in segments if len(x) > 1]
         a, b = (np.concatenate([np.zeros(0, np.uint64), *(x[i] for x in found)]).view(np.int64) for i in range(2))
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
