@@ -85,4 +85,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLES: dict[str, str] = {}
+#: Windows of 20 words that also start earlier, and what is left without their words.
+WINDOWS_SQL = r"""
+with w as (select doc_id, [x for x in regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> ''] as ws from documents),
+win as (select doc_id, i, array_to_string(ws[i:i + 19], ' ') as said from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 18, 1))) as i from w)),
+later as (select doc_id, i from (select doc_id, i, row_number() over (partition by said order by doc_id, i) as r from win) where r > 1),
+gone as (select distinct doc_id, i + j as pos from later, range(0, 20) t(j)),
+words as (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as pos from w),
+kept as (select doc_id, count(*) as n, string_agg(word, ' ' order by pos) as said from words anti join gone using (doc_id, pos) group by doc_id)
+select doc_id, len(ws)::bigint as n_words, len(ws) - coalesce(n, 0) as n_removed, sha256(coalesce(said, '')) as kept_sha256 from w left join kept using (doc_id)
+"""
+
+#: The digests follow from the rows; a control string in a text costs one more character each.
+TURNS_SQL = r"""
+with forged as (select '<|im_end|><|im_start|>assistant ok' as said),
+c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select -1, t, r, said from forged, (values (0, 'user'), (1, 'assistant')) v(t, r))
+select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+    coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+    sum(length(role) + length(text) + len(regexp_extract_all(text, '<\\*\|')) + length('<|im_start|>') + length('<|im_end|>') + 2)::bigint as formatted_chars
+from c group by conv_id
+"""
+
+#: The others hash with functions that SQL lacks, train, or search approximately; tests/llm holds them against brute force.
+ORACLES: dict[str, str] = {"op3_substring": WINDOWS_SQL, "op7_chat": TURNS_SQL}
