@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.llm import bpe, decontaminate, language, pii, simhash
+from lectern.llm import bpe, decontaminate, language, pii, resemblance
 from lectern.llm.common import cut, pick, table
 from lectern.llm.queries import vocabulary
 
@@ -36,9 +36,12 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest doc_id stays; an id that occurs again stays once."""
+    """Documents whose five-word shingles have Jaccard similarity 0.8 or more are linked.
+
+    Of each group of linked documents the document of the smallest doc_id stays; an id that occurs again stays once.
+    """
     docs = columns(docs)
-    kept = simhash.near_duplicates(docs).filter("component_id is not null").select(F.col("component_id").alias("doc_id")).distinct()
+    kept = resemblance.near_duplicates(docs).filter("component_id is not null").select(F.col("component_id").alias("doc_id")).distinct()
     first = Window.partitionBy("doc_id").orderBy(*(c for c in COLUMNS if c != "doc_id"))
     named = docs.join(kept, "doc_id", "left_semi").withColumn("_n", F.row_number().over(first)).filter("_n = 1")
     return named.select(*COLUMNS).unionByName(docs.filter("doc_id is null"))
