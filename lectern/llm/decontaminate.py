@@ -8,8 +8,9 @@ shingle), weighted by how often they occur, sum of minima over sum of maxima.
    at most 1 - t of an item's shingles, so it has one of any larger share of them.  Each item's shingles with
    the longest first words, just more than 1 - t of them, are its *probes*.  All documents are searched for
    probes, which only costs a lookup for most words, and only documents with one go on.
-2. In these, shingles are looked up among the items' shingles, and each hit gives the window that lays
-   document over item at that shingle.
+2. In these, shingles are looked up among the items' shingles.  A window of similarity t shares at least
+   t / (1 + t) of both sides' shingles, so every start is tried from which that many places of hits on one
+   item lie in the window, in whatever order; no other start can reach t.
 3. These windows get a SimHash fingerprint.  Windows and items of one size meet by multi-index blocks: the
    64 bits are cut into RADIUS + 1 blocks, and fingerprints within RADIUS bits agree in one block at least.
 4. Pairs within RADIUS are verified by their exact similarity.
@@ -112,6 +113,25 @@ def _hits(k: int) -> Column:
     return F.transform("places", lambda i: F.struct(F.lit(k).alias("k"), shingle_at(F.col("words"), i, k).alias("shingle")))
 
 
+def promising(k: int) -> Column:
+    """Every start of a window that holds enough of ``places``, sorted places of hits of one item in one document.
+
+    Enough places lie in the window if some place and the one ``enough`` - 1 after it do.  That gives an
+    interval of starts for each place; what an interval shares with the one before is left to that one.
+    """
+    of_item, of_window = F.col("size") - (k - 1), F.least("size", "n") - (k - 1)
+    enough = F.ceil((of_item + of_window) * (THRESHOLD / (1 + THRESHOLD)) - 1e-9).cast("int")
+    last = F.greatest(F.lit(0), F.col("n") - F.col("size"))
+
+    def interval(place: Column, i: Column) -> Column:
+        end = F.get("places", i + enough - 1)
+        low = F.greatest(F.lit(0), end - of_window + 1, F.when(i > 0, F.get("places", i - 1) + 1).otherwise(0))
+        high = F.least(place, last)
+        return F.when(end.isNotNull() & (low <= high), F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    return F.flatten(F.transform("places", interval))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, start, n_words, distance, similarity): each contaminated document with each of its items.
 
@@ -130,11 +150,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found = None
     for k in sorted(kinds):
         mine = items.filter(F.col("k") == k)
-        spots = mine.select("item_id", "code", F.col("n").alias("size"), F.posexplode("shingles").alias("spot", "shingle"))
+        spots = mine.select("item_id", "code", F.col("n").alias("size"), F.explode(F.array_distinct("shingles")).alias("shingle"))
         places = shingled(keyed, k).select("key", "crc", "n", F.posexplode("shingles").alias("place", "shingle"))
-        start = F.greatest(F.lit(0), F.least(F.col("place") - F.col("spot"), F.col("n") - F.col("size")))
-        hits = places.join(near(spots), "shingle").select("key", "crc", "size", start.alias("start")).distinct()
-        windows = hits.groupBy("key", "crc").agg(F.collect_set(F.struct("size", "start")).alias("windows"))
+        hits = places.join(near(spots), "shingle").groupBy("key", "crc", "n", "item_id", "code", "size").agg(F.sort_array(F.collect_set("place")).alias("places"))
+        starts = hits.select("key", "crc", "size", F.explode(promising(k)).alias("start")).distinct()
+        windows = starts.groupBy("key", "crc").agg(F.collect_list(F.struct("size", "start")).alias("windows"))
         texts = shingled(keyed.join(windows, ["key", "crc"]), k)
         laid = texts.select("key", "crc", F.explode(F.transform("windows", lambda w: F.struct(w["size"].alias("size"), w["start"].alias("start"), F.slice("shingles", w["start"] + 1, F.greatest(w["size"] - (k - 1), F.lit(1))).alias("shingles")))).alias("w"))
         # equal windows of many documents are one fingerprint to compare and verify

@@ -159,6 +159,21 @@ def test_decontaminate_against_brute_force(spark):
     assert decontaminate.contaminated(table(spark, docs), items.limit(0)).count() == 0
 
 
+def test_decontaminate_tries_every_start(spark):
+    """Reordered items, whose best windows start where no shared shingle would lay them."""
+    words = [f"w{k}" for k in range(100)]
+    halves = " ".join(words[50:] + words[:50])
+    thirds = " ".join(words[60:] + words[:30] + words[30:60])
+    around = [prose(30 + k, 200) for k in range(4)]
+    docs = [(1, f"{around[0]} {halves} {around[1]}"), (2, halves), (3, f"{thirds} {around[2]}"), (4, f"{around[3]} {halves}"), (5, " ".join(words[::-1])), (6, f"{around[0]} {' '.join(words[10:])}"), (7, " ".join(words * 3)), (8, " ".join(words[50:95] + words[:50])), (9, "a b " * 60)]
+    items = [(1, " ".join(words)), (2, "a b " * 10)]
+    rows = decontaminate.contaminated(table(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r["doc_id"], r["item_id"]): (r["similarity"], r["start"]) for r in rows}
+    want = brute_leaks(docs, items)
+    assert (1, 1) in want and got.keys() == want.keys()
+    assert all(got[k] == (pytest.approx(want[k][0]), want[k][1]) for k in want)
+
+
 def test_decontaminate_without_probe_words(spark, monkeypatch):
     """Beyond the number of words in the plan, and of shingles in a broadcast, results are the same."""
     docs = [(k, prose(k, 30) + " " + ITEMS[k % 4][1] + " tail") for k in range(12)]
