@@ -1,17 +1,17 @@
 r"""Personal data: fixed patterns, and terms that give protected entities away.
 
 The patterns find emails, IP addresses, card and phone numbers.  Each distinct one is a protected entity c.
-Around its mentions, terms t are collected, and the corpus tells how much a term reveals about an entity:
+The terms t of all documents that mention it are collected, and the corpus tells how much a term reveals about an entity:
 
     PMI(c; t) = log2(N n(c, t) / (n(c) n(t))),    disclosure = PMI(c; t) / IC(c),   IC(c) = log2(N / n(c))
 
-with n(.) counting documents over the whole corpus.  The disclosure is 1 if t occurs only beside c and falls
+with n(.) counting documents over the whole corpus.  The disclosure is 1 if t occurs only in documents of c and falls
 as t occurs elsewhere.  Terms of enough support whose disclosure reaches GENERALISE are generalised wherever
 they occur, from REMOVE on they are removed.
 
-The corpus is read three times.  Terms in question are few among all words, so the second and third reading
-look words up in a bitmap of fixed size and send on only the words that it lets through; joins on the terms
-then decide exactly.
+The corpus is read four times: for entities, for terms together with entities of enough texts, for terms
+alone, and for spans.  What is in question is few, so each reading after the first looks entities or words up in
+a bitmap of fixed size and sends on only what it lets through; joins then decide exactly.
 """
 
 from __future__ import annotations
@@ -39,14 +39,16 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 TERM = re.compile(r"[^\W\d_]{3,}")
-#: Code points on either side of a mention from which terms are taken.
+#: Code points on either side of a mention that ``terms_beside`` looks at; the disclosure counts whole documents.
 CONTEXT = 48
-#: Different texts in which a term must stand beside an entity.
+#: Different texts that must hold both a term and an entity; fewer are no evidence about an entity.
 SUPPORT = 3
 GENERALISE, REMOVE = 0.9, 0.98
 #: Bits of the bitmaps that are broadcast.
 BITS = 22
 MEMORY = 1 << 19
+#: Pairs of an entity and a term that a worker sends together.
+PAIRS = 1 << 16
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -112,6 +114,11 @@ def terms_beside(text: str, start: int, end: int, taken: list[tuple[str, int, in
     return out
 
 
+def terms_of(text: str) -> set[str]:
+    """The terms of a document, counted alike for pairs and for terms alone."""
+    return set(TERM.findall(text.lower()))
+
+
 class Lets(dict):
     """Word -> whether the bitmap lets it through."""
 
@@ -132,28 +139,52 @@ def bitmap(terms: DataFrame) -> Broadcast:
     return terms.sparkSession.sparkContext.broadcast(np.packbits(hit))
 
 
-def beside(rows: DataFrame) -> DataFrame:
-    """(entity, term, n_docs, n_texts): documents, and different texts, where the term stands beside the entity; term '' counts the entity."""
+def mentioned(rows: DataFrame) -> DataFrame:
+    """(entity, n_entity, n_texts): documents, and different texts, that mention each entity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: Counter = Counter()
             for text in batch.column(3).to_pylist():
-                spans = base_spans(text)
-                if not spans:
+                code = None
+                for name in {entity(kind, text[start:end]) for kind, start, end in base_spans(text)}:
+                    code = xxhash.xxh64_intdigest(text) - (1 << 63) if code is None else code
+                    found[name, code] += 1
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.int64()), pa.array(found.values(), pa.int64())], ["entity", "code", "n"])
+
+    sent = rows.mapInArrow(run, "entity string, code long, n long")
+    by_text = sent.groupBy("entity", "code").agg(F.sum("n").alias("n"))
+    return by_text.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count(F.lit(1)).alias("n_texts"))
+
+
+def together(rows: DataFrame, lets: Broadcast) -> DataFrame:
+    """(entity, term, n_both, n_texts): documents, and different texts, that hold both, for entities that the bitmap lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Lets(lets.value)
+        for batch in batches:
+            if len(known) > MEMORY:
+                known.clear()
+            out: list[list] = [[], [], [], []]
+            for text, n in Counter(batch.column(3).to_pylist()).items():
+                names = [x for x in {entity(kind, text[start:end]) for kind, start, end in base_spans(text)} if known[x]]
+                if not names:
                     continue
-                code = xxhash.xxh64_intdigest(text) - (1 << 63)
-                pairs = set()
-                for kind, start, end in spans:
-                    name = entity(kind, text[start:end])
-                    pairs.add((name, "", code))
-                    pairs.update((name, t, code) for t in terms_beside(text, start, end, spans))
-                found.update(pairs)
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string()), pa.array([x[2] for x in found], pa.int64()), pa.array(found.values(), pa.int64())], ["entity", "term", "code", "n"])
+                terms, code = terms_of(text), xxhash.xxh64_intdigest(text) - (1 << 63)
+                for name in names:
+                    for column, x in zip(out, ([name] * len(terms), terms, [code] * len(terms), [n] * len(terms)), strict=True):
+                        column.extend(x)
+                    if len(out[0]) > PAIRS:
+                        yield packed(out)
+                        out = [[], [], [], []]
+            yield packed(out)
+
+    def packed(out: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["entity", "term", "code", "n"])
 
     sent = rows.mapInArrow(run, "entity string, term string, code long, n long")
     by_text = sent.groupBy("entity", "term", "code").agg(F.sum("n").alias("n"))
-    return by_text.groupBy("entity", "term").agg(F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("n_texts"))
+    return by_text.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("n_texts"))
 
 
 def term_counts(rows: DataFrame, lets: Broadcast) -> DataFrame:
@@ -166,7 +197,7 @@ def term_counts(rows: DataFrame, lets: Broadcast) -> DataFrame:
                 known.clear()
             found: Counter = Counter()
             for text in batch.column(3).to_pylist():
-                found.update(filter(known.__getitem__, set(TERM.findall(text.lower()))))
+                found.update(filter(known.__getitem__, terms_of(text)))
             yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["term", "n"])
 
     return rows.mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_docs"))
@@ -175,13 +206,13 @@ def term_counts(rows: DataFrame, lets: Broadcast) -> DataFrame:
 def revealing(rows: DataFrame) -> DataFrame:
     """(term, disclosure): terms that reveal some entity, with the largest disclosure; written, for two readings follow."""
     total = rows.count()
-    near = cut(beside(rows))
-    entities = near.filter("term = ''").select("entity", F.col("n_docs").alias("n_entity"))
-    pairs = near.filter(F.col("n_texts") >= SUPPORT).filter("term <> ''").select("entity", "term", F.col("n_docs").alias("n_both"))
+    # an entity of too few texts, or in all documents, has no revealing term
+    entities = cut(mentioned(rows).filter((F.col("n_texts") >= SUPPORT) & (F.col("n_entity") < total)).select("entity", "n_entity"))
+    counted = together(rows, bitmap(entities.select(F.col("entity").alias("term"))))
+    pairs = cut(counted.filter(F.col("n_texts") >= SUPPORT).select("entity", "term", "n_both"))
     counts = term_counts(rows, bitmap(pairs.select("term"))).select("term", F.col("n_docs").alias("n_term"))
-    # a term may be counted in fewer documents than pairs after lower-casing special letters
     seen = pairs.join(counts, "term").join(entities, "entity")
-    pmi = F.log2(F.lit(float(total)) * F.col("n_both") / (F.col("n_entity") * F.greatest("n_term", "n_both")))
+    pmi = F.log2(F.lit(float(total)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
     content = F.log2(F.lit(float(total)) / F.col("n_entity"))
     return cut(seen.filter(F.col("n_entity") < total).groupBy("term").agg(F.max(pmi / content).alias("disclosure")).filter(F.col("disclosure") >= GENERALISE))
 

@@ -234,3 +234,40 @@ def test_pii_revealing_terms(spark):
     clean = pii.sanitise(docs[0][1], [*(x.asDict() for x in texts[0, crc32(docs[0][1].encode())]["base"]), *(x.asDict() for x in texts[0, crc32(docs[0][1].encode())]["added"])])
     assert "[EMAIL]" in clean and "Zibeline" not in clean and "@" not in clean
     assert pii.find_pii(table(spark, [])).count() == 0
+
+
+def brute_disclosed(docs):
+    """Terms with their disclosure, by co-occurrence in whole documents."""
+    import math
+
+    n, entities, terms, both, texts = len(docs), {}, {}, {}, {}
+    for _, text in docs:
+        text = text or ""
+        words, names = set(pii.TERM.findall(text.lower())), {pii.entity(k, text[s:e]) for k, s, e in brute_base(text)}
+        for t in words:
+            terms[t] = terms.get(t, 0) + 1
+        for c in names:
+            entities[c] = entities.get(c, 0) + 1
+            for t in words:
+                both[c, t] = both.get((c, t), 0) + 1
+                texts.setdefault((c, t), set()).add(text)
+    out = {}
+    for (c, t), m in both.items():
+        if len(texts[c, t]) >= pii.SUPPORT and entities[c] < n:
+            out[t] = max(out.get(t, 0), math.log2(n * m / (entities[c] * terms[t])) / math.log2(n / entities[c]))
+    return {t: d for t, d in out.items() if d >= pii.GENERALISE}
+
+
+def test_pii_terms_far_from_the_mention(spark):
+    docs = [(k, f"Zibeline {prose(k, 60)} write to kim.zappo@corp.example{' about Quillon' * (k == 0)} {prose(k + 9, 60)} {'quillon' * (k > 0)}") for k in range(8)]
+    docs += [(100 + k, f"{prose(k + 50, 40)} call +1 212 555 01{k:02d} or see zibelin") for k in range(40)]
+    docs += [(200 + k, docs[3][1]) for k in range(5)]
+    want = brute_disclosed(docs)
+    assert want["zibeline"] == pytest.approx(1) and want["quillon"] == pytest.approx(1)
+    got = {}
+    for r in pii.find_pii(table(spark, docs)).collect():
+        for x in r["added"]:
+            got[dict(docs)[r["doc_id"]][x["start"] : x["end"]].lower()] = x["disclosure"]
+    # what stands in spans of the patterns only is marked with them
+    outside = {m[0].lower() for _, t in docs for m in pii.TERM.finditer(t) if not any(s < m.end() and m.start() < e for _, s, e in brute_base(t))}
+    assert got == pytest.approx({t: d for t, d in want.items() if t in outside})
