@@ -5,7 +5,9 @@ Every vector is indexed: it goes to the posting list of its nearest centroid and
 replicated to further lists whose centroids are at most (1 + CLOSURE) times as far, unless such a centroid is
 closer to one already taken than to the vector.  Nearest centroids are found by a best-first walk over a
 graph of the centroids that every worker holds in memory.  A query reads the lists whose centroids are at
-most (1 + PRUNE) times as far as the nearest, PROBES at most.
+most (1 + PRUNE) times as far as the nearest, PROBES at most, and further lists, nearest first, until they hold
+ENOUGH entries for each result wanted: a vector that has a centroid to itself has no use for distance ratios.
+If all near lists hold too few, all lists are read.
 
 A list of any length is cut into pieces that are searched apart, each giving its best few, so no list is one
 task's burden; queries meet lists through a join, and the exact cosine in double precision on original
@@ -31,6 +33,8 @@ SAMPLE, MOST_LISTS, PER_LIST = 20_000, 1024, 64
 ROUNDS, PRESSURE = 12, 0.35
 REPLICAS, CLOSURE = 6, 0.25
 PROBES, PRUNE = 48, 0.6
+#: Entries, replicas included, that the lists of a query hold for each of its k results; more than REPLICAS * 2.
+ENOUGH = 100
 #: Neighbours in the centroid graph, and candidates that a walk keeps open.
 DEGREE, OPEN = 24, 96
 #: Vectors in a piece of a posting list.
@@ -116,13 +120,17 @@ def usable(vector: str | Column) -> Column:
 PLACES = "vec_id long, vector array<double>, list int"
 
 
-def placed(rows: DataFrame, graph, query: bool) -> DataFrame:
-    """(vec_id, vector, list): the posting lists of each vector, or with ``query`` the lists that it searches."""
+def placed(rows: DataFrame, graph, lengths: np.ndarray | None = None, k: int = 0) -> DataFrame:
+    """(vec_id, vector, list): the posting lists of each vector, or with their ``lengths`` the lists that it searches for ``k``."""
 
     def lists(x: np.ndarray) -> list[int]:
-        ids, d = graph.value.nearest(x, PROBES if query else 4 * REPLICAS)
-        if query:
-            return ids[np.sqrt(d) <= (1 + PRUNE) * np.sqrt(d[0]) + 1e-9].tolist()
+        ids, d = graph.value.nearest(x, PROBES if lengths is not None else 4 * REPLICAS)
+        if lengths is not None:
+            near = int((np.sqrt(d) <= (1 + PRUNE) * np.sqrt(d[0]) + 1e-9).sum())
+            if lengths[ids].sum() < ENOUGH * k:
+                ids, d = graph.value.nearest(x, len(lengths))
+            full = int(np.searchsorted(np.cumsum(lengths[ids]), ENOUGH * k)) + 1
+            return ids[: max(near, full)].tolist()
         taken = [int(ids[0])]
         for i, far in zip(ids[1:].tolist(), d[1:].tolist(), strict=True):
             if len(taken) == REPLICAS or np.sqrt(far) > (1 + CLOSURE) * np.sqrt(d[0]) + 1e-9:
@@ -147,9 +155,13 @@ def search(index: DataFrame, queries: DataFrame, graph, k: int) -> DataFrame:
     """(query_id, vec_id, score): each piece's best ``k`` for each query of its list."""
     pieces = F.greatest(F.lit(1), F.ceil(F.col("n") / PIECE)).cast("int")
     # at most MOST_LISTS rows
-    lengths = F.broadcast(index.groupBy("list").agg(F.count(F.lit(1)).alias("n")).select("list", pieces.alias("pieces")))
+    counts = index.groupBy("list").agg(F.count(F.lit(1)).alias("n"))
+    known = np.zeros(len(graph.value.centroids), np.int64)
+    for r in counts.collect():
+        known[r["list"]] = r["n"]
+    lengths = F.broadcast(counts.select("list", pieces.alias("pieces")))
     posted = index.join(lengths, "list").withColumn("piece", F.pmod(F.xxhash64("vec_id"), F.col("pieces").cast("long")).cast("int")).drop("pieces")
-    asked = placed(queries, graph, True).join(lengths, "list").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
+    asked = placed(queries, graph, known, k).join(lengths, "list").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
     both = posted.withColumn("asks", F.lit(False)).unionByName(asked.withColumn("asks", F.lit(True)))
     met = both.repartition("list", "piece").sortWithinPartitions("list", "piece", "asks")
 
@@ -212,7 +224,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id
         sample = np.array(table.column(1).to_pylist(), dtype=np.float64).reshape(-1, size)[np.argsort(np.asarray(table.column(0)), kind="stable")]
         lists = max(1, min(MOST_LISTS, count // PER_LIST))
         graph = spark.sparkContext.broadcast(fit(unit(sample), lists))
-        index = cut(placed(own, graph, False))
+        index = cut(placed(own, graph))
         part = search(index, own.filter(is_query), graph, k)
         found = part if found is None else found.unionByName(part)
     if found is None:

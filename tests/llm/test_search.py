@@ -62,6 +62,28 @@ def test_vectors_edges(spark):
     assert vectors.nearest(frame.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("per_list", [64, 8])
+def test_vectors_of_many_clusters_and_alone(spark, monkeypatch, per_list):
+    """Hundreds of lists; some queries stand alone, some in groups of three that have a centroid to themselves."""
+    monkeypatch.setattr(vectors, "PER_LIST", per_list)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(300, 16))
+    rows = [(k * 50 + 1 + j, (centres[k] + rng.normal(size=16) * 0.15).tolist()) for k in range(300) for j in range(49)]
+    rows += [(50 * k, (rng.normal(size=16) * 3).tolist()) for k in range(150)]
+    for k in range(150, 300):
+        here = rng.normal(size=16)
+        rows += [(i, (here + rng.normal(size=16) * 1e-4).tolist()) for i in (50 * k, 100_001 + 2 * k, 200_001 + 2 * k)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert len(rows) // per_list > 200
+    got = {}
+    for r in vectors.nearest(frame, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = brute_nearest(rows)
+    assert got.keys() == want.keys() and all(len(x) == 5 for x in got.values())
+    recall = sum(len(got[q] & {i for i, _ in want[q]}) for q in want) / (5 * len(want))
+    assert recall >= 0.9, recall
+
+
 def test_vectors_long_list_is_cut(spark, monkeypatch):
     monkeypatch.setattr(vectors, "PIECE", 50)
     rng = np.random.default_rng(3)
