@@ -15,11 +15,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lectern.llm import bpe, decontaminate, language, pii, resemblance
 from lectern.llm.common import cut, pick, table
 from lectern.llm.queries import vocabulary
+from lectern.llm.substring import NO_ID
 
 COLUMNS = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
 
@@ -38,13 +38,14 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose five-word shingles have Jaccard similarity 0.8 or more are linked.
 
-    Of each group of linked documents the document of the smallest doc_id stays; an id that occurs again stays once.
+    Of each group of linked documents one stays: of the smallest doc_id, null last, the text of the smallest hash.
     """
     docs = columns(docs)
-    kept = resemblance.near_duplicates(docs).filter("component_id is not null").select(F.col("component_id").alias("doc_id")).distinct()
-    first = Window.partitionBy("doc_id").orderBy(*(c for c in COLUMNS if c != "doc_id"))
-    named = docs.join(kept, "doc_id", "left_semi").withColumn("_n", F.row_number().over(first)).filter("_n = 1")
-    return named.select(*COLUMNS).unionByName(docs.filter("doc_id is null"))
+    found = resemblance.near_duplicates(docs)
+    kept = found.select(F.coalesce("component_id", F.lit(NO_ID)).alias("_key"), F.col("first_code").alias("_code")).distinct()
+    keys = docs.withColumn("_key", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("_code", F.xxhash64("text"))
+    once = keys.groupBy("_key", "_code").agg(F.min(F.struct(*COLUMNS)).alias("row"))
+    return once.join(kept, ["_key", "_code"], "left_semi").select("row.*")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

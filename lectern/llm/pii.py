@@ -19,12 +19,14 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import cut
@@ -44,8 +46,8 @@ CONTEXT = 48
 #: Different texts that must hold both a term and an entity; fewer are no evidence about an entity.
 SUPPORT = 3
 GENERALISE, REMOVE = 0.9, 0.98
-#: Bits of the bitmaps that are broadcast.
-BITS = 22
+#: Fewest and most bits that tell a bitmap's cells, and cells for each row put into it.
+BITS, SPARSE = (16, 25), 32
 MEMORY = 1 << 19
 #: Pairs of an entity and a term that a worker sends together.
 PAIRS = 1 << 16
@@ -119,24 +121,40 @@ def terms_of(text: str) -> set[str]:
     return set(TERM.findall(text.lower()))
 
 
+@dataclass
+class Bits:
+    """A bitmap over the upper bits of 64-bit hashes."""
+
+    bits: np.ndarray
+    width: int
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        cell = (hashes.view(np.uint64) >> np.uint64(64 - self.width)).astype(np.int64)
+        return self.bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1 == 1
+
+
 class Lets(dict):
     """Word -> whether the bitmap lets it through."""
 
-    def __init__(self, bits: np.ndarray):
-        self.bits = bits
+    def __init__(self, bits: Bits):
+        self.bits, self.width = bits.bits, bits.width
 
     def __missing__(self, word: str) -> bool:
-        cell = xxhash.xxh64_intdigest(word, seed=42) >> (64 - BITS)
+        cell = xxhash.xxh64_intdigest(word, seed=42) >> (64 - self.width)
         out = self[word] = bool(self.bits[cell >> 3] >> (7 - (cell & 7)) & 1)
         return out
 
 
-def bitmap(terms: DataFrame) -> Broadcast:
-    """The cells of all terms; at most 2**BITS come to the driver."""
-    cell = F.shiftrightunsigned(F.xxhash64("term"), 64 - BITS).cast("int")
-    hit = np.zeros(1 << BITS, np.uint8)
+def bitmap(terms: DataFrame, hashed: Column | None = None) -> Broadcast:
+    """The cells that rows of ``terms`` hit, by the hash of column term or by ``hashed``; SPARSE cells a row, within BITS.
+
+    2**BITS[1] cells at most come to the driver, whatever the number of rows; beyond that more is let through.
+    """
+    width = min(max(ceil(log2(max(terms.count(), 1) * SPARSE)), BITS[0]), BITS[1])
+    cell = F.shiftrightunsigned(F.xxhash64("term") if hashed is None else hashed, 64 - width).cast("int")
+    hit = np.zeros(1 << width, np.uint8)
     hit[np.asarray(terms.select(cell.alias("cell")).distinct().toArrow().column(0), np.int64)] = 1
-    return terms.sparkSession.sparkContext.broadcast(np.packbits(hit))
+    return terms.sparkSession.sparkContext.broadcast(Bits(np.packbits(hit), width))
 
 
 def mentioned(rows: DataFrame) -> DataFrame:

@@ -1,11 +1,21 @@
-"""Near-duplicate groups by exact Jaccard similarity of word shingles, by prefix filtering.
-
-Shingles are put in one order for the whole corpus, rarest first as far as a table of counts of fixed size
-tells; any order gives the same result.  Two sets of similarity t or more share a shingle among the first
-n - ceil(t n) + 1 of each, so only these *prefixes* meet.  Of the pairs that meet, three bounds that no pair
-of similarity t fails take out most: of the sizes, of the places of the shared shingle, and of a parity bitmap
-(each shingle flips one bit, so two bitmaps differ in at most as many bits as the sets do).  The rest is
-compared by all shingles.  Texts of equal sets are one node.
+"""Near-duplicate groups by exact Jaccard similarity of word shingles, seeded by SimHash.
+
+Documents with equal sets of shingles are one *node*.  Groups are found in two steps, and every link that either
+step proposes is verified by all shingles of both texts:
+
+1. Seeds.  Nodes whose SimHash fingerprints the Gray-order index links (see ``simhash``), and nodes that share one
+   of a few MinHash values with a more central one, whose shingles are more common.  Each such bucket proposes
+   a star around its most central node, never all its pairs, and dense groups of copies are connected by
+   that.
+2. The rest, exactly, by prefix filtering.  Shingles are put in one order for the whole corpus, rarest first as
+   far as a table of counts of fixed size tells; any order gives the same result.  Two sets of similarity t or
+   more share a shingle among the first n - ceil(t n) + 1 of each, so only these *prefixes* meet.  Nodes that the
+   seeds have connected are not compared again.  Of the other pairs that meet, three bounds that no pair of
+   similarity t fails take out most: of the sizes, of the places of the shared shingle, and of a parity bitmap
+   (each shingle flips one bit, so two bitmaps differ in at most as many bits as the sets do).
+
+So no link between nodes of different groups is lost, and the pairs of a group that is already known to be one
+are never made.
 """
 
 from __future__ import annotations
@@ -16,20 +26,28 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import cut, documents
 from lectern.llm.components import components
-from lectern.llm.simhash import LOWER
-from lectern.llm.sketch import pieces, prefix
+from lectern.llm.pii import bitmap
+from lectern.llm.simhash import LOWER, fingerprint_links
+from lectern.llm.sketch import mix, pieces, prefix
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Cells of the table of counts, and of a range of it that is summed at a time.
 CELL_BITS, RANGE_BITS = 20, 14
 #: Nodes that a worker remembers to send once, and pairs that are looked at together.
 MEMORY, PAIRS = 1 << 19, 1 << 20
-NAMES = ["token", "chunks", "node", "place", "one", "two"]
+#: Bits of a parity bitmap, in longs.
+PARITY = 4
+#: MinHash values of a node.
+SEEDS = 4
+#: Connected nodes up to which their labels are broadcast.
+LABELS = 1 << 20
+PARITIES = [f"p{k}" for k in range(PARITY)]
+NAMES = ["token", "chunks", "node", "place", *PARITIES]
 #: Beyond this count in its cell, a shingle's nodes are dealt to chunks, and pairs of chunks meet.
 CROWD = 1 << 14
 
@@ -50,6 +68,22 @@ def node_of(own: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63)
 
 
+def cell(own: np.ndarray) -> np.ndarray:
+    return (own >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def fingerprint(own: np.ndarray) -> int:
+    """64 bits, each 1 if it is set in over half the hashes."""
+    bits = np.unpackbits(own.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(bits * 2 > len(own)).tobytes(), "big", signed=True)
+
+
+def parity(own: np.ndarray) -> np.ndarray:
+    """PARITY longs in which each shingle flips one bit."""
+    width = 64 * PARITY
+    return np.packbits(np.bincount((own & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1 == 1).view(np.int64)
+
+
 def needed(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
     """Shingles that sets of these sizes must share."""
     return np.ceil((a + b) * (t / (1 + t)) - 1e-9)
@@ -62,7 +96,8 @@ def counted(rows: DataFrame, size: int) -> Broadcast:
         counts = np.zeros(1 << CELL_BITS, np.uint32)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                np.add.at(counts, (shingles(text, size) >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
+                at, n = np.unique(cell(shingles(text, size)), return_counts=True)
+                counts[at] += n.astype(np.uint32)
         if counts.any():
             parts = np.split(counts, 1 << (CELL_BITS - RANGE_BITS))
             yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["range", "counts"])
@@ -82,57 +117,111 @@ def counted(rows: DataFrame, size: int) -> Broadcast:
     return rows.sparkSession.sparkContext.broadcast(out)
 
 
+def distinct_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(node, its shingles) of the texts in column 0, a worker's repeated nodes mostly once; the end of a batch is -1."""
+    sent: set[int] = set()
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            own = shingles(text, size)
+            node = node_of(own)
+            if not len(own) or node in sent:
+                continue
+            if len(sent) > MEMORY:
+                sent.clear()
+            sent.add(node)
+            yield node, own
+        yield -1, np.zeros(0, np.uint64)
+
+
+def seeds(rows: DataFrame, levels: Broadcast, size: int) -> DataFrame:
+    """(bucket, common, node, n, parity bitmap): for each node its MinHash values, and how common its shingles are."""
+    names = ["bucket", "common", "node", "n", *PARITIES]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for node, own in distinct_sets(batches, size):
+            if len(own):
+                common = int(1e6 * levels.value[cell(own)].mean())
+                mine = (common, node, len(own), *parity(own).tolist())
+                lowest = [int(mix(own + np.uint64(k)).min()) - (1 << 63) for k in range(1, SEEDS + 1)]
+                out += [(x, *mine) for x in lowest]
+            elif out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names)
+                out = []
+
+    return rows.select("text").mapInArrow(run, ", ".join(f"{x} long" for x in names))
+
+
+def within_bounds(one: str, two: str, t: float) -> Column:
+    """Whether two nodes with n and parity bitmaps can have similarity t."""
+    n, m = F.col(f"{one}.n"), F.col(f"{two}.n")
+    apart = sum((F.bit_count(F.col(f"{one}.{p}").bitwiseXOR(F.col(f"{two}.{p}"))) for p in PARITIES), F.lit(0))
+    need = F.ceil((n + m) * F.lit(t / (1 + t)) - F.lit(1e-9))
+    return (F.least(n, m) >= need) & (apart <= n + m - 2 * need)
+
+
+def seed_pairs(rows: DataFrame, given: DataFrame, levels: Broadcast, size: int, t: float) -> DataFrame:
+    """(a, b): distinct pairs of nodes, a few for each node that has anything in common with others."""
+    sent = cut(seeds(given, levels, size))
+    # the most central node of each bucket
+    best = F.max(F.struct("common", "node", "n", *PARITIES)).alias("two")
+    met = sent.select("bucket", F.struct("node", "n", *PARITIES).alias("one")).join(sent.groupBy("bucket").agg(best), "bucket")
+    stars = met.filter((F.col("one.node") != F.col("two.node")) & within_bounds("one", "two", t))
+    linked = fingerprint_links(rows.filter("fp is not null").groupBy("fp").agg(F.min("node").alias("node")), "node")
+    pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    return stars.select(*pair("one.node", "two.node")).unionByName(linked.select(*pair("a", "b"))).distinct()
+
+
 def prefixes(rows: DataFrame, levels: Broadcast, size: int, t: float) -> DataFrame:
-    """(token, chunks: pair of chunks, node, place: place << 32 | size of the set, one, two: parity bitmap) for the prefix of each text."""
+    """(token, chunks: pair of chunks, node, place: place << 32 | size of the set, parity bitmap) for each text's prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[int] = set()
-        for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], [], [], []]
-            for text in batch.column(0).to_pylist():
-                own = shingles(text, size)
-                node, n = node_of(own), len(own)
-                if not n or node in sent:
-                    continue
-                if len(sent) > MEMORY:
-                    sent.clear()
-                sent.add(node)
-                level = levels.value[(own >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
-                order = np.lexsort((own, level))[: n - int(np.ceil(t * n - 1e-9)) + 1]
-                chunks = np.ceil(np.exp2((level[order] + 1.0) / 8) / CROWD).astype(np.int64)
-                parity = np.packbits(np.bincount((own & np.uint64(127)).astype(np.int64), minlength=128) & 1 == 1).view(np.int64)
-                at = np.repeat(np.arange(len(order)), chunks)
-                other = np.arange(len(at)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
-                mine = node % chunks[at]
-                pair = np.minimum(mine, other) << 32 | np.maximum(mine, other)
-                m = len(at)
-                for column, x in zip(out, (own[order][at].view(np.int64), pair, np.full(m, node), at << 32 | n, np.full(m, parity[0]), np.full(m, parity[1])), strict=True):
-                    column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in out], NAMES)
+        out: list[list[np.ndarray]] = [[] for _ in NAMES]
+        for node, own in distinct_sets(batches, size):
+            if not len(own):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in out], NAMES)
+                out = [[] for _ in NAMES]
+                continue
+            n = len(own)
+            level = levels.value[cell(own)]
+            order = np.lexsort((own, level))[: n - int(np.ceil(t * n - 1e-9)) + 1]
+            chunks = np.ceil(np.exp2((level[order] + 1.0) / 8) / CROWD).astype(np.int64)
+            at = np.repeat(np.arange(len(order)), chunks)
+            other = np.arange(len(at)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
+            mine = node % chunks[at]
+            pair = np.minimum(mine, other) << 32 | np.maximum(mine, other)
+            same = [np.full(len(at), p) for p in parity(own)]
+            for column, x in zip(out, (own[order][at].view(np.int64), pair, np.full(len(at), node), at << 32 | n, *same), strict=True):
+                column.append(x)
 
     return rows.select("text").mapInArrow(run, ", ".join(f"{x} long" for x in NAMES))
 
 
 def near_pairs(columns: list[np.ndarray], t: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of nodes of one token that no bound takes out."""
+    """Pairs of nodes of one token, of different groups, that no bound takes out; columns: node, group, place, parity."""
     _, at = np.unique(columns[0], return_index=True)
-    node, place, one, two = (x[at] for x in columns)
-    one, two = one.view(np.uint64), two.view(np.uint64)
+    node, group, place, *bits = (x[at] for x in columns)
     n = place & 0xFFFFFFFF
     order = np.argsort(n, kind="stable")
-    node, n, before, one, two = node[order], n[order], place[order] >> 32, one[order], two[order]
+    node, group, n, before = node[order], group[order], n[order], place[order] >> 32
+    bits = [x[order].view(np.uint64) for x in bits]
+    # of two sets of similarity t, the smaller one has a shared shingle among even fewer of its first ones
+    early = before <= n - np.ceil(2 * t / (1 + t) * n - 1e-9)
     most = np.searchsorted(n, np.floor(n / t + 1e-9), side="right")
     a_found, b_found = [], []
     step = max(1, PAIRS // max(len(node), 1))
     for low in range(0, len(node), step):
         a = np.arange(low, min(low + step, len(node)))
+        a = a[early[a]]
         many = most[a] - a - 1
         x = np.repeat(a, many)
         y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(many) - many, many)
+        new = group[x] != group[y]
+        x, y = x[new], y[new]
         need = needed(n[x], n[y], t)
         keep = np.minimum(n[x] - before[x], n[y] - before[y]) >= need
         x, y, need = x[keep], y[keep], need[keep]
-        apart = np.bitwise_count(one[x] ^ one[y]).astype(np.int64) + np.bitwise_count(two[x] ^ two[y])
+        apart = sum(np.bitwise_count(w[x] ^ w[y]).astype(np.int64) for w in bits)
         keep = apart <= n[x] + n[y] - 2 * need
         a_found.append(node[x[keep]]), b_found.append(node[y[keep]])
     empty = np.zeros(0, np.int64)
@@ -140,7 +229,8 @@ def near_pairs(columns: list[np.ndarray], t: float) -> tuple[np.ndarray, np.ndar
 
 
 def candidates(sent: DataFrame, t: float) -> DataFrame:
-    """(a, b): distinct pairs of nodes that share a shingle of their prefixes and pass the bounds."""
+    """(a, b): distinct pairs of nodes of different groups that share a shingle of their prefixes and pass the bounds."""
+    names = ["token", "chunks", "node", "component", "place", *PARITIES]
 
     def found(groups: list[list[np.ndarray]]) -> pa.RecordBatch:
         pairs = [near_pairs(x, t) for x in groups]
@@ -151,17 +241,20 @@ def candidates(sent: DataFrame, t: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
-            columns = [batch.column(i).to_numpy() for i in range(len(NAMES))]
+            columns = [batch.column(i).to_numpy() for i in range(len(names))]
             if rest is not None:
                 columns = [np.concatenate([x, y]) for x, y in zip(rest, columns, strict=True)]
-            edges = np.concatenate([[0], np.flatnonzero((np.diff(columns[0]) != 0) | (np.diff(columns[1]) != 0)) + 1])
-            many = np.flatnonzero(np.diff(edges) > 1)
+            edges = np.flatnonzero((np.diff(columns[0]) != 0) | (np.diff(columns[1]) != 0)) + 1
+            edges = np.concatenate([[0], edges])
+            # a bucket of one group has nothing to compare
+            mixed = np.concatenate([[0], np.cumsum(np.diff(columns[3]) != 0)])
+            many = np.flatnonzero(mixed[edges[1:] - 1] > mixed[edges[:-1]])
             yield found([[x[edges[k] : edges[k + 1]] for x in columns[2:]] for k in many.tolist()])
             rest = [x[edges[-1] :] for x in columns]
         if rest is not None:
             yield found([rest[2:]])
 
-    dealt = sent.repartition("token", "chunks").sortWithinPartitions("token", "chunks")
+    dealt = sent.select(*names).repartition("token", "chunks").sortWithinPartitions("token", "chunks")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -169,10 +262,13 @@ def similar(pairs: DataFrame, size: int, t: float) -> DataFrame:
     """(a, b) of those pairs with texts (one, two) whose shingles have similarity t or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, x = None, np.zeros(0, np.uint64)
         for batch in batches:
             keep = []
-            for one, two in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = shingles(one, size), shingles(two, size)
+            for a, one, two in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if a != last:
+                    last, x = a, shingles(one.as_py(), size)
+                y = shingles(two.as_py(), size)
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(shared >= t * (len(x) + len(y) - shared) - 1e-9)
             kept = batch.filter(pa.array(keep, pa.bool_()))
@@ -181,11 +277,28 @@ def similar(pairs: DataFrame, size: int, t: float) -> DataFrame:
     return pairs.select("a", "b", "one", "two").mapInArrow(run, "a long, b long")
 
 
+def verified(pairs: DataFrame, nodes: DataFrame, given: DataFrame, size: int, t: float) -> DataFrame:
+    """(a, b) of those pairs that are similar; only texts of nodes in question are sent."""
+    wanted = cut(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("node", "code"))
+    lets = bitmap(wanted, F.col("code"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(lets.value.has(batch.column(0).to_numpy())))
+
+    held = given.select("code", "text").mapInArrow(run, "code long, text string").groupBy("code").agg(F.min("text").alias("text"))
+    texts = cut(held.join(wanted, "code").select("node", "text"))
+    # the ends that stand in many pairs come last, so that their shingles are made once
+    sides = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("two")), "b")
+    return similar(sides.join(texts.select(F.col("node").alias("a"), F.col("text").alias("one")), "a"), size, t)
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, t: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) for every document.
+    """(doc_id, code, component_id, first_code) for every document.
 
     Documents are linked if the sets of their shingles have Jaccard similarity t or more; component_id is the
-    smallest doc_id that links reach.  Null texts, empty texts and texts without a word have equal, empty sets.
+    smallest doc_id that links reach, and first_code the smallest code, a hash of the text, among the documents
+    of that id in the component.  Null texts, empty texts and texts without a word have equal, empty sets.
     Null ids are in a component like others but cannot name one unless all its members are null; an empty
     table gives an empty result; other columns are ignored.
     """
@@ -193,17 +306,24 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, t: float = SIMILARITY,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes = [node_of(shingles(x, size)) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64())], ["doc_id", "code", "node"])
-
-    rows = cut(given.select("doc_id", "code", "text").mapInArrow(run, "doc_id long, code long, node long"))
-    pairs = cut(candidates(prefixes(given, counted(given, size), size, t), t))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    code = rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("code").alias("code"))
-    texts = cut(given.join(code, "code").groupBy("node").agg(F.min("text").alias("text")))
-    sides = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("one")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("two")), "b")
-    labels = components(similar(sides, size, t))
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
+            sets = [shingles(x, size) for x in batch.column(2).to_pylist()]
+            nodes = pa.array([node_of(x) for x in sets], pa.int64())
+            fps = pa.array([fingerprint(x) if len(x) else None for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), nodes, fps], ["doc_id", "code", "node", "fp"])
+
+    rows = cut(given.select("doc_id", "code", "text").mapInArrow(run, "doc_id long, code long, node long, fp long"))
+    # null ids come last
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "code")).alias("first")
+    nodes = cut(rows.groupBy("node").agg(F.min("code").alias("code"), first))
+    levels = counted(given, size)
+    seeded = cut(verified(cut(seed_pairs(rows, given, levels, size, t)), nodes, given, size, t))
+    labels = cut(components(seeded))
+    known = F.broadcast(labels) if labels.count() <= LABELS else labels
+    sent = prefixes(given, levels, size, t).join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rest = cut(candidates(sent, t))
+    if not rest.isEmpty():
+        labels = components(seeded.unionByName(verified(rest, nodes, given, size, t)))
     named = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return rows.join(named.join(least, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
+    least = named.groupBy("component").agg(F.min("first").alias("least"))
+    by_node = named.join(least, "component").select("node", F.col("least.doc_id").alias("component_id"), F.col("least.code").alias("first_code"))
+    return rows.join(by_node, "node").select("doc_id", "code", "component_id", "first_code")

@@ -1,7 +1,10 @@
 """SimHash near-duplicate groups through a Gray-order hierarchical index.
 
-Fingerprints within ``RADIUS`` bits of each other agree exactly in one of RADIUS + 1 blocks of bits, so
-each distinct fingerprint goes to one *segment* for each block: all fingerprints with the same bits there.
+Fingerprints within ``RADIUS`` bits of each other differ in at most RADIUS blocks of bits, so of B blocks they
+agree in B - RADIUS at least.  Each distinct fingerprint goes to one *segment* for each choice of so many blocks:
+all fingerprints with the same leading bits there.  How many blocks, and how many of their bits name a segment,
+follows from the number of fingerprints, so that a segment holds about SEGMENT of them at any size.
+
 In a segment fingerprints are sorted by their rank in the reflected Gray code, where neighbours share long
 runs of bits.  Over the sorted list stands a hierarchy: each node keeps the bits that all fingerprints below
 it share, as a mask and a pattern.  Two nodes whose shared patterns differ in more than RADIUS places are
@@ -9,27 +12,33 @@ pruned with everything below them; the rest is followed down to single fingerpri
 fingerprints are all known to be connected are skipped, so a dense cluster is not compared pair by pair.  What is
 sent on is a star for each component of a segment, so that joining the segments takes few rounds.
 
-Segments of more than CHUNK fingerprints are cut into chunks, and every pair of chunks is a task of its own
-size.  Segments are 4 * 65,536 at most whatever the corpus, so their counts are a bounded broadcast.
+A segment of more than CHUNK fingerprints is cut into chunks, and every pair of chunks is a task of its own size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import cut, documents
 from lectern.llm.components import components
 
-RADIUS, BLOCKS, BLOCK_BITS = 3, 4, 16
-CHUNK = 1024
+RADIUS = 3
+#: Numbers of blocks, each with the bits that RADIUS of them leave at least.
+BLOCKS = ((4, 16), (5, 25), (6, 31))
+#: Fingerprints of a segment on average, and those beyond which it is cut.
+SEGMENT, CHUNK = 512, 2048
+#: Crowded segments up to which they are broadcast.
+BROADCAST = 1 << 18
 #: Fingerprints below one node of the lowest level, and nodes below one node of a higher one.
-LEAF, FAN = 16, 8
+LEAF, FAN = 4, 8
 #: Node pairs that are looked at together.
 PAIRS = 1 << 16
 #: Words of a text whose shingles are hashed at a time.
@@ -106,7 +115,7 @@ class Index:
     """The hierarchy over fingerprints in Gray order: for each level, from single ones up, (mask, pattern)."""
 
     def __init__(self, fps: np.ndarray):
-        self.fps = fps
+        self.fps, self.pruned, self.met = fps, 0, 0
         self.levels = [(np.full(len(fps), ~np.uint64(0)), fps)]
         self.sizes = [1]
         while len(self.levels[-1][1]) > 1:
@@ -140,7 +149,10 @@ class Index:
             x, y = x[keep], y[keep]
             mask, pattern = self.levels[level - 1]
             near = np.bitwise_count((pattern[x] ^ pattern[y]) & mask[x] & mask[y]) <= RADIUS
+            self.met += len(x)
             x, y = x[near], y[near]
+            if level > 1:
+                self.pruned += len(near) - len(x)
             if known:
                 if level - 1 not in single:
                     spans = int(np.prod(self.sizes[1:level])) if level > 1 else 1
@@ -159,16 +171,10 @@ class Index:
 
 
 def segment_links(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of the links among distinct fingerprints."""
+    """Spanning forest of the links among distinct fingerprints, as places."""
     order = np.argsort(gray_rank(fps))
-    fps = fps[order]
-    if len(fps) <= LEAF:
-        near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= RADIUS
-        a, b = np.nonzero(np.triu(near, 1))
-    else:
-        found = np.array(Index(fps).links(), dtype=np.int64).reshape(-1, 2)
-        a, b = found[:, 0], found[:, 1]
-    return fps[a], fps[b]
+    found = order[np.array(Index(fps[order]).links(), dtype=np.int64).reshape(-1, 2)]
+    return found[:, 0], found[:, 1]
 
 
 def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,37 +188,74 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[leaves], nodes[roots[leaves]]
 
 
-def fingerprint_links(distinct: DataFrame) -> DataFrame:
-    """(a, b): links among distinct fingerprints (column fp) that connect all within RADIUS bits."""
-    key = lambda k: F.lit(k << BLOCK_BITS) + F.shiftrightunsigned("fp", k * BLOCK_BITS).bitwiseAND((1 << BLOCK_BITS) - 1)
-    keyed = distinct.select("fp", F.explode(F.array(*(key(k).cast("int") for k in range(BLOCKS)))).alias("segment"))
-    # at most BLOCKS * 2**BLOCK_BITS rows
-    crowded = F.broadcast(keyed.groupBy("segment").count().filter(F.col("count") > CHUNK).select("segment", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks")))
+def layout(n: int) -> tuple[int, int]:
+    """(blocks, bits that name a segment) for ``n`` fingerprints."""
+    wanted = max(0, ceil(log2(max(n, 1) / SEGMENT)))
+    blocks, most = next((x for x in BLOCKS if wanted <= x[1]), BLOCKS[-1])
+    return blocks, min(wanted, most)
+
+
+def segments(fp: str, n: int) -> Column:
+    """The segments of a fingerprint: for each choice of blocks, its number and the leading bits of these blocks."""
+    blocks, width = layout(n)
+    if not width:
+        return F.array(F.lit(0).cast("long"))
+    edges = [round(64 * k / blocks) for k in range(blocks + 1)]
+    out = []
+    for i, chosen in enumerate(combinations(range(blocks), blocks - RADIUS)):
+        value, bits = F.lit(0).cast("long"), 0
+        for k in chosen:
+            size = edges[k + 1] - edges[k]
+            part = F.shiftrightunsigned(fp, edges[k]).bitwiseAND((1 << size) - 1)
+            value, bits = F.shiftleft(value, size).bitwiseOR(part), bits + size
+        out.append(F.lit(i << 32).cast("long") + F.shiftrightunsigned(value, bits - width))
+    return F.array(*out)
+
+
+def fingerprint_links(distinct: DataFrame, name: str = "fp") -> DataFrame:
+    """(a, b): links among distinct fingerprints (column fp) that connect all within RADIUS bits.
+
+    Ends are told by the column ``name``, a long that is different for each fingerprint.
+    """
+    given = distinct.select("fp", F.col(name).alias("name"))
+    keyed = given.select("fp", "name", F.explode(segments("fp", given.count())).alias("segment"))
+    counts = keyed.groupBy("segment").count().filter(F.col("count") > CHUNK)
+    crowded = cut(counts.select("segment", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks")))
+    crowded = F.broadcast(crowded) if crowded.count() <= BROADCAST else crowded
     own = F.pmod(F.xxhash64("fp"), F.col("chunks").cast("long")).cast("int")
     dealt = keyed.join(crowded, "segment", "left").withColumn("own", F.coalesce(own, F.lit(0)))
-    met = dealt.select("fp", "segment", "own", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)).alias("other"))
-    pairs = met.select("segment", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "fp")
+    last = F.coalesce("chunks", F.lit(1)) - 1
+    met = dealt.select("fp", "name", "segment", "own", F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    low, high = F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")
+    pairs = met.select("segment", low, high, "fp", "name")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
-            columns = [batch.column(i).to_numpy() for i in range(4)]
+            columns = [batch.column(i).to_numpy() for i in range(5)]
             if rest is not None:
                 columns = [np.concatenate([x, y]) for x, y in zip(rest, columns, strict=True)]
-            change = np.flatnonzero((np.diff(columns[0]) != 0) | (np.diff(columns[1]) != 0) | (np.diff(columns[2]) != 0)) + 1
+            change = np.flatnonzero(np.any([np.diff(x) != 0 for x in columns[:3]], axis=0)) + 1
             if len(change):
-                yield linked(np.split(columns[3][: change[-1]], change[:-1]))
-                columns = [x[change[-1] :] for x in columns]
+                at = change[-1]
+                parts = [np.split(x[:at], change[:-1]) for x in columns[3:]]
+                yield linked(list(zip(*parts, strict=True)))
+                columns = [x[at:] for x in columns]
             rest = columns
         if rest is not None:
-            yield linked([rest[3]])
-
-    def linked(segments: list[np.ndarray]) -> pa.RecordBatch:
-        found = [stars(*segment_links(x.view(np.uint64))) for x in segments if len(x) > 1]
-        a, b = (np.concatenate([np.zeros(0, np.uint64), *(x[i] for x in found)]).view(np.int64) for i in range(2))
+            yield linked([(rest[3], rest[4])])
+
+    def linked(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        ends = [np.zeros((2, 0), np.int64)]
+        for fps, names in parts:
+            if len(fps) > 1:
+                a, b = segment_links(fps.view(np.uint64))
+                ends.append(np.stack(stars(names[a], names[b])))
+        a, b = np.concatenate(ends, axis=1)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return pairs.repartition("segment", "low", "high").sortWithinPartitions("segment", "low", "high").mapInArrow(run, "a long, b long").distinct()
+    met = pairs.repartition("segment", "low", "high").sortWithinPartitions("segment", "low", "high")
+    return met.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -12,7 +12,7 @@ from lectern.llm import language, pii, queries
 from lectern.llm.common import table as read
 
 from .test_search import brute_leaks
-from .test_simhash import brute as brute_groups
+from .test_resemblance import brute as brute_groups
 from .test_text import BPE, brute_base, brute_bpe
 from .tools import by_id
 
@@ -41,7 +41,7 @@ def test_language_stage(spark, stages):
 
 def test_near_duplicate_stage(stages):
     groups = brute_groups([(r["doc_id"], r["text"]) for r in stages[1]])
-    kept = {component for _, _, component in groups}
+    kept = {component for _, component in groups}
     assert by_id(stages[2], *COLUMNS) == by_id([r for r in stages[1] if r["doc_id"] in kept], *COLUMNS)
 
 

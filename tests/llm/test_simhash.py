@@ -2,14 +2,17 @@
 
 import random
 import re
+from pathlib import Path
 
 import numpy as np
+import pytest
 import xxhash
 
 from lectern.llm import components, queries, simhash
 
 from .tools import EDGES, by_id, documents_of, prose, table
 
+LARGE = Path("/root/testdata/sf0.1")
 COLUMNS = ("doc_id", "fingerprint", "component_id")
 
 
@@ -77,7 +80,7 @@ def test_segments_find_all_links():
         seeds = [rng.getrandbits(64) for _ in range(5)]
         fps = {rng.choice(seeds) ^ sum(1 << b for b in rng.sample(range(spread + 20), rng.randrange(6))) for _ in range(n)}
         array = np.array(sorted(fps), dtype=np.uint64)
-        a, b = simhash.segment_links(array)
+        a, b = (array[x] for x in simhash.segment_links(array))
         assert (np.bitwise_count(a ^ b) <= 3).all()
         want = brute_groups(list(enumerate(array.tolist())))
         forest = simhash.Forest(len(array))
@@ -87,8 +90,11 @@ def test_segments_find_all_links():
         assert [forest.find(k) for k in range(len(array))] == want
 
 
-def test_crowded_segments_are_cut(spark, monkeypatch):
+@pytest.mark.parametrize("per_segment", [512, 16, 400 / 2**20, 400 / 2**28])
+def test_segments_of_any_width_find_all_links(spark, monkeypatch, per_segment):
+    """One segment, leading bits of one block of four, of two blocks of five, of three blocks of six."""
     monkeypatch.setattr(simhash, "CHUNK", 16)
+    monkeypatch.setattr(simhash, "SEGMENT", per_segment)
     rng = random.Random(6)
     fps = sorted({sum(1 << b for b in rng.sample(range(20), rng.randrange(8))) for _ in range(400)})
     frame = spark.createDataFrame([(f,) for f in fps], "fp long")
@@ -98,12 +104,22 @@ def test_crowded_segments_are_cut(spark, monkeypatch):
     assert [found.get(f, f) for f in fps] == want
 
 
-def test_components_of_a_path_and_a_star(spark):
+def test_whole_nodes_are_pruned_on_the_table(spark):
+    docs = spark.read.parquet(f"{LARGE}/documents.parquet") if LARGE.exists() else pytest.skip(f"no tables in {LARGE}")
+    fps = np.unique(np.array([simhash.fingerprint(r["text"]) for r in docs.select("text").collect()], dtype=np.uint64))
+    index = simhash.Index(fps[np.argsort(simhash.gray_rank(fps))])
+    assert len(index.links()) > 0
+    # pairs of nodes that went with everything below them, and pairs looked at, against all pairs
+    assert index.pruned > 100_000 and index.met < len(fps) * (len(fps) - 1) // 4
+
+
+@pytest.mark.parametrize("few", [0, components.FEW])
+def test_components_of_a_path_and_a_star(spark, few):
     path = [(k, k + 1) for k in range(200)]
     star = [(1000, 1001 + k) for k in range(200)]
-    rows = components.components(spark.createDataFrame([*path, *star, (5, 5)], "a long, b long")).collect()
+    rows = components.components(spark.createDataFrame([*path, *star, (5, 5)], "a long, b long"), few=few).collect()
     assert {r["node"]: r["component"] for r in rows} == {**dict.fromkeys(range(201), 0), **dict.fromkeys(range(1000, 1201), 1000)}
-    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components.components(spark.createDataFrame([], "a long, b long"), few=few).count() == 0
 
 
 def test_gray_rank_orders_the_gray_code():
