@@ -10,9 +10,6 @@ all stages as an empty table.  Other columns than those of ``documents`` are dro
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,8 +38,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     Of each group of linked documents one stays: of the smallest doc_id, null last, the text of the smallest hash.
     """
     docs = columns(docs)
-    found = resemblance.near_duplicates(docs)
-    kept = found.select(F.coalesce("component_id", F.lit(NO_ID)).alias("_key"), F.col("first_code").alias("_code")).distinct()
+    kept = resemblance.kept(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_key"), F.col("code").alias("_code"))
     keys = docs.withColumn("_key", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("_code", F.xxhash64("text"))
     once = keys.groupBy("_key", "_code").agg(F.min(F.struct(*COLUMNS)).alias("row"))
     return once.join(kept, ["_key", "_code"], "left_semi").select("row.*")
@@ -57,21 +53,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data are marked by kind, revealing terms generalised or removed; n_chars counts the new text."""
-    docs = columns(docs)
-    spans = pii.find_pii(docs).filter("size(base) + size(added) > 0").select("key", "crc", F.concat("base", "added").alias("spans")).dropDuplicates(["key", "crc"])
-    both = docs.withColumn("_key", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("_crc", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
-    joined = both.join(spans, (F.col("_key") == F.col("key")) & (F.col("_crc") == F.col("crc")), "left").select(*COLUMNS, "spans")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for n in range(batch.num_rows):
-                if (spans := batch.column(5)[n]).is_valid and texts[n] is not None:
-                    texts[n] = pii.sanitise(texts[n], spans.as_py())
-            counts = [None if t is None else len(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), batch.column(2), batch.column(3), pa.array(counts, pa.int64())], list(COLUMNS))
-
-    return joined.mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind in COLUMNS.items()))
+    return pii.sanitised(columns(docs)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

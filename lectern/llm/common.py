@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,15 +45,25 @@ def crc32_text(col: str | Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names; only where none is named, a folder of this machine."""
+    """The checkpoint folder that the cluster names; only where none is named and all runs on one machine, a folder of it."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "lectern-checkpoints"))
     return context.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared checkpoint folder: later steps neither repeat the work before nor lose it with an executor."""
+    """The same rows, written to the shared checkpoint folder: later steps neither repeat the work before nor lose it with an executor.
+
+    The files go with the frame where spark.cleaner.referenceTracking.cleanCheckpoints is set, else with the folder.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def near(df: DataFrame, most: int = 1 << 16) -> DataFrame:
+    """``df``, a written table of narrow rows, to be broadcast if it has ``most`` rows at most."""
+    return F.broadcast(df) if df.count() <= most else df

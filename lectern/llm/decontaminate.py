@@ -11,10 +11,15 @@ shingle), weighted by how often they occur, sum of minima over sum of maxima.
 2. In these, shingles are looked up among the items' shingles.  A window of similarity t shares at least
    t / (1 + t) of both sides' shingles, so every start is tried from which that many places of hits on one
    item lie in the window, in whatever order; no other start can reach t.
-3. These windows get a SimHash fingerprint.  Windows and items of one size meet by multi-index blocks: the
+3. These windows get a SimHash fingerprint of their words, as items do.  A changed word changes five shingles
+   but one word, and a moved part hardly changes any, so windows of similarity t are within RADIUS bits of the item
+   nearly always, while other windows seldom are.  Windows and items of one size meet by multi-index blocks: the
    64 bits are cut into RADIUS + 1 blocks, and fingerprints within RADIUS bits agree in one block at least.
 4. Pairs within RADIUS are verified by their exact similarity.
 
+Windows travel as (document, place, hash of their shingles).  Equal windows of many documents are one to compare,
+and words and shingles are made for one of them only.
+
 Items are held against all documents, so they are the small side: they are broadcast if their shingles were
 counted and are few, and shuffled otherwise.
 """
@@ -24,10 +29,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import crc32_text, cut, pick
+from lectern.llm.common import crc32_text, cut, near as nearby, pick
 from lectern.llm.substring import NO_ID
 
-SHINGLE, THRESHOLD, RADIUS = 5, 0.8, 19
+SHINGLE, THRESHOLD, RADIUS = 5, 0.8, 11
 #: Shingles of all items up to which they are broadcast.
 BROADCAST = 500_000
 #: First words of probes up to which they are a set in the plan; beyond, all shingles are looked up.
@@ -42,18 +47,24 @@ def paired(left: Column, right: Column) -> Column:
     return F.zip_with(left, right, lambda a, b: F.xxhash64(a, b))
 
 
-def shingled(rows: DataFrame, k: int) -> DataFrame:
-    """Column ``shingles``: hash of the k words from each place on; column ``n``: number of words."""
+def hashed(rows: DataFrame, kinds: list[int]) -> DataFrame:
+    """Columns n (number of words), h1 (their hashes) and, for each k of ``kinds``, h{k}: hash of the k words from each place on."""
     out = rows.withColumn("h1", F.transform(words_of("text"), lambda w: F.xxhash64(w))).withColumn("n", F.size("h1"))
-    if k >= 2:
-        out = out.withColumn("h2", paired(F.col("h1"), F.slice("h1", 2, F.size("h1"))))
-    if k == 3:
-        out = out.withColumn("h3", paired(F.col("h2"), F.slice("h1", 3, F.size("h1"))))
-    if k >= 4:
-        out = out.withColumn("h4", paired(F.col("h2"), F.slice("h2", 3, F.size("h2"))))
-    if k == 5:
-        out = out.withColumn("h5", paired(F.col("h4"), F.slice("h1", 5, F.size("h1"))))
-    return out.withColumn("shingles", F.slice(f"h{k}", 1, F.greatest(F.col("n") - (k - 1), F.lit(0)))).drop("h1", "h2", "h3", "h4", "h5")
+    made = {2: (1, 1, 2), 3: (2, 1, 3), 4: (2, 2, 3), 5: (4, 1, 5)}
+    needed = {k for k in made if k in kinds or (k == 2 and set(kinds) & {3, 4, 5}) or (k == 4 and 5 in kinds)}
+    for k in sorted(needed):
+        one, two, at = made[k]
+        out = out.withColumn(f"h{k}", paired(F.col(f"h{one}"), F.slice(f"h{two}", at, F.size(f"h{two}"))))
+    cut_off = {f"h{k}": F.slice(f"h{k}", 1, F.greatest(F.col("n") - (k - 1), F.lit(0))) for k in needed}
+    return out.withColumns(cut_off) if cut_off else out
+
+
+def by_kind(k: str | Column, kinds: list[int]) -> Column:
+    """The column h{k} of ``hashed`` for the k of a row."""
+    out = F.lit(None).cast("array<bigint>")
+    for each in kinds:
+        out = F.when((F.col(k) if isinstance(k, str) else k) == each, F.col(f"h{each}")).otherwise(out)
+    return out
 
 
 def simhash(shingles: str) -> Column:
@@ -69,16 +80,18 @@ def blocks(fp: str) -> Column:
 
 
 def items_of(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(item_id, code, k, n, shingles, fp) of every item with a word; code tells items of equal id apart."""
-    rows = pick(benchmark, item_id=(id_col, "long"), text=(text_col, "string")).filter("text is not null").withColumn("code", F.xxhash64("text")).distinct()
-    out = None
-    for k in range(1, SHINGLE + 1):
-        own = F.col("n") >= SHINGLE if k == SHINGLE else F.col("n") == k
-        part = shingled(rows, k).filter(own).withColumn("k", F.lit(k))
-        out = part if out is None else out.unionByName(part)
-    led = F.zip_with(F.slice(words_of("text"), 1, F.size("shingles")), "shingles", lambda w, h: F.struct((-F.length(w)).alias("rank"), w.alias("word"), h.alias("shingle")))
+    """(item_id, code, k, size, shingles, fp) of every item with a word; code tells items of equal id apart."""
+    kinds = list(range(1, SHINGLE + 1))
+    rows = pick(benchmark, item_id=(id_col, "long"), text=(text_col, "string")).filter("text is not null")
+    rows = hashed(rows.withColumn("code", F.xxhash64("text")).distinct(), kinds).filter("n > 0")
+    rows = rows.withColumn("k", F.least(F.lit(SHINGLE), "n")).withColumn("shingles", by_kind("k", kinds))
+    led = F.zip_with(
+        F.slice(words_of("text"), F.lit(1), F.size("shingles")), "shingles",
+        lambda w, h: F.struct((-F.length(w)).alias("rank"), w.alias("word"), h.alias("shingle")),
+    )
     enough = (F.floor(F.size("shingles") * (1 - THRESHOLD) + 1e-9) + 1).cast("int")
-    return out.select("item_id", "code", "k", "n", "shingles", simhash("shingles").alias("fp"), F.slice(F.array_sort(led), F.lit(1), enough).alias("probes"))
+    probes = F.slice(F.array_sort(led), F.lit(1), enough).alias("probes")
+    return rows.select("item_id", "code", "k", F.col("n").alias("size"), "shingles", simhash("h1").alias("fp"), probes)
 
 
 def shingle_at(words: Column, i: Column, k: int) -> Column:
@@ -95,31 +108,33 @@ def shingle_at(words: Column, i: Column, k: int) -> Column:
 
 
 def with_probe(rows: DataFrame, items: DataFrame, kinds: list[int], near) -> DataFrame:
-    """Rows of the documents in which a probe of some item occurs."""
+    """The documents in which a probe of some item occurs, repeated rows once."""
     probes = items.select("k", F.explode("probes").alias("p")).select("k", "p.word", "p.shingle").distinct()
     words = [r[0] for r in probes.select("word").distinct().limit(LITERALS + 1).collect()]
-    if len(words) > LITERALS:
-        return rows
-    split = rows.withColumn("words", words_of("text"))
-    places = F.filter(F.transform("words", lambda w, i: F.when(w.isin(words), i)), lambda i: i.isNotNull())
-    placed = split.select("key", "crc", "words", places.alias("places")).filter(F.size("places") > 0)
-    hits = [_hits(k) for k in kinds]
-    found = placed.select("key", "crc", F.explode(F.array_distinct(F.concat(*hits))).alias("x")).select("key", "crc", "x.k", "x.shingle")
-    held = found.join(near(probes.select("k", "shingle").distinct()), ["k", "shingle"], "left_semi").select("key", "crc").distinct()
-    return cut(rows.join(held, ["key", "crc"], "left_semi"))
+    if len(words) <= LITERALS:
+        split = rows.withColumn("words", words_of("text"))
+        places = F.filter(F.transform("words", lambda w, i: F.when(w.isin(words), i)), lambda i: i.isNotNull())
+        placed = split.select("key", "crc", "words", places.alias("places")).filter(F.size("places") > 0)
+        hits = F.explode(F.array_distinct(F.concat(*(_hits(k) for k in kinds)))).alias("x")
+        found = placed.select("key", "crc", hits).select("key", "crc", "x.k", "x.shingle")
+        held = found.join(near(probes.select("k", "shingle").distinct()), ["k", "shingle"], "left_semi")
+        held = cut(held.select("key", "crc").distinct())
+        rows = rows.join(nearby(held), ["key", "crc"], "left_semi")
+    return cut(rows.groupBy("key", "crc").agg(F.min("text").alias("text")))
 
 
 def _hits(k: int) -> Column:
     return F.transform("places", lambda i: F.struct(F.lit(k).alias("k"), shingle_at(F.col("words"), i, k).alias("shingle")))
 
 
-def promising(k: int) -> Column:
+def promising() -> Column:
     """Every start of a window that holds enough of ``places``, sorted places of hits of one item in one document.
 
     Enough places lie in the window if some place and the one ``enough`` - 1 after it do.  That gives an
     interval of starts for each place; what an interval shares with the one before is left to that one.
     """
-    of_item, of_window = F.col("size") - (k - 1), F.least("size", "n") - (k - 1)
+    less = F.col("k") - 1
+    of_item, of_window = F.col("size") - less, F.least("size", "n") - less
     enough = F.ceil((of_item + of_window) * (THRESHOLD / (1 + THRESHOLD)) - 1e-9).cast("int")
     last = F.greatest(F.lit(0), F.col("n") - F.col("size"))
 
@@ -132,6 +147,29 @@ def promising(k: int) -> Column:
     return F.flatten(F.transform("places", interval))
 
 
+def windows_of(keyed: DataFrame, items: DataFrame, kinds: list[int], near) -> DataFrame:
+    """(key, crc, k, size, start, kind) of every window that can be similar to an item; kind tells different windows apart."""
+    spots = items.select("item_id", "code", "k", "size", F.explode(F.array_distinct("shingles")).alias("shingle"))
+    made = hashed(keyed, kinds)
+
+    def laid(k: int) -> Column:
+        return F.transform(f"h{k}", lambda h, i: F.struct(F.lit(k).alias("k"), i.alias("place"), h.alias("shingle")))
+
+    places = made.select("key", "crc", "n", F.explode(F.concat(*map(laid, kinds))).alias("x")).select("key", "crc", "n", "x.*")
+    hits = places.join(near(spots), ["k", "shingle"]).repartition("key", "crc")
+    hits = hits.groupBy("key", "crc", "n", "k", "item_id", "code", "size").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    starts = F.transform(promising(), lambda start: F.struct("k", "size", start.alias("start")))
+    mine = hits.groupBy("key", "crc").agg(F.array_distinct(F.flatten(F.collect_list(starts))).alias("windows")).filter(F.size("windows") > 0)
+    kind = lambda w: F.xxhash64(w["k"], w["size"], said(by_kind(w["k"], kinds), w["k"], w))
+    told = F.transform("windows", lambda w: F.struct(w["k"].alias("k"), w["size"].alias("size"), w["start"].alias("start"), kind(w).alias("kind")))
+    return cut(made.join(mine, ["key", "crc"]).select("key", "crc", F.explode(told).alias("w")).select("key", "crc", "w.*"))
+
+
+def said(hashes: Column, k: Column, window: Column) -> Column:
+    """What of a document's hashes of k words stands in a window."""
+    return F.slice(hashes, window["start"] + 1, F.greatest(window["size"] - (k - 1), F.lit(1)))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, start, n_words, distance, similarity): each contaminated document with each of its items.
 
@@ -141,38 +179,48 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     result; other columns are ignored.
     """
     items = cut(items_of(benchmark, item_col, item_text))
-    kinds = {r["k"]: r["m"] for r in items.groupBy("k").agg(F.sum(F.size("shingles")).alias("m")).collect()}
-    small = sum(kinds.values()) <= BROADCAST
-    near = F.broadcast if small else (lambda x: x)
+    counts = {r["k"]: r["m"] for r in items.groupBy("k").agg(F.sum(F.size("shingles")).alias("m")).collect()}
+    if not counts:
+        schema = "doc_id long, item_id long, start int, n_words int, distance int, similarity double"
+        return docs.sparkSession.createDataFrame([], schema)
+    kinds = sorted(counts)
+    near = F.broadcast if sum(counts.values()) <= BROADCAST else (lambda x: x)
     rows = pick(docs, doc_id=(id_col, "long"), text=(text_col, "string")).filter("text is not null")
     keyed = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), crc32_text("text").alias("crc"), "text")
-    keyed = with_probe(keyed, items, sorted(kinds), near) if kinds else keyed
-    found = None
-    for k in sorted(kinds):
-        mine = items.filter(F.col("k") == k)
-        spots = mine.select("item_id", "code", F.col("n").alias("size"), F.explode(F.array_distinct("shingles")).alias("shingle"))
-        places = shingled(keyed, k).select("key", "crc", "n", F.posexplode("shingles").alias("place", "shingle"))
-        hits = places.join(near(spots), "shingle").groupBy("key", "crc", "n", "item_id", "code", "size").agg(F.sort_array(F.collect_set("place")).alias("places"))
-        starts = hits.select("key", "crc", "size", F.explode(promising(k)).alias("start")).distinct()
-        windows = starts.groupBy("key", "crc").agg(F.collect_list(F.struct("size", "start")).alias("windows"))
-        texts = shingled(keyed.join(windows, ["key", "crc"]), k)
-        laid = texts.select("key", "crc", F.explode(F.transform("windows", lambda w: F.struct(w["size"].alias("size"), w["start"].alias("start"), F.slice("shingles", w["start"] + 1, F.greatest(w["size"] - (k - 1), F.lit(1))).alias("shingles")))).alias("w"))
-        # equal windows of many documents are one fingerprint to compare and verify
-        window = laid.select("key", "crc", "w.size", "w.start", "w.shingles").withColumn("kind", F.xxhash64("size", "shingles"))
-        kept = cut(window)
-        distinct = kept.groupBy("kind", "size").agg(F.first("shingles").alias("shingles")).withColumn("fp", simhash("shingles"))
-        cells = distinct.select("kind", "size", "fp", F.explode(blocks("fp")).alias("b")).select("kind", "size", "fp", "b.block", "b.bits")
-        theirs = mine.select("item_id", "code", F.col("n").alias("size"), F.col("fp").alias("item_fp"), F.explode(blocks("fp")).alias("b")).select("item_id", "code", "size", "item_fp", "b.block", "b.bits")
-        distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-        pairs = cells.join(near(theirs), ["size", "block", "bits"]).filter(distance <= RADIUS).select("kind", "item_id", "code", distance.cast("int").alias("distance")).distinct()
-        sides = pairs.join(distinct.select("kind", F.col("shingles").alias("a")), "kind").join(near(mine.select("item_id", "code", F.col("shingles").alias("b"))), (pairs["item_id"].eqNullSafe(mine["item_id"])) & (pairs["code"] == mine["code"])).select("kind", pairs["item_id"], "distance", "a", "b")
-        shared = F.expr("aggregate(array_distinct(b), 0, (s, x) -> s + least(size(filter(a, y -> y = x)), size(filter(b, y -> y = x))))")
-        similarity = shared / (F.size("a") + F.size("b") - shared)
-        verified = sides.select("kind", "item_id", "distance", similarity.alias("similarity")).filter(F.col("similarity") >= THRESHOLD)
-        part = kept.select("key", "crc", "size", "start", "kind").join(verified, "kind").select("key", "item_id", "start", F.col("size").alias("n_words"), "distance", "similarity")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        empty = docs.sparkSession.createDataFrame([], "key long, item_id long, start int, n_words int, distance int, similarity double")
-        found = empty
-    best = found.groupBy("key", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("rank"), "start", "n_words", "distance")).alias("x"))
-    return best.select(F.nullif("key", F.lit(NO_ID)).alias("doc_id"), "item_id", "x.start", "x.n_words", "x.distance", (-F.col("x.rank")).alias("similarity"))
+    keyed = with_probe(keyed, items, kinds, near)
+    windows = windows_of(keyed, items, kinds, near)
+    # one of many equal windows
+    best = windows.groupBy("kind").agg(F.min(F.struct("key", "crc", "k", "size", "start")).alias("w")).select("kind", "w.*")
+    of_doc = best.groupBy("key", "crc").agg(F.collect_list(F.struct("kind", "k", "size", "start")).alias("windows"))
+    parts = F.transform("windows", lambda w: F.struct(
+        w["kind"].alias("kind"), w["size"].alias("size"), said(by_kind(w["k"], kinds), w["k"], w).alias("shingles"),
+        said(F.col("h1"), F.lit(1), w).alias("words"),
+    ))
+    made = hashed(keyed.join(of_doc, ["key", "crc"]), kinds).select(F.explode(parts).alias("w")).select("w.*")
+    made = cut(made.select("kind", "size", "shingles", simhash("words").alias("fp")))
+    pairs = block_pairs(made, items, near)
+    ends = items.select("item_id", "code", F.col("shingles").alias("b"))
+    sides = pairs.join(made.select("kind", F.col("shingles").alias("a")), "kind")
+    sides = sides.join(near(ends), pairs["item_id"].eqNullSafe(ends["item_id"]) & (pairs["code"] == ends["code"]))
+    sides = sides.select("kind", pairs["item_id"], "distance", "a", "b")
+    shared = F.expr("aggregate(array_distinct(b), 0, (s, x) -> s + least(size(filter(a, y -> y = x)), size(filter(b, y -> y = x))))")
+    similarity = shared / (F.size("a") + F.size("b") - shared)
+    verified = sides.select("kind", "item_id", "distance", similarity.alias("similarity")).filter(F.col("similarity") >= THRESHOLD)
+    found = windows.join(nearby(cut(verified)), "kind").select("key", "item_id", F.struct((-F.col("similarity")).alias("rank"), "start", "size", "distance").alias("x"))
+    first = found.groupBy("key", "item_id").agg(F.min("x").alias("x"))
+    told = F.col("x.start"), F.col("x.size").alias("n_words"), F.col("x.distance"), (-F.col("x.rank")).alias("similarity")
+    return first.select(F.nullif("key", F.lit(NO_ID)).alias("doc_id"), "item_id", *told)
+
+
+def met_by_block(made: DataFrame, items: DataFrame, near) -> DataFrame:
+    """(kind, item_id, code, distance): windows and items of one size that agree in a block, once for each such block."""
+    cells = made.select("kind", "size", "fp", F.explode(blocks("fp")).alias("b")).select("kind", "size", "fp", "b.*")
+    theirs = items.select("item_id", "code", "size", F.col("fp").alias("item_fp"), F.explode(blocks("fp")).alias("b"))
+    theirs = theirs.select("item_id", "code", "size", "item_fp", "b.*")
+    distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).cast("int").alias("distance")
+    return cells.join(near(theirs), ["size", "block", "bits"]).select("kind", "item_id", "code", distance)
+
+
+def block_pairs(made: DataFrame, items: DataFrame, near) -> DataFrame:
+    """(kind, item_id, code, distance): windows and items of one size whose fingerprints are within RADIUS bits."""
+    return met_by_block(made, items, near).filter(F.col("distance") <= RADIUS).distinct()

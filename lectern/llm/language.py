@@ -21,17 +21,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lectern.llm.common import pick, position
 
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS, DIMENSIONS = 1 << 16, 16
-#: Labelled rows in the training sample: about SAMPLE, and at most twice as many.
-SAMPLE = 3000
+#: Different labelled texts in the training sample at most, and languages: those with most different texts.
+SAMPLE, LANGUAGES = 3000, 256
 EPOCHS, RATE, HELD_BACK = 8, 0.5, 0.2
-#: At most this share of the held-back rows may be rejected, and never for a score above CEILING.
-REJECTED, CEILING = 0.001, 0.5
+#: This share of the held-back rows is rejected, as far as their number resolves it, and never for a score above CEILING.
+REJECTED, CEILING = 0.005, 0.5
 #: Words that a worker remembers before it starts afresh.
 MEMORY = 1 << 19
 
@@ -89,14 +90,34 @@ class Scores(dict):
         return self.rows[places]
 
 
+def quotas(counts: dict[str, int], size: int) -> dict[str, int]:
+    """Texts of each language in a sample of ``size``: all of a rare one, and equal shares of what is left."""
+    out, left = {}, size
+    for k, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = max(1, min(n, left // (len(counts) - k)))
+        left = max(0, left - out[lang])
+    return out
+
+
 def sampled(labelled: DataFrame, size: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """(lang, buckets, their shares) of about ``size`` different rows picked by a hash of their text; whole texts are read.
+    """(lang, buckets, their shares) of ``size`` different texts at most; whole texts are read.
 
-    Copies of a picked text count once, so a large group of copies cannot fill the sample.
+    Each language has the texts of smallest hash, as many as ``quotas`` gives it, so none is left out for being
+    rare, and copies of a text count once, so that a large group of copies cannot fill the sample.  What of a
+    language can be among them is cut off by an estimate of the number of its different texts, which leaves
+    half as many again and some more.
     """
-    total = labelled.count()
-    share = min(1.0, size / max(total, 1))
-    chosen = labelled.filter(F.pmod(F.xxhash64(F.lit("sample"), "text"), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else labelled
+    hashed = labelled.withColumn("h", F.xxhash64(F.lit("sample"), "text").bitwiseAND((1 << 53) - 1))
+    counts = hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    number = {r["lang"]: max(1, r["n"]) for r in counts.collect()}
+    share = quotas(number, size)
+    if not share:
+        return []
+    pairs = [(lang, q, min(1 << 53, int((1.5 * q + 30) / number[lang] * (1 << 53)))) for lang, q in share.items()]
+    limits = F.broadcast(labelled.sparkSession.createDataFrame(pairs, "lang string, quota int, below long"))
+    near = hashed.join(limits, "lang").filter(F.col("h") < F.col("below")).select("lang", "text", "h", "quota").distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    chosen = near.withColumn("place", place).filter(F.col("place") <= F.col("quota")).select("lang", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,19 +129,20 @@ def sampled(labelled: DataFrame, size: int) -> list[tuple[str, np.ndarray, np.nd
                     langs.append(lang), ids.append(b), shares.append((n / n.sum()).astype(np.float32))
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(ids, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))], ["lang", "ids", "shares"])
 
-    rows = chosen.distinct().mapInArrow(features, "lang string, ids array<int>, shares array<float>").limit(2 * size).toArrow()
+    rows = chosen.mapInArrow(features, "lang string, ids array<int>, shares array<float>").toArrow()
     out = [(a, np.asarray(b.values), np.asarray(c.values)) for a, b, c in zip(rows.column(0).to_pylist(), rows.column(1), rows.column(2), strict=True)]
     return sorted(out, key=lambda x: (crc32(x[1].tobytes() + x[2].tobytes()), x[0]))
 
 
 def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Model | None:
-    """Train on all rows but the first fifth, calibrate on that fifth; None without labelled rows."""
+    """Train on all rows but the first fifth of each language, calibrate on that; None without labelled rows."""
     languages = sorted({lang for lang, _, _ in rows})
     if not languages:
         return None
     rng = np.random.default_rng(seed)
-    held = int(len(rows) * HELD_BACK)
-    train, check = rows[held:], rows[:held] or rows
+    by_language = [[r for r in rows if r[0] == lang] for lang in languages]
+    check = [r for own in by_language for r in own[: int(len(own) * HELD_BACK)]] or rows
+    train = [r for own in by_language for r in own[int(len(own) * HELD_BACK) :]]
     embed = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)).astype(np.float32)
     layer, bias = np.zeros((DIMENSIONS, len(languages)), np.float32), np.zeros(len(languages), np.float32)
     step, steps = 0, max(1, EPOCHS * len(train))

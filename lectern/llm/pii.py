@@ -7,11 +7,12 @@ The terms t of all documents that mention it are collected, and the corpus tells
 
 with n(.) counting documents over the whole corpus.  The disclosure is 1 if t occurs only in documents of c and falls
 as t occurs elsewhere.  Terms of enough support whose disclosure reaches GENERALISE are generalised wherever
-they occur, from REMOVE on they are removed.
+they occur, from REMOVE on they are removed.  What a term is generalised to is learned from the corpus too: a
+term that most documents of the entity share and that reveals no entity.
 
 The corpus is read four times: for entities, for terms together with entities of enough texts, for terms
-alone, and for spans.  What is in question is few, so each reading after the first looks entities or words up in
-a bitmap of fixed size and sends on only what it lets through; joins then decide exactly.
+alone, and for spans.  What is in question is few, so the second and third reading look entities or words up in
+a bitmap, whose size follows their number, and send on only what it lets through; joins then decide exactly.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut
-from lectern.llm.substring import keyed
+from lectern.llm.common import crc32_text, cut, near, position
+from lectern.llm.substring import NO_ID, keyed
 
 KINDS = ("email", "ip", "card", "phone")
 ADDED = "term"
@@ -46,8 +47,12 @@ CONTEXT = 48
 #: Different texts that must hold both a term and an entity; fewer are no evidence about an entity.
 SUPPORT = 3
 GENERALISE, REMOVE = 0.9, 0.98
+#: Revealing terms up to which all workers hold them.
+TERMS = 1 << 17
 #: Fewest and most bits that tell a bitmap's cells, and cells for each row put into it.
 BITS, SPARSE = (16, 25), 32
+#: Rows up to which cells are gathered without taking duplicates out first.
+FEW = 1 << 20
 MEMORY = 1 << 19
 #: Pairs of an entity and a term that a worker sends together.
 PAIRS = 1 << 16
@@ -150,10 +155,11 @@ def bitmap(terms: DataFrame, hashed: Column | None = None) -> Broadcast:
 
     2**BITS[1] cells at most come to the driver, whatever the number of rows; beyond that more is let through.
     """
-    width = min(max(ceil(log2(max(terms.count(), 1) * SPARSE)), BITS[0]), BITS[1])
-    cell = F.shiftrightunsigned(F.xxhash64("term") if hashed is None else hashed, 64 - width).cast("int")
+    n = terms.count()
+    width = min(max(ceil(log2(max(n, 1) * SPARSE)), BITS[0]), BITS[1])
+    cells = terms.select(F.shiftrightunsigned(F.xxhash64("term") if hashed is None else hashed, 64 - width).cast("int").alias("cell"))
     hit = np.zeros(1 << width, np.uint8)
-    hit[np.asarray(terms.select(cell.alias("cell")).distinct().toArrow().column(0), np.int64)] = 1
+    hit[np.asarray((cells if n <= FEW else cells.distinct()).toArrow().column(0), np.int64)] = 1
     return terms.sparkSession.sparkContext.broadcast(Bits(np.packbits(hit), width))
 
 
@@ -222,76 +228,169 @@ def term_counts(rows: DataFrame, lets: Broadcast) -> DataFrame:
 
 
 def revealing(rows: DataFrame) -> DataFrame:
-    """(term, disclosure): terms that reveal some entity, with the largest disclosure; written, for two readings follow."""
+    """(term, disclosure, general): terms that reveal some entity, with the largest disclosure; a written table.
+
+    general is what a term to be generalised becomes: of the terms in at least half the documents of the entity that
+    reveal no entity, the one that tells most about it.  It is null if there is none.
+    """
     total = rows.count()
     # an entity of too few texts, or in all documents, has no revealing term
     entities = cut(mentioned(rows).filter((F.col("n_texts") >= SUPPORT) & (F.col("n_entity") < total)).select("entity", "n_entity"))
     counted = together(rows, bitmap(entities.select(F.col("entity").alias("term"))))
     pairs = cut(counted.filter(F.col("n_texts") >= SUPPORT).select("entity", "term", "n_both"))
     counts = term_counts(rows, bitmap(pairs.select("term"))).select("term", F.col("n_docs").alias("n_term"))
-    seen = pairs.join(counts, "term").join(entities, "entity")
     pmi = F.log2(F.lit(float(total)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
     content = F.log2(F.lit(float(total)) / F.col("n_entity"))
-    return cut(seen.filter(F.col("n_entity") < total).groupBy("term").agg(F.max(pmi / content).alias("disclosure")).filter(F.col("disclosure") >= GENERALISE))
+    seen = counts.join(near(pairs), "term").join(near(entities), "entity")
+    seen = cut(seen.select("entity", "term", "n_both", "n_entity", (pmi / content).alias("disclosure")))
+    top = cut(seen.groupBy("term").agg(F.max(F.struct("disclosure", "entity")).alias("top")).select("term", "top.*"))
+    found = top.filter(F.col("disclosure") >= GENERALISE)
+    plain = near(cut(top.filter(F.col("disclosure") < GENERALISE).select("term")))
+    common = seen.filter(F.col("n_both") * 2 >= F.col("n_entity")).join(plain, "term", "left_semi")
+    general = common.groupBy("entity").agg(F.max(F.struct("disclosure", "term")).alias("x"))
+    general = near(cut(general.select("entity", F.col("x.term").alias("general"))))
+    return cut(found.join(general, "entity", "left").select("term", "disclosure", "general"))
+
+
+def gathered(terms: DataFrame) -> Broadcast | None:
+    """term -> (disclosure, general) for all workers, if there are TERMS of them at most."""
+    if terms.count() > TERMS:
+        return None
+    return terms.sparkSession.sparkContext.broadcast({r["term"]: (r["disclosure"], r["general"]) for r in terms.collect()})
+
+
+def outside(text: str, known, spans: list[tuple[str, int, int]]) -> Iterator[re.Match]:
+    """Mentions of ``known`` terms outside the ``spans`` of the patterns."""
+    if any(map(known.__contains__, set(TERM.findall(text.lower())))):
+        for m in TERM.finditer(text):
+            if m[0].lower() in known and not any(s < m.end() and m.start() < e for _, s, e in spans):
+                yield m
+
+
+def told(kind: str, start: int, end: int, disclosure: float | None = None, general: str | None = None) -> dict:
+    return {"kind": kind, "start": start, "end": end, "disclosure": disclosure, "general": general}
+
+
+def spans_of(text: str, known: dict[str, tuple[float, str | None]]) -> tuple[list[dict], list[dict]]:
+    """Spans of the patterns, and of revealing terms, both by start."""
+    base = base_spans(text)
+    return [told(*x) for x in base], [told(ADDED, *m.span(), *known[m[0].lower()]) for m in outside(text, known, base)]
+
+
+class Held:
+    """The words that a bitmap lets through, as a set that remembers."""
+
+    def __init__(self, bits: Bits):
+        self.known = Lets(bits)
+
+    def __contains__(self, word: str) -> bool:
+        return self.known[word]
 
 
 def term_spans(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """(key, crc, start, end, disclosure) of every mention of a revealing term outside base spans; equal rows give it once."""
+    """(key, crc, start, end, disclosure, general) of every mention of a revealing term outside base spans; equal rows give it once."""
     lets = bitmap(terms)
+    names = ["key", "crc", "term", "start", "end"]
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Lets(lets.value)
+        held = Held(lets.value)
         for batch in batches:
-            if len(known) > MEMORY:
-                known.clear()
-            out: list[list] = [[], [], [], [], []]
-            keys, crcs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for n, text in enumerate(batch.column(3).to_pylist()):
-                if not any(map(known.__getitem__, set(TERM.findall(text.lower())))):
-                    continue
-                spans = base_spans(text)
-                for m in TERM.finditer(text):
-                    word = m[0].lower()
-                    if known[word] and not any(s < m.end() and m.start() < e for _, s, e in spans):
-                        for column, value in zip(out, (keys[n], crcs[n], word, *m.span()), strict=True):
-                            column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32()), strict=True)], ["key", "crc", "term", "start", "end"])
+            if len(held.known) > MEMORY:
+                held.known.clear()
+            out = []
+            for key, crc, text in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3)), strict=True):
+                out += [(key, crc, m[0].lower(), *m.span()) for m in outside(text, held, base_spans(text))]
+            columns = list(zip(*out, strict=True)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names)
 
     found = rows.mapInArrow(run, "key long, crc long, term string, start int, end int")
-    return found.join(terms, "term").select("key", "crc", "start", "end", "disclosure").distinct()
+    return found.join(terms, "term").select("key", "crc", "start", "end", "disclosure", "general").distinct()
 
 
-SPANS = "array<struct<kind:string,start:int,end:int,disclosure:double>>"
-SPAN_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("disclosure", pa.float64())]))
+SPANS = "array<struct<kind:string,start:int,end:int,disclosure:double,general:string>>"
+SPAN_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("disclosure", pa.float64()), ("general", pa.string())]))
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, key, crc, base, added) for every document: spans of the patterns, and of revealing terms, both by start.
 
-    key and crc tell the row's text apart when ids repeat.  Null and empty texts have no spans; whole texts are
+    key and crc tell the row's text apart when ids repeat.  Up to TERMS revealing terms are looked up where the
+    patterns are; more are joined.  Null and empty texts have no spans; whole texts are
     read in time linear in their length; repeated rows get equal spans; an empty table gives an empty result;
     other columns are ignored.
     """
     rows = keyed(docs, id_col, text_col)
     terms = revealing(rows)
+    known = gathered(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here = {} if known is None else known.value
         for batch in batches:
-            found = [[{"kind": k, "start": s, "end": e, "disclosure": None} for k, s, e in base_spans(text)] for text in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), batch.column(1), pa.array(found, SPAN_ARROW)], ["doc_id", "key", "crc", "base"])
-
-    base = rows.mapInArrow(run, f"doc_id long, key long, crc long, base {SPANS}")
-    spans = term_spans(rows, terms).groupBy("key", "crc").agg(F.array_sort(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
-    added = F.transform(F.coalesce("terms", F.array()), lambda x: F.struct(F.lit(ADDED).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["disclosure"].alias("disclosure")))
+            found = [spans_of(text, here) for text in batch.column(3).to_pylist()]
+            spans = [pa.array([x[i] for x in found], SPAN_ARROW) for i in range(2)]
+            columns = [batch.column(2), batch.column(0), batch.column(1), *spans]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "crc", "base", "added"])
+
+    base = rows.mapInArrow(run, f"doc_id long, key long, crc long, base {SPANS}, added {SPANS}")
+    if known is not None:
+        return base
+    one = F.struct("start", "end", "disclosure", "general")
+    spans = term_spans(rows, terms).groupBy("key", "crc").agg(F.array_sort(F.collect_list(one)).alias("terms"))
+    added = F.transform(F.coalesce("terms", F.array()), lambda x: F.struct(F.lit(ADDED).alias("kind"), *(x[c].alias(c) for c in ("start", "end", "disclosure", "general"))))
     return base.join(spans, ["key", "crc"], "left").select("doc_id", "key", "crc", "base", added.cast(SPANS).alias("added"))
 
 
+def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with personal data marked by kind, and revealing terms generalised or removed, in the text column.
+
+    Null texts stay null; repeated rows get equal texts; an empty table gives an empty result; other columns,
+    whatever their names, stay as they are.
+    """
+    names, at = docs.columns, position(docs, text_col)
+    flat = docs.toDF(*(f"_p{i}" for i in range(len(names))))
+    flat = flat.withColumn(f"_p{at}", F.col(f"_p{at}").cast("string"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in flat.schema.fields)
+    terms = revealing(keyed(docs, id_col, text_col))
+    known = gathered(terms)
+    if known is None:
+        own = F.col(f"_p{position(docs, id_col)}").cast("long"), F.coalesce(F.col(f"_p{at}"), F.lit(""))
+        given = flat.withColumns({"key": F.coalesce(own[0], F.lit(NO_ID)), "crc": crc32_text(own[1])})
+        one = F.struct("start", "end", "disclosure", "general")
+        spans = term_spans(keyed(docs, id_col, text_col), terms).groupBy("key", "crc").agg(F.collect_list(one).alias("terms"))
+        flat = given.join(spans, ["key", "crc"], "left").drop("key", "crc")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            for n, text in enumerate(texts):
+                if text:
+                    base, added = spans_of(text, {} if known is None else known.value)
+                    if known is None and (more := batch.column(len(names))[n]).is_valid:
+                        added = [{"kind": ADDED, **x} for x in more.as_py()]
+                    if base or added:
+                        texts[n] = sanitise(text, base + added)
+            columns = [batch.column(i) if i != at else pa.array(texts, pa.string()) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays(columns, [f"_p{i}" for i in range(len(names))])
+
+    return flat.mapInArrow(run, schema).toDF(*names)
+
+
 def sanitise(text: str, spans: list[dict]) -> str:
-    """Mark pattern spans by their kind, generalise revealing terms, remove the most revealing ones."""
+    """Mark pattern spans by their kind, put a more general term for revealing ones, remove the most revealing ones.
+
+    A term for which the corpus has no more general one is marked as a term.
+    """
     out, at = [], 0
     for x in sorted(spans, key=lambda x: (x["start"], -x["end"])):
         if x["start"] >= at:
-            out += [text[at : x["start"]], f"[{x['kind'].upper()}]" if x["disclosure"] is None or x["disclosure"] < REMOVE else ""]
+            if x["disclosure"] is None:
+                now = f"[{x['kind'].upper()}]"
+            elif x["disclosure"] < REMOVE:
+                now = x["general"] or f"[{x['kind'].upper()}]"
+            else:
+                now = ""
+            out += [text[at : x["start"]], now]
             at = x["end"]
         else:
             at = max(at, x["end"])

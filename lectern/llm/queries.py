@@ -61,7 +61,12 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     counts = [count(kind) for kind in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), F.concat_ws(",", F.nullif(joined("base"), F.lit("")), F.nullif(joined("added"), F.lit(""))).alias("spans"))
+    spans = F.concat_ws(",", F.nullif(joined("base"), F.lit("")), F.nullif(joined("added"), F.lit(""))).alias("spans")
+    # revealing terms that go, and those for which a more general term stands
+    gone = F.size(F.filter("added", lambda x: x["disclosure"] >= pii.REMOVE)).cast("long").alias("n_removed_terms")
+    general = F.filter("added", lambda x: x["disclosure"] < pii.REMOVE)
+    said = F.array_join(F.transform(general, lambda x: F.coalesce(x["general"], F.lit(""))), ",").alias("generalised_to")
+    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), spans, gone, said)
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut, documents
+from lectern.llm.common import cut, documents, near
 from lectern.llm.components import components
 from lectern.llm.pii import bitmap
 from lectern.llm.simhash import LOWER, fingerprint_links
@@ -278,8 +278,9 @@ def similar(pairs: DataFrame, size: int, t: float) -> DataFrame:
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, given: DataFrame, size: int, t: float) -> DataFrame:
-    """(a, b) of those pairs that are similar; only texts of nodes in question are sent."""
-    wanted = cut(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("node", "code"))
+    """(a, b) of those ``pairs`` (a written table) that are similar; only texts of nodes in question are sent."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = cut(nodes.join(near(cut(ends)), "node").select("node", "code"))
     lets = bitmap(wanted, F.col("code"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,20 +288,16 @@ def verified(pairs: DataFrame, nodes: DataFrame, given: DataFrame, size: int, t:
             yield batch.filter(pa.array(lets.value.has(batch.column(0).to_numpy())))
 
     held = given.select("code", "text").mapInArrow(run, "code long, text string").groupBy("code").agg(F.min("text").alias("text"))
-    texts = cut(held.join(wanted, "code").select("node", "text"))
+    texts = cut(held.join(near(wanted), "code").select("node", "text"))
     # the ends that stand in many pairs come last, so that their shingles are made once
-    sides = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("two")), "b")
+    sides = texts.select(F.col("node").alias("b"), F.col("text").alias("two")).join(near(pairs), "b")
     return similar(sides.join(texts.select(F.col("node").alias("a"), F.col("text").alias("one")), "a"), size, t)
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, t: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, code, component_id, first_code) for every document.
+def grouped(docs: DataFrame, size: int, t: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Written tables: (doc_id, code, node) of every document, and (node, first, least) of every node.
 
-    Documents are linked if the sets of their shingles have Jaccard similarity t or more; component_id is the
-    smallest doc_id that links reach, and first_code the smallest code, a hash of the text, among the documents
-    of that id in the component.  Null texts, empty texts and texts without a word have equal, empty sets.
-    Null ids are in a component like others but cannot name one unless all its members are null; an empty
-    table gives an empty result; other columns are ignored.
+    first is the node's first document, least that of its group: by (id is null, doc_id, code).
     """
     given = documents(docs, id_col, text_col).withColumn("code", F.xxhash64("text"))
 
@@ -312,18 +309,35 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, t: float = SIMILARITY,
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), nodes, fps], ["doc_id", "code", "node", "fp"])
 
     rows = cut(given.select("doc_id", "code", "text").mapInArrow(run, "doc_id long, code long, node long, fp long"))
-    # null ids come last
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "code")).alias("first")
     nodes = cut(rows.groupBy("node").agg(F.min("code").alias("code"), first))
     levels = counted(given, size)
     seeded = cut(verified(cut(seed_pairs(rows, given, levels, size, t)), nodes, given, size, t))
     labels = cut(components(seeded))
-    known = F.broadcast(labels) if labels.count() <= LABELS else labels
-    sent = prefixes(given, levels, size, t).join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rest = cut(candidates(sent, t))
+    sent = prefixes(given, levels, size, t).join(near(labels, LABELS), "node", "left")
+    rest = cut(candidates(sent.withColumn("component", F.coalesce("component", "node")), t))
     if not rest.isEmpty():
-        labels = components(seeded.unionByName(verified(rest, nodes, given, size, t)))
-    named = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("first").alias("least"))
-    by_node = named.join(least, "component").select("node", F.col("least.doc_id").alias("component_id"), F.col("least.code").alias("first_code"))
-    return rows.join(by_node, "node").select("doc_id", "code", "component_id", "first_code")
+        labels = cut(components(seeded.unionByName(verified(rest, nodes, given, size, t))))
+    levels.unpersist()
+    connected = nodes.join(near(labels), "node").select("node", "component", "first")
+    least = connected.groupBy("component").agg(F.min("first").alias("least"))
+    named = cut(labels.join(near(cut(least)), "component").select("node", "least"))
+    return rows, nodes.join(near(named), "node", "left").select("node", "first", F.coalesce("least", "first").alias("least"))
+
+
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, t: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) for every document.
+
+    Documents are linked if the sets of their shingles have Jaccard similarity t or more; component_id is the
+    smallest doc_id that links reach.  Null texts, empty texts and texts without a word have equal, empty sets.
+    Null ids are in a component like others but cannot name one unless all its members are null; an empty
+    table gives an empty result; other columns are ignored.
+    """
+    rows, nodes = grouped(docs, size, t, id_col, text_col)
+    return rows.join(nodes, "node").select("doc_id", F.col("least.doc_id").alias("component_id"))
+
+
+def kept(docs: DataFrame, size: int = SHINGLE, t: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, code) of the document that stays of each group of ``near_duplicates``; code is the hash of its text."""
+    _, nodes = grouped(docs, size, t, id_col, text_col)
+    return nodes.filter(F.col("first").eqNullSafe(F.col("least"))).select("first.doc_id", "first.code")

@@ -37,6 +37,8 @@ PROBES, PRUNE = 48, 0.6
 ENOUGH = 100
 #: Neighbours in the centroid graph, and candidates that a walk keeps open.
 DEGREE, OPEN = 24, 96
+#: Different lengths of vectors in a table at most; each has an index of its own.
+LENGTHS = 16
 #: Vectors in a piece of a posting list.
 PIECE = 4096
 
@@ -166,7 +168,7 @@ def search(index: DataFrame, queries: DataFrame, graph, k: int) -> DataFrame:
     met = both.repartition("list", "piece").sortWithinPartitions("list", "piece", "asks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, vectors = None, [], None
+        now, ids, vectors, scale, known = None, [], None, None, []
         for batch in batches:
             key = list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True))
             asks = batch.column(4).to_numpy(zero_copy_only=False)
@@ -179,29 +181,40 @@ def search(index: DataFrame, queries: DataFrame, graph, k: int) -> DataFrame:
                 while to < len(key) and key[to] == key[at] and asks[to] == asks[at]:
                     to += 1
                 if key[at] != now:
-                    now, ids, vectors = key[at], [], None
+                    now, ids, vectors, scale = key[at], [], None, None
                 if not asks[at]:
                     ids.append(own[at:to])
                     vectors = rows[at:to] if vectors is None else np.concatenate([vectors, rows[at:to]])
                 elif ids:
-                    known = np.concatenate(ids)
-                    scale = unit(vectors)
+                    if scale is None:
+                        known, vectors = once(np.concatenate(ids), vectors, k + 1)
+                        scale = unit(vectors)
                     for q in range(at, to):
                         score = scale @ unit(rows[q : q + 1])[0]
-                        score = np.where(known == own[q], -np.inf, score)
-                        # ties at the border go along, for the smaller id to win in the end
-                        border = np.partition(score, -k)[-k] if len(score) > k else -np.inf
-                        for i in np.flatnonzero((score >= border - 1e-12) & (score > -np.inf)).tolist():
-                            out[0].append(int(own[q])), out[1].append(int(known[i])), out[2].append(cosine(rows[q], vectors[i]))
+                        # vectors near the border go along, to be told apart by the exact measure
+                        border = np.partition(score, -k - 1)[-k - 1] if len(score) > k + 1 else -np.inf
+                        some = np.flatnonzero(score >= border - 1e-9)
+                        found = [(-s, i) for s, n in zip(cosines(rows[q], vectors[some]).tolist(), some.tolist(), strict=True) for i in known[n]]
+                        for s, i in sorted(x for x in found if x[1] != own[q])[:k]:
+                            out[0].append(int(own[q])), out[1].append(i), out[2].append(-s)
                 at = to
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "vec_id", "score"])
 
     return met.select("vec_id", "vector", "list", "piece", "asks").mapInArrow(run, "query_id long, vec_id long, score double")
 
 
-def cosine(a: np.ndarray, b: np.ndarray) -> float:
-    a, b = a / np.abs(a).max(), b / np.abs(b).max()
-    return float(a @ b / (np.sqrt(a @ a) * np.sqrt(b @ b)))
+def once(ids: np.ndarray, vectors: np.ndarray, most: int) -> tuple[list[list[int]], np.ndarray]:
+    """(the smallest ``most`` ids of each different vector, the different vectors)."""
+    different, place = np.unique(vectors, axis=0, return_inverse=True)
+    order = np.lexsort((ids, place.ravel()))
+    firsts = np.searchsorted(place.ravel()[order], np.arange(len(different) + 1))
+    return [ids[order[a : min(b, a + most)]].tolist() for a, b in zip(firsts[:-1], firsts[1:], strict=True)], different
+
+
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosine of ``a`` and each row of ``b``; equal rows have equal results."""
+    a, b = a / np.abs(a).max(), b / np.abs(b).max(axis=1, keepdims=True)
+    return (b * a).sum(axis=1) / (np.sqrt((a * a).sum()) * np.sqrt((b * b).sum(axis=1)))
 
 
 def nearest(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -210,16 +223,18 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id
     ``is_query`` is an expression over vec_id.  Vectors that are null, zero or hold null or non-finite
     components, and rows without id, take no part.  Ties go to the smaller id; equal vectors are different rows;
     a row given twice counts once; vectors of another length than most are an error of the input and are told
-    apart by their length; an empty table gives an empty result; other columns are ignored.
+    apart by their length, and more than LENGTHS lengths are refused; an empty table gives an empty result; other columns are ignored.
     """
     spark = rows.sparkSession
     known = pick(rows, vec_id=(id_col, "long"), vector=(vector_col, "array<double>")).filter(F.col("vec_id").isNotNull() & usable("vector")).distinct()
-    sizes = [(r[0], r[1]) for r in known.groupBy(F.size("vector")).count().collect()]
+    sizes = [(r[0], r[1]) for r in known.groupBy(F.size("vector")).count().limit(LENGTHS + 1).collect()]
+    if len(sizes) > LENGTHS:
+        raise ValueError(f"vectors of more than {LENGTHS} different lengths")
     found = None
     for size, count in sorted(sizes):
         own = known.filter(F.size("vector") == size)
         share = min(1.0, SAMPLE / count)
-        chosen = own.filter(F.pmod(F.xxhash64(F.lit("sample"), "vec_id"), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else own
+        chosen = own.filter(F.xxhash64(F.lit("sample"), "vec_id").bitwiseAND((1 << 53) - 1) < int(share * (1 << 53))) if share < 1 else own
         table = chosen.select("vec_id", "vector").toArrow()
         sample = np.array(table.column(1).to_pylist(), dtype=np.float64).reshape(-1, size)[np.argsort(np.asarray(table.column(0)), kind="stable")]
         lists = max(1, min(MOST_LISTS, count // PER_LIST))

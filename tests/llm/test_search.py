@@ -1,6 +1,7 @@
 """Nearest neighbours, sharding and decontamination against brute force."""
 
 import hashlib
+import random
 from collections import Counter
 from zlib import crc32
 
@@ -96,6 +97,33 @@ def test_vectors_long_list_is_cut(spark, monkeypatch):
     assert sum(len(got[q] & {i for i, _ in want[q]}) for q in want) >= 0.9 * 5 * len(want)
 
 
+def test_vectors_many_equal_ones(spark):
+    """3,000 equal vectors, and as many of equal direction: each query gets the smallest ids, and little more is sent."""
+    rng = np.random.default_rng(4)
+    one = rng.normal(size=8)
+    rows = [(k, one.tolist()) for k in range(3000)] + [(10_000 + k, (one * 2.0 ** (k % 9)).tolist()) for k in range(300)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    sent = []
+    kept = vectors.search
+
+    def search(*args):
+        out = kept(*args)
+        sent.append(out.count())
+        return out
+
+    vectors.search = search
+    try:
+        got = {}
+        for r in vectors.nearest(frame, F.col("vec_id") % 50 == 0).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    finally:
+        vectors.search = kept
+    assert got.keys() == {i for i, _ in rows if i % 50 == 0}
+    for q, found in got.items():
+        assert [i for _, i in sorted(found)] == [i for i in range(6) if i != q][:5]
+    assert sum(sent) <= 20 * sum(map(len, got.values())), sent
+
+
 def capacity(sizes, shards):
     """The smallest largest shard, by dynamic programming over contiguous groups."""
     sums = np.concatenate([[0], np.cumsum(sizes)])
@@ -196,6 +224,53 @@ def test_decontaminate_tries_every_start(spark):
     assert all(got[k] == (pytest.approx(want[k][0]), want[k][1]) for k in want)
 
 
+def altered(rng, words, junk):
+    """A window whose shingles are mostly those of ``words``: changed, cut off, moved, put in or left out."""
+    n, w = len(words), list(words)
+    kind = rng.choice(["change", "tail", "head", "put in", "leave out", "move"])
+    few, some = rng.randrange(1, max(2, n // 25)), rng.randrange(1, max(2, n // 8))
+    if kind == "change":
+        for _ in range(few):
+            w[rng.randrange(n)] = rng.choice(junk)
+    elif kind == "tail":
+        w[-some:] = rng.choices(junk, k=some)
+    elif kind == "head":
+        w[:some] = rng.choices(junk, k=some)
+    elif kind == "put in":
+        for _ in range(few):
+            w.insert(rng.randrange(n), rng.choice(junk))
+    elif kind == "leave out":
+        for _ in range(few):
+            w.pop(rng.randrange(len(w)))
+    else:
+        w = w[some:] + w[:some]
+    return w
+
+
+def test_decontaminate_recall_and_pruning(spark, monkeypatch):
+    """Against the exact search over altered items: what the radius misses, and how few pairs the blocks let meet."""
+    rng = random.Random(12)
+    junk = [f"j{rng.randrange(3000)}" for _ in range(2000)]
+    said = [[f"v{rng.randrange(800)}" for _ in range(40)] for _ in range(60)]
+    docs = [(k, " ".join([*rng.choices(junk, k=20), *altered(rng, said[k % 60], junk), *rng.choices(junk, k=20)])) for k in range(400)]
+    items = [(k, " ".join(w)) for k, w in enumerate(said)]
+    seen = []
+    kept = decontaminate.met_by_block
+
+    def counted(made, *more):
+        out = kept(made, *more)
+        seen.append((made.count(), out.select("kind", "item_id").distinct().count()))
+        return out
+
+    monkeypatch.setattr(decontaminate, "met_by_block", counted)
+    rows = decontaminate.contaminated(table(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got, want = {(r["doc_id"], r["item_id"]) for r in rows}, brute_leaks(docs, items).keys()
+    assert got <= want and len(want) > 200
+    assert len(got) >= 0.97 * len(want), len(got) / len(want)
+    (windows, pairs), = seen
+    assert pairs <= 0.4 * windows * len(items), (windows, pairs)
+
+
 def test_decontaminate_without_probe_words(spark, monkeypatch):
     """Beyond the number of words in the plan, and of shingles in a broadcast, results are the same."""
     docs = [(k, prose(k, 30) + " " + ITEMS[k % 4][1] + " tail") for k in range(12)]
