@@ -34,7 +34,7 @@ EPOCHS, RATE, HELD_BACK = 8, 0.5, 0.2
 #: This share of the held-back rows is rejected, as far as their number resolves it, and never for a score above CEILING.
 REJECTED, CEILING = 0.005, 0.5
 #: Words that a worker remembers before it starts afresh.
-MEMORY = 1 << 19
+MEMORY = 1 << 18
 
 
 def pieces(word: str) -> list[int]:

@@ -38,8 +38,8 @@ from lectern.llm.sketch import mix, pieces, prefix
 SHINGLE, SIMILARITY = 5, 0.8
 #: Cells of the table of counts, and of a range of it that is summed at a time.
 CELL_BITS, RANGE_BITS = 20, 14
-#: Nodes that a worker remembers to send once, and pairs that are looked at together.
-MEMORY, PAIRS = 1 << 19, 1 << 20
+#: Nodes that a worker remembers to send once, pairs that are looked at together, and shingles that are sent together.
+MEMORY, PAIRS, AT_ONCE = 1 << 18, 1 << 20, 1 << 18
 #: Bits of a parity bitmap, in longs.
 PARITY = 4
 #: MinHash values of a node.
@@ -118,7 +118,11 @@ def counted(rows: DataFrame, size: int) -> Broadcast:
 
 
 def distinct_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(node, its shingles) of the texts in column 0, a worker's repeated nodes mostly once; the end of a batch is -1."""
+    """(node, its shingles) of the texts in column 0, a worker's repeated nodes mostly once.
+
+    Every so many shingles, and at the end of a batch, comes a pair without shingles: what was made is to be sent.
+    """
+    size_now = 0
     sent: set[int] = set()
     for batch in batches:
         for text in batch.column(0).to_pylist():
@@ -130,6 +134,10 @@ def distinct_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tupl
                 sent.clear()
             sent.add(node)
             yield node, own
+            size_now += len(own)
+            if size_now > AT_ONCE:
+                size_now = 0
+                yield -1, np.zeros(0, np.uint64)
         yield -1, np.zeros(0, np.uint64)
 
 
