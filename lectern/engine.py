@@ -37,7 +37,10 @@ class Engine:
 
     def convert(self, sources: DataFrame | str, preset: str | None = None, **options) -> str:
         """Convert a folder or a (name, content) table; gives the id of the set."""
-        f = read_files(self.spark, sources, persist=True, **options) if isinstance(sources, str) else convert(sources, persist=True, **options)
+        if isinstance(sources, str):
+            f = read_files(self.spark, sources, store=True, **options)
+        else:
+            f = convert(sources, store=True, **options)
         key = str(uuid.uuid4())
         self.sets[key] = enrich(f, preset) if preset else f
         return key

@@ -18,6 +18,7 @@ from lectern.functions.text import contextualize
 from lectern.operators.sequence import breadcrumb, runs
 from lectern.operators.tables import table_texts
 from lectern.sources.reader import DocFrames
+from lectern.storage import checkpoint
 
 CLASSES = ["SectionHeader", "Title", "Paragraph", "ListItem", "Code", "Formula", "TableElement"]
 CHUNK = "doc string, chunk_index int, text string, source_elements array<string>, headings array<string>, page_numbers array<int>, element_types array<string>, language string"
@@ -144,10 +145,18 @@ def chunks_json(chunked: DataFrame) -> DataFrame:
 def renumber(chunked: DataFrame, order: list[str]) -> DataFrame:
     """One numbering across documents.
 
-    Rows are counted by document first, so only one small row per document is summed up in order.
+    Rows are counted by document; documents are ranged in order over partitions and summed up within each, and only the
+    sums of partitions, one row each, are summed up in one place.  The numbered documents are written, for ranges
+    are drawn anew each time they are computed.
     """
     from pyspark.sql.window import Window
 
     counts = chunked.groupBy(*order).agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.withColumn("_from", F.coalesce(F.sum("_n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return chunked.join(before, order).withColumn("chunk_index", (F.col("_from") + F.col("chunk_index")).cast("long")).drop("_from")
+    ranged = checkpoint(counts.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("_part").agg(F.sum("_n").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = F.broadcast(sums.select("_part", before.alias("_offset")))
+    starts = ranged.withColumn("_before", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(offsets, "_part")
+    starts = starts.select(*order, (F.col("_before") + F.col("_offset")).alias("_from"))
+    return chunked.join(starts, order).withColumn("chunk_index", (F.col("_from") + F.col("chunk_index")).cast("long")).drop("_from")

@@ -17,12 +17,16 @@ Stage = Callable[[DocFrames], DocFrames]
 
 
 def reading_order_stage(f: DocFrames) -> DocFrames:
-    """Elements with a box are ordered by page, top, left; the old order is replaced."""
+    """Elements with a box are ordered by page, top, left; the old order is replaced.
+
+    Elements without a box come after them in their old order, so that no two have one place.
+    """
     if "bbox" not in f.elements.columns:
         return f
-    boxed = f.elements.filter("bbox is not null")
-    ranked = reading_order(boxed, ["doc"], [F.col("page").asc_nulls_first(), F.col("bbox.top"), F.col("bbox.left"), "el"])
-    return f.with_(elements=ranked.unionByName(f.elements.filter("bbox is null")))
+    boxed = F.col("bbox").isNotNull()
+    place = [F.when(boxed, F.col(c)) for c in ("page", "bbox.top", "bbox.left")]
+    keys = [F.when(boxed, 0).otherwise(1), *(c.asc_nulls_first() for c in place), F.when(~boxed, F.col("ord")), "el"]
+    return f.with_(elements=reading_order(f.elements, ["doc"], keys))
 
 
 def text_normalization(f: DocFrames) -> DocFrames:

@@ -62,13 +62,19 @@ def lines_to_paragraphs(lines: DataFrame, gap: float = 1.5) -> DataFrame:
     return marked.groupBy("doc", "page", "paragraph").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("top", "text"))), lambda x: x["text"]), " ").alias("text"))
 
 
+def upper_median(values: Column) -> Column:
+    """The middle of an array's sorted values, the upper one of two."""
+    ordered = F.array_sort(values)
+    return F.element_at(ordered, (F.floor(F.size(ordered) / 2) + 1).cast("int"))
+
+
 def font_runs(words: DataFrame, body: float | None = None) -> DataFrame:
     """Headings from runs of words of one size above the body size (the upper median of the page)."""
     from lectern.functions.text import font_heading_level
 
     w = Window.partitionBy("doc", "page").orderBy("top", "left")
-    sizes = F.array_sort(F.collect_list("font_size").over(Window.partitionBy("doc", "page")))
-    median = F.lit(body) if body is not None else F.element_at(sizes, (F.floor(F.size(sizes) / 2) + 1).cast("int"))
+    sizes = F.collect_list("font_size").over(Window.partitionBy("doc", "page"))
+    median = F.lit(body) if body is not None else upper_median(sizes)
     marked = words.withColumn("_body", median).withColumn("_new", F.coalesce(F.col("font_size") != F.lag("font_size").over(w), F.lit(True)).cast("int"))
     numbered = marked.withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     out = numbered.groupBy("doc", "page", "run").agg(F.first("font_size").alias("font_size"), F.first("_body").alias("_body"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("top", "left", "text"))), lambda x: x["text"]), " ").alias("text"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,32 +10,12 @@ from lectern.functions import text as T
 from lectern.operators import chunking, enrich, sequence, tables, validate
 from lectern.plans import export
 from lectern.plans.quads import ntriples, rdfxml, to_quads, turtle
+from lectern.plans.registry import ORACLES, QUERIES, register, table  # noqa: F401
 from lectern.plans.sparql import ask, query
 from lectern.schema import NS, XSD
 from lectern.sources import detect
 from lectern.sources.reader import DocFrames, convert
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def register(sql: str | None = None):
-    """Put a query into the catalog under its function's name."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql.strip()
-        return f
-
-    return add
-
-
 # sources: raw pages through the HTML reader
 
 
@@ -45,8 +23,9 @@ def page_sources(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select(F.concat(F.lit("page-"), F.col("page_id").cast("string"), F.lit(".html")).alias("name"), F.encode("html", "UTF-8").alias("content"), F.lit("html").alias("format"))
 
 
-def pages(spark: SparkSession, d: str) -> DocFrames:
-    return convert(page_sources(spark, d))
+def pages(spark: SparkSession, d: str, store: bool = True) -> DocFrames:
+    """The pages, parsed once; without ``store`` for a query that uses one frame only."""
+    return convert(page_sources(spark, d), store=store)
 
 
 def page_id():
@@ -54,10 +33,26 @@ def page_id():
     return F.regexp_extract("file_name", r"(\d+)", 1).cast("long").alias("page_id")
 
 
-@register()
+#: Entities of the driver's pages in a piece of text, and its white space, as a reader leaves them.
+def said(piece: str) -> str:
+    out = piece
+    for entity, char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&amp;", "&")):
+        out = f"replace({out}, '{entity}', '{char}')"
+    return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
+
+
+#: Elements before the heading: the title, the list, two for each of its links, and the article.
+HEADINGS = f"""
+select 'urn:lectern:doc:' || sha256(html) as doc, (3 + 2 * len(regexp_extract_all(split_part(html, '<article>', 1), '<li>')))::bigint as ord,
+    1 as level, {said("regexp_extract(html, '<h1>(.*?)</h1>', 1)")} as text, len(regexp_extract_all(html, '<a href='))::bigint as n_links
+from pages
+"""
+
+
+@register(HEADINGS)
 def html_headings(spark, d):
     """Headings in reading order with the number of links of their page, in one pass over the parsed rows."""
-    el = pages(spark, d).elements
+    el = pages(spark, d, store=False).elements
     w = Window.partitionBy("doc")
     counted = el.filter(F.col("cls").isin("SectionHeader", "Hyperlink")).withColumn("n_links", F.count_if(F.col("cls") == "Hyperlink").over(w))
     return counted.filter("cls = 'SectionHeader'").select("doc", "ord", "level", "text", "n_links")
@@ -65,7 +60,7 @@ def html_headings(spark, d):
 
 @register("select page_id, nullif(regexp_extract(html, '<html lang=\"([^\"]*)\"', 1), '') as language, octet_length(encode(html))::bigint as file_size, sha256(html) as document_hash from pages")
 def html_title_lang(spark, d):
-    docs = pages(spark, d).docs
+    docs = pages(spark, d, store=False).docs
     return docs.select(page_id(), "language", "file_size", "document_hash")
 
 
@@ -87,6 +82,22 @@ def html_links(spark, d):
     return f.docs.select("doc", page_id()).join(numbered, "doc").select("page_id", "pos", "link_target")
 
 
+@register(
+    """
+    with p as (select html, page_id from pages union all select html, page_id + 1000000 from pages)
+    select page_id, len(regexp_extract_all(html, '<li>'))::bigint as n_items, len(regexp_extract_all(html, '<a href='))::bigint as n_links from p
+    """
+)
+def html_copies(spark, d):
+    """Every page twice, under two names: each content is parsed once and is one document with two rows."""
+    p = page_sources(spark, d)
+    again = F.concat(F.lit("page-"), (F.regexp_extract("name", r"(\d+)", 1).cast("long") + 1_000_000).cast("string"), F.lit(".html"))
+    f = convert(p.unionByName(p.withColumn("name", again)), store=True)
+    n = lambda c: F.count_if(F.col("cls") == c)
+    counts = f.elements.groupBy("doc").agg(n("ListItem").alias("n_items"), n("Hyperlink").alias("n_links"))
+    return f.docs.select("doc", page_id()).join(counts, "doc").select("page_id", "n_items", "n_links")
+
+
 # sources: detection
 
 
@@ -284,36 +295,101 @@ def band_tolerance_avg_height(spark, d):
 
 @register("select l_orderkey, list_sort(list(l_quantity))[len(list(l_quantity)) // 2 + 1] as median from lineitem group by 1")
 def upper_median(spark, d):
-    s = F.array_sort(F.collect_list("l_quantity"))
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.element_at(s, (F.floor(F.size(s) / 2) + 1).cast("int")).alias("median"))
-
-
-def boxes(spark, d) -> DataFrame:
-    li = table(spark, d, "lineitem")
-    return li.select(F.col("l_orderkey").cast("string").alias("doc"), F.lit(1).alias("page"), F.col("l_quantity").alias("left"), (F.col("l_linenumber") * 7.0).alias("top"), (F.col("l_quantity") + 12).alias("right"), (F.col("l_linenumber") * 7.0 + 10).alias("bottom"), (F.col("l_discount") * 10).alias("confidence"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("text"), (F.col("l_tax") * 100).alias("font_size"))
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(sequence.upper_median(F.collect_list("l_quantity")).alias("median"))
+
+
+def boxes(spark, d, step: float = 7.0) -> DataFrame:
+    """Lines of an order as boxes on a page, ``step`` apart from line to line."""
+    left, top = F.col("l_extendedprice") / 1000.0, F.col("l_linenumber") * step
+    return table(spark, d, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("doc"), F.lit(1).alias("page"), left.alias("left"), top.alias("top"),
+        (left + 12.0).alias("right"), (top + 10.0).alias("bottom"),
+        (F.col("l_discount") * 10.0 + F.col("l_extendedprice") / 1e7).alias("confidence"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("text"), (F.col("l_tax") * 100.0).alias("font_size"),
+    )
+
+
+def boxes_sql(step: float = 7.0) -> str:
+    return f"""b as (
+    select l_orderkey::varchar as doc, 1 as page, l_extendedprice / 1000.0::double as l, l_linenumber * {step}::double as t,
+        l_extendedprice / 1000.0::double + 12.0::double as r, l_linenumber * {step}::double + 10.0::double as m,
+        l_discount * 10.0::double + l_extendedprice / 1e7::double as confidence,
+        l_orderkey || '-' || l_linenumber || '-' || l_partkey as text, l_tax * 100.0::double as font_size
+    from lineitem)"""
+
+
+#: Greedy: the next most confident box stays if no kept one overlaps it.
+SUPPRESSED = f"""
+with recursive {boxes_sql()},
+o as (select *, row_number() over (partition by doc order by confidence desc, l, t) as i from b),
+k as (
+    select doc, i, [{{'text': text, 'confidence': confidence, 'l': l, 't': t, 'r': r, 'm': m}}] as kept from o where i = 1
+    union all
+    select o.doc, o.i, case when len(list_filter(list_transform(k.kept, lambda x:
+            greatest(least(x.r, o.r) - greatest(x.l, o.l), 0) * greatest(least(x.m, o.m) - greatest(x.t, o.t), 0)), lambda y:
+            y / ((o.r - o.l) * (o.m - o.t) + (o.r - o.l) * (o.m - o.t) - y) > 0.3)) = 0
+        then list_append(k.kept, {{'text': o.text, 'confidence': o.confidence, 'l': o.l, 't': o.t, 'r': o.r, 'm': o.m}}) else k.kept end
+    from k join o on o.doc = k.doc and o.i = k.i + 1)
+select doc, x.text as text, x.confidence as confidence
+from (select doc, unnest(kept) as x from k where i = (select max(i) from o where o.doc = k.doc))
+"""
 
 
-@register()
+@register(SUPPRESSED)
 def region_suppression(spark, d):
     return sequence.suppress(boxes(spark, d), 0.3).select("doc", "text", "confidence")
 
 
-@register()
+@register(f"with {boxes_sql()} select doc, text, row_number() over (partition by doc order by t, l) - 1 as ord from b")
 def region_band_order(spark, d):
     return sequence.band_order(boxes(spark, d)).select("doc", "text", "ord")
 
 
-@register()
+#: A word starts a line if it lies beyond the tolerance from the centre of the line's first word.
+WORD_LINES = f"""
+with recursive {boxes_sql(2.0)},
+o as (select *, (t + m) / 2 as y, row_number() over (partition by doc order by (t + m) / 2, l) as i from b),
+k as (
+    select doc, i, y as anchor, 0 as line from o where i = 1
+    union all
+    select o.doc, o.i, case when abs(o.y - k.anchor) > 3 then o.y else k.anchor end, k.line + (abs(o.y - k.anchor) > 3)::int
+    from k join o on o.doc = k.doc and o.i = k.i + 1)
+select doc, 1 as page, k.line::bigint as line, string_agg(text, ' ' order by l) as text, min(l) as "left", min(t) as top, max(r) as "right", max(m) as bottom
+from k join o using (doc, i) group by doc, k.line
+"""
+
+
+@register(WORD_LINES)
 def word_lines(spark, d):
-    return sequence.words_to_lines(boxes(spark, d))
+    return sequence.words_to_lines(boxes(spark, d, 2.0))
 
 
-@register()
+PARAGRAPHS = f"""
+with {boxes_sql()},
+n as (select *, t - lag(m) over (partition by doc order by t) > 1.5 * avg(m - t) over (partition by doc) as new from b),
+p as (select *, sum(coalesce(new, false)::int) over (partition by doc order by t rows unbounded preceding) as paragraph from n)
+select doc, 1 as page, paragraph::bigint as paragraph, string_agg(text, ' ' order by t, text) as text from p group by doc, paragraph
+"""
+
+
+@register(PARAGRAPHS)
 def line_paragraphs(spark, d):
     return sequence.lines_to_paragraphs(boxes(spark, d))
 
 
-@register()
+FONT_RUNS = f"""
+with {boxes_sql()},
+n as (select *, font_size is distinct from lag(font_size) over (partition by doc order by t, l) as new from b),
+r as (select *, sum(new::int) over (partition by doc order by t, l rows unbounded preceding) as run from n),
+s as (select doc, list_sort(list(font_size))[len(list(font_size)) // 2 + 1] as body from b group by doc),
+g as (select doc, run, min(font_size) as font_size, string_agg(text, ' ' order by t, l) as text from r group by doc, run)
+select doc, 1 as page, run::bigint as run, font_size, text, case when body <= 0 then 2 when font_size / body >= 2.0 then 1 when font_size / body >= 1.6 then 2
+    when font_size / body >= 1.4 then 3 when font_size / body >= 1.3 then 4 when font_size / body >= 1.2 then 5 else 6 end as level
+from g join s using (doc) where font_size > body * 1.15
+"""
+
+
+@register(FONT_RUNS)
 def font_run_headings(spark, d):
     return sequence.font_runs(boxes(spark, d))
 
@@ -426,9 +502,25 @@ def jsonld_export(spark, d):
     return j.select("doc", F.get_json_object("text", "$.@type").alias("type"), F.json_array_length(F.get_json_object("text", "$['doc:hasElement']")).alias("n_elements"))
 
 
-@register()
+#: The navigation's items, the heading, and paragraphs, which end at the next mark; their tags go.
+PAGE_MARKDOWN = f"""
+with p as (select page_id, html, split_part(split_part(html, '<article>', 2), '</article>', 1) as body from pages),
+i as (select page_id, '- ' || {said("regexp_replace(unnest(regexp_extract_all(split_part(html, '<article>', 1), '<li>(.*?)</li>', 1)), '<[^>]*>', '', 'g')")} as x,
+    generate_subscripts(regexp_extract_all(split_part(html, '<article>', 1), '<li>'), 1) as k from p),
+t as (select page_id, {said("regexp_replace(regexp_replace(split_part(unnest(string_split(body, '<p>')[2:]), '</p>', 1), '<br>', ' ', 'g'), '<[^>]*>', '', 'g')")} as x,
+    generate_subscripts(string_split(body, '<p>')[2:], 1) as k from p),
+blocks as (
+    select page_id, string_agg(x, chr(10) order by k) as x, 0 as k from i group by 1
+    union all select page_id, '# ' || {said("regexp_extract(html, '<h1>(.*?)</h1>', 1)")}, 1 from p
+    union all select page_id, x, k + 1 from t where x <> '')
+select page_id, trim(string_agg(x, chr(10) || chr(10) order by k)) || chr(10) as text from blocks group by 1
+"""
+
+
+@register(PAGE_MARKDOWN)
 def html_page_markdown(spark, d):
-    return export.markdown(pages(spark, d))
+    f = pages(spark, d)
+    return f.docs.select("doc", page_id()).join(export.markdown(f), "doc").select("page_id", "text")
 
 
 # quads and SPARQL over the star schema
@@ -477,6 +569,56 @@ sparql("exists", "SELECT ?n { ?c a :Customer ; :name ?n . FILTER EXISTS { ?o :by
 sparql("filter_in", "SELECT ?n ?k { ?x a :Nation ; :name ?n ; :key ?k . FILTER(?k IN (1, 3, 5) || ?k > 20) }", "select n_name as n, n_nationkey::varchar as k from nation where n_nationkey in (1, 3, 5) or n_nationkey > 20")
 sparql("contains", "SELECT ?n { ?x a :Nation ; :name ?n . FILTER(CONTAINS(LCASE(?n), 'a') && STRSTARTS(?n, 'N') && !REGEX(?n, '9$')) }", "select n_name as n from nation where contains(lower(n_name), 'a') and starts_with(n_name, 'N') and not regexp_matches(n_name, '9$')")
 sparql("group_count", "SELECT ?s (COUNT(?c) AS ?n) { ?c a :Customer ; :segment ?s } GROUP BY ?s", "select c_mktsegment as s, count(*)::varchar as n from customer group by 1")
+sparql(
+    "exists_correlated",
+    "SELECT ?a { ?x a :Nation ; :key ?a . FILTER EXISTS { ?y a :Region ; :key ?b . FILTER(?b > ?a) } }",
+    "select n_nationkey::varchar as a from nation where exists (select 1 from region where r_regionkey > n_nationkey)",
+)
+sparql(
+    "not_exists_correlated",
+    "SELECT ?a { ?x a :Nation ; :key ?a ; :inRegion ?r . FILTER NOT EXISTS { ?y :inRegion ?r ; :key ?b . FILTER(?b > ?a) } }",
+    "select n_nationkey::varchar as a from nation n where not exists (select 1 from nation m where m.n_regionkey = n.n_regionkey and m.n_nationkey > n.n_nationkey)",
+)
+sparql(
+    "optional_then_join",
+    "SELECT ?c ?o ?p { ?c a :Customer . OPTIONAL { ?o :by ?c ; :priority '1-URGENT' } ?o :priority ?p . FILTER(STRENDS(STR(?c), '7')) }",
+    """select 'c:' || c_custkey as c, 'o:' || o.o_orderkey as o, o.o_orderpriority as p
+    from customer left join orders u on u.o_custkey = c_custkey and u.o_orderpriority = '1-URGENT'
+    join orders o on u.o_orderkey is null or o.o_orderkey = u.o_orderkey where c_custkey % 10 = 7""",
+)
+sparql(
+    "optional_twice",
+    "SELECT ?n ?r ?s { ?x a :Nation ; :name ?n . OPTIONAL { ?x :inRegion ?r . FILTER(STRENDS(STR(?r), '1')) } OPTIONAL { ?r :name ?s } }",
+    """select n_name as n, 'r:' || coalesce(r_regionkey, 0) as r, s.r_name as s from nation join region on r_regionkey = n_regionkey and n_regionkey = 1
+        join region s using (r_regionkey)
+    union all select n_name, q.s, q.name from nation, (select 'r:' || r_regionkey as s, r_name as name from region union all
+        select 'n:' || n_nationkey, n_name from nation union all select 'c:' || c_custkey, c_name from customer) q where n_regionkey <> 1""",
+)
+sparql("from_graph", "SELECT ?n FROM <g:nation> { ?x :name ?n }", "select n_name as n from nation")
+sparql(
+    "from_named",
+    "SELECT ?g (COUNT(?s) AS ?n) FROM <g:nation> FROM NAMED <g:region> FROM NAMED <g:orders> { GRAPH ?g { ?s a ?t } } GROUP BY ?g",
+    "select 'g:region' as g, count(*)::varchar as n from region union all select 'g:orders', count(*)::varchar from orders",
+)
+sparql("bound", "SELECT ?n ?b { ?x a :Nation ; :name ?n . OPTIONAL { ?x :inRegion <r:2> . ?x :key ?k } BIND(BOUND(?k) AS ?b) }", "select n_name as n, (n_regionkey = 2)::varchar as b from nation")
+sparql("lang", "SELECT ?n { ?x a :Nation ; :name ?n . FILTER(LANG(?n) = '') }", "select n_name as n from nation")
+sparql(
+    "numbers",
+    "SELECT ?k ?a ?b ?c { ?x a :Nation ; :key ?k . BIND(ABS(?k - 10) AS ?a) BIND(CEIL(?k / 4) AS ?b) BIND(ROUND(?k / 4) AS ?c) }",
+    "select n_nationkey::varchar as k, abs(n_nationkey - 10)::varchar as a, ceil(n_nationkey / 4)::int::varchar as b, floor(n_nationkey / 4 + 0.5)::int::varchar as c from nation",
+)
+sparql(
+    "dates",
+    "SELECT ?k ?y ?m ?d ?h { ?x a :Region ; :key ?k . BIND('2024-03-09T21:05:00'^^xsd:dateTime AS ?t) BIND(YEAR(?t) AS ?y) BIND(MONTH(?t) AS ?m) BIND(DAY(?t) AS ?d) BIND(HOURS(?t) AS ?h) }",
+    "select r_regionkey::varchar as k, '2024' as y, '3' as m, '9' as d, '21' as h from region",
+)
+sparql(
+    "strings",
+    "SELECT ?n ?b ?e ?r { ?x a :Nation ; :name ?n . BIND(STRBEFORE(?n, '_') AS ?b) BIND(ENCODE_FOR_URI(CONCAT(?n, ' x')) AS ?e) BIND(REPLACE(?n, 'N', 'n') AS ?r) }",
+    "select n_name as n, split_part(n_name, '_', 1) as b, n_name || '%20x' as e, replace(n_name, 'N', 'n') as r from nation",
+)
+sparql("path_zero_or_one", "SELECT DISTINCT ?r { <n:3> :inRegion? ?r }", "select 'n:3' as r union all select 'r:' || n_regionkey from nation where n_nationkey = 3")
+sparql("path_negated", "SELECT ?o { <n:3> !(:name|:key|rdf:type) ?o }", "select 'r:' || n_regionkey as o from nation where n_nationkey = 3")
 sparql("having", "SELECT ?c (COUNT(?o) AS ?n) { ?o :by ?c } GROUP BY ?c HAVING (COUNT(?o) > 10)", "select 'c:' || o_custkey as c, count(*)::varchar as n from orders group by 1 having count(*) > 10")
 sparql("distinct", "SELECT DISTINCT ?p { ?o a :Order ; :priority ?p }", "select distinct o_orderpriority as p from orders")
 sparql("order_limit", "SELECT ?n ?k { ?c a :Customer ; :name ?n ; :key ?k } ORDER BY DESC(?k) LIMIT 10", "select c_name as n, c_custkey::varchar as k from customer order by c_custkey desc limit 10")
@@ -551,14 +693,12 @@ def provenance_rows(spark, d):
 
 @register("select count(*)::bigint as succeeded, 0::bigint as failed, 0 as exit_code from pages")
 def conversion_tallies(spark, d):
-    return enrich.tallies(pages(spark, d).docs)
+    return enrich.tallies(pages(spark, d, store=False).docs)
 
 
 @register("select 0::bigint as n from region limit 1")
 def validate_pages(spark, d):
-    f = convert(page_sources(spark, d), persist=False)
-    once = f.with_(elements=f.elements.dropDuplicates(["el"]), cells=f.cells.dropDuplicates(["tbl", "row", "col"]))
-    return validate.validate(once).agg(F.count(F.lit(1)).alias("n"))
+    return validate.validate(pages(spark, d)).agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("with t as (select conv_id::varchar as doc, conv_id || '-' || turn as node, turn, lag(turn) over (partition by conv_id order by turn) as p from conversations) select doc, node, 'reading order is contiguous from 0' as rule from t where turn - coalesce(p, -1) <> 1")
@@ -581,3 +721,7 @@ def chunks_conversations(spark, d):
 @register()
 def chunks_pages(spark, d):
     return chunking.chunks(pages(spark, d))
+
+
+# documents of every format, made from the tables
+from lectern.plans import catalog_documents  # noqa: E402, F401

@@ -13,6 +13,8 @@ from lectern.sources.reader import DocFrames
 
 FORMATS = ("json", "markdown", "html", "text", "doctags", "webvtt", "jsonld", "turtle", "ntriples", "rdfxml")
 EXTENSIONS = {"json": "json", "markdown": "md", "html": "html", "text": "txt", "doctags": "dt", "webvtt": "vtt", "jsonld": "jsonld", "turtle": "ttl", "ntriples": "nt", "rdfxml": "rdf"}
+#: Hex digits of a document's hash that name its folder.
+FOLDERS = 2
 TEXTS = ["Title", "SectionHeader", "Paragraph", "ListItem", "Code"]
 
 
@@ -42,15 +44,16 @@ def _tables(cells: DataFrame, row: Column, sep: str) -> DataFrame:
 
 
 def markdown(f: DocFrames) -> DataFrame:
-    widths = f.cells.groupBy("doc", "tbl", "col").agg(F.greatest(F.lit(3), F.max(F.length("text"))).alias("w"))
-    padded = f.cells.join(widths, ["doc", "tbl", "col"]).withColumn("text", F.concat(F.regexp_replace("text", r"\|", "\\\\\\\\|"), F.repeat(F.lit(" "), F.greatest(F.lit(0), F.col("w") - F.length("text"))))).drop("w")
+    # a bar in a cell is escaped, so that it does not end it; columns are as wide as their longest text in bytes
+    said = f.cells.withColumn("text", F.replace("text", F.lit("|"), F.lit("\\|")))
+    widths = said.groupBy("doc", "tbl", "col").agg(F.greatest(F.lit(3), F.max(F.octet_length("text"))).alias("w"))
+    padded = said.join(widths, ["doc", "tbl", "col"]).withColumn("text", F.rpad("text", F.greatest("w", F.length("text")), F.lit(" "))).drop("w")
     line = F.concat(F.lit("| "), F.array_join(F.transform("cells", lambda c: c["text"]), " | "), F.lit(" |"))
     rule = F.concat(F.lit("| "), F.array_join(F.transform("cells", lambda c: F.repeat(F.lit("-"), F.length(c["text"]))), " | "), F.lit(" |"))
     tables = _tables(padded, F.when(F.col("first_head"), F.concat(line, F.lit("\n"), rule)).otherwise(line), "\n")
     el = list_counters(f.elements).join(tables, ["doc", "el"], "left")
     block = (
-        F.when(_is("Title"), F.concat(F.lit("# "), "text"))
-        .when(_is("SectionHeader"), F.concat(F.repeat(F.lit("#"), F.coalesce("level", F.lit(1))), F.lit(" "), "text"))
+        F.when(_is("SectionHeader"), F.concat(F.repeat(F.lit("#"), F.coalesce("level", F.lit(1))), F.lit(" "), "text"))
         .when(_is("Paragraph"), F.col("text"))
         .when(_is("ListItem"), F.concat(F.when(F.col("number").isNotNull(), F.concat(F.col("number").cast("string"), F.lit(". "))).otherwise("- "), "text"))
         .when(_is("Code"), F.concat(F.lit("```"), F.coalesce("code_lang", F.lit("")), F.lit("\n"), F.regexp_replace("text", r"\n$", ""), F.lit("\n```")))
@@ -87,8 +90,7 @@ def html(f: DocFrames) -> DataFrame:
     level = F.coalesce("level", F.lit(1)).cast("string")
     image = F.concat(F.lit('<img src="'), escape_html(F.coalesce("link_target", F.lit(""))), F.lit('" alt="'), escape_html(F.coalesce("alt_text", F.lit(""))), F.lit('">'))
     block = (
-        F.when(_is("Title"), F.concat(F.lit("<h1>"), text, F.lit("</h1>")))
-        .when(_is("SectionHeader"), F.concat(F.lit("<h"), level, F.lit(">"), text, F.lit("</h"), level, F.lit(">")))
+        F.when(_is("SectionHeader"), F.concat(F.lit("<h"), level, F.lit(">"), text, F.lit("</h"), level, F.lit(">")))
         .when(in_list, F.concat(F.when(~F.col("_p").eqNullSafe(own), F.concat(F.lit("<"), lst, F.lit(">\n"))).otherwise(""), F.lit("<li>"), text, F.lit("</li>"), F.when(~F.col("_n").eqNullSafe(own), F.concat(F.lit("\n</"), lst, F.lit(">"))).otherwise("")))
         .when(_is("Code"), F.concat(F.lit("<pre><code"), F.coalesce(F.concat(F.lit(' class="language-'), escape_html("code_lang"), F.lit('"')), F.lit("")), F.lit(">"), text, F.lit("</code></pre>")))
         .when(_is("TableElement"), F.concat(F.lit("<table>\n"), F.coalesce("body", F.lit("")), F.lit("\n</table>")))
@@ -195,6 +197,10 @@ def export(f: DocFrames, kind: str) -> DataFrame:
 
 
 def write(f: DocFrames, kind: str, path: str) -> None:
-    """One folder per document under ``path``, written by the executors through Spark's own writer."""
-    out = export(f, kind).select(F.regexp_extract("doc", r"([^:]*)$", 1).alias("doc"), F.col("text").alias("value"))
-    out.write.mode("overwrite").partitionBy("doc").option("lineSep", "\n").text(path)
+    """Parquet files of (doc, file_name, text) below ``path``, in FOLDERS folders by the start of the document's hash.
+
+    The number of folders and files follows from the cluster, not from the number of documents.
+    """
+    out = export(f, kind).withColumn("part", F.substring(F.regexp_extract("doc", r"([^:]*)$", 1), 1, FOLDERS))
+    name = F.concat(F.regexp_extract("doc", r"([^:]*)$", 1), F.lit(f".{EXTENSIONS[kind]}")).alias("file_name")
+    out.select("part", "doc", name, "text").repartition("part").sortWithinPartitions("part").write.mode("overwrite").partitionBy("part").parquet(path)

@@ -13,13 +13,22 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.plans.shared import checkpoint
+from lectern.storage import checkpoint
 from lectern.schema import XSD
 
 TERM = "struct<v:string,k:string,d:string,l:string>"
 NUMERIC = [XSD + n for n in ("integer", "decimal", "float", "double", "long", "int", "short", "byte", "nonNegativeInteger", "positiveInteger", "unsignedInt", "unsignedLong")]
 
 
+#: Shared variables that may be unbound on one side up to which rows are joined apart by which of them are.
+PARTS = 3
+
+
+def _asks(e) -> bool:
+    """Whether an expression has EXISTS in it."""
+    return isinstance(e, (tuple, list)) and (bool(e) and e[0] == "exists" or any(map(_asks, e)))
+
+
 @dataclass
 class Sol:
     """Rows, and the variables that may be unbound in some."""
@@ -32,6 +41,14 @@ class Sol:
         return self.df.columns
 
 
+def _flat(sol: Sol, tag: str) -> tuple[DataFrame, dict[str, tuple[Column, str]]]:
+    """The rows with each term's fields as columns, and for each variable the term made of them and their prefix."""
+    prefix = {v: f"{tag}{i}" for i, v in enumerate(sol.vars)}
+    df = sol.df.withColumns({f"{p}_{x}": F.col(f"`{v}`")[x] for v, p in prefix.items() for x in "vkdl"})
+    made = {v: F.when(F.col(f"{p}_k").isNotNull(), F.struct(*(F.col(f"{p}_{x}").alias(x) for x in "vkdl"))) for v, p in prefix.items()}
+    return df, {v: (made[v], p) for v, p in prefix.items()}
+
+
 @dataclass
 class Val:
     """An expression's value: kind is term, bool, num or str."""
@@ -90,8 +107,12 @@ def as_bool(x: Val) -> Column:
 
 
 class Compiler:
-    def __init__(self, quads: DataFrame, graph: str | None = None):
-        self.quads, self.default = quads, graph
+    def __init__(self, quads: DataFrame, graph: str | None = None, dataset: dict | None = None):
+        self.quads, self.default = quads, None if graph is None else [graph]
+        #: Graphs that GRAPH may name; None: all.
+        self.named: list[str] | None = None
+        if dataset and (dataset["from"] or dataset["named"]):
+            self.default, self.named = dataset["from"], dataset["named"]
         self.names: dict[str, str] = {}
 
     def name(self, var: str) -> str:
@@ -150,9 +171,13 @@ class Compiler:
         obj = F.struct(F.col("object").alias("v"), F.col("object_kind").alias("k"), F.col("datatype").alias("d"), F.col("lang").alias("l")).alias("o")
         cols = [F.col("subject").alias("s"), F.col("predicate").alias("p"), obj]
         if graph and graph[0] == "var":
-            return q.filter(F.col("graph").isNotNull()).select(*cols, F.col("graph").alias("g"))
-        only = graph[1] if graph else self.default
-        return q.select(*cols) if only is None else q.filter(F.col("graph") == only).select(*cols)
+            seen = F.col("graph").isNotNull() if self.named is None else F.col("graph").isin(self.named)
+            return q.filter(seen).select(*cols, F.col("graph").alias("g"))
+        if graph:
+            only = [graph[1]] if self.named is None or graph[1] in self.named else []
+        else:
+            only = self.default
+        return q.select(*cols) if only is None else q.filter(F.col("graph").isin(only)).select(*cols)
 
     def bgp(self, triples: list, graph: tuple | None) -> Sol:
         stars: dict[tuple, list] = {}
@@ -209,7 +234,7 @@ class Compiler:
         return Sol(df.select(*(c.alias(n) for n, c in cols.items())))
 
     def single_graph(self, graph: tuple | None) -> bool:
-        return (graph is not None) or self.default is not None
+        return graph is not None or (self.default is not None and len(self.default) < 2)
 
     def same_literal(self, c: Column, t: tuple) -> Column:
         """Numbers match by value, other literals as terms; a simple string also matches without datatype."""
@@ -301,11 +326,37 @@ class Compiler:
         cols = [F.coalesce(F.col(f"`{v}`"), F.col(f"`_r_{v}`")).alias(v) if v in shared and v in left.maybe else F.col(f"`{v}`") for v in left.vars]
         return joined.select(*cols, *(F.col(f"`{v}`") for v in right.vars if v not in shared))
 
+    def parts(self, sol: Sol, other: Sol) -> list[Sol]:
+        """Disjoint parts of the rows by which of the shared variables are bound; those that are not are left out.
+
+        Within a part variables are equal or not there, so joins have hash keys.  Beyond a few such variables the
+        rows stay together and are joined by a condition.
+        """
+        loose = sorted(v for v in sol.maybe if v in sol.vars and v in other.vars)
+        if not loose or len(loose) > PARTS:
+            return [sol]
+        out = []
+        for k in range(1 << len(loose)):
+            free = {v for i, v in enumerate(loose) if k >> i & 1}
+            tests = [F.col(f"`{v}`").isNull() if v in free else F.col(f"`{v}`").isNotNull() for v in loose]
+            df = sol.df.filter(reduce(lambda a, b: a & b, tests)).drop(*free)
+            out.append(Sol(df, sol.maybe - set(loose)))
+        return out
+
+    def by_parts(self, left: Sol, right: Sol, how, both: bool = False) -> Sol | None:
+        """The union of what ``how`` makes of the parts of both sides, or of the left side only; None if there is one of each."""
+        lefts, rights = self.parts(left, right), self.parts(right, left) if both else [right]
+        if len(lefts) == len(rights) == 1:
+            return None
+        return self.union([how(a, b) for a in lefts for b in rights])
+
     def join(self, left: Sol | None, right: Sol) -> Sol:
         if left is None or not left.vars:
             return right if left is None else Sol(left.df.crossJoin(right.df), right.maybe)
         if not right.vars:
             return Sol(left.df.crossJoin(right.df), left.maybe)
+        if (apart := self.by_parts(left, right, self.join, both=True)) is not None:
+            return apart
         renamed, cond, shared = self._matched(left, right)
         joined = left.df.join(renamed, cond, "inner") if shared else left.df.crossJoin(renamed)
         both = {v for v in shared if v in left.maybe and v in right.maybe}
@@ -313,16 +364,26 @@ class Compiler:
 
     def left(self, left: Sol, right: Sol, conditions: list, graph: tuple | None) -> Sol:
         """OPTIONAL: its filters are part of the join condition and see both sides."""
+        if (apart := self.by_parts(left, right, lambda a, b: self.left(a, b, conditions, graph))) is not None:
+            return apart
         renamed, cond, shared = self._matched(left, right)
-        if conditions:
-            wide = Sol(left.df.join(renamed, cond, "cross").select(*left.vars, *(v for v in renamed.columns)))
-            scope = {**{v: left.df[f"`{v}`"] for v in left.vars}, **{v: renamed[f"`{v}`"] for v in renamed.columns}}
-            for c in conditions:
-                cond = cond & F.coalesce(as_bool(self.value(c, wide, scope)), F.lit(False))
+        cond = self._seen(left, renamed, cond, conditions)
         joined = left.df.join(renamed, cond, "left")
         return Sol(self._merged(joined, left, right, shared), left.maybe | {v for v in right.vars if v not in shared})
 
+    def _seen(self, left: Sol, renamed: DataFrame, cond: Column, conditions: list) -> Column:
+        """The join condition with filters that see the variables of both sides."""
+        scope = {v: renamed[f"`{v}`"] for v in renamed.columns if not v.startswith("_r_")}
+        for v in left.vars:
+            other = f"_r_{v}" if f"_r_{v}" in renamed.columns else None
+            scope[v] = F.coalesce(left.df[f"`{v}`"], renamed[f"`{other}`"]) if other and v in left.maybe else left.df[f"`{v}`"]
+        for c in conditions:
+            cond = cond & F.coalesce(as_bool(self.value(c, left, scope)), F.lit(False))
+        return cond
+
     def minus(self, left: Sol, right: Sol) -> Sol:
+        if (apart := self.by_parts(left, right, self.minus)) is not None:
+            return apart
         renamed, cond, shared = self._matched(left, right)
         if not shared:
             return left
@@ -338,13 +399,38 @@ class Compiler:
         if e[0] == "not" and e[1][0] == "exists":
             e = ("exists", e[1][1], not e[1][2])
         if e[0] == "exists":
-            inner = self.solutions(e[1], graph)
-            renamed, cond, _ = self._matched(now, inner)
-            return Sol(now.df.join(renamed, cond, "left_anti" if e[2] else "left_semi"), now.maybe)
+            # filters of the pattern see the variables of the row that is asked for; deeper groups see their own
+            parts = e[1][1] if e[1][0] == "join" else []
+            inside = [p[1] for p in parts if p[0] == "filter" and not _asks(p[1])]
+            bare = ("join", [p for p in parts if p[0] != "filter" or _asks(p[1])]) if inside else e[1]
+            return self.matching(now, self.solutions(bare, graph), inside, e[2])
         if e[0] == "and":
             return self.filter(self.filter(now, e[1], graph), e[2], graph)
         return Sol(now.df.filter(as_bool(self.value(e, now))), now.maybe)
 
+    def matching(self, now: Sol, inner: Sol, conditions: list, without: bool) -> Sol:
+        """Rows with (or without) a match."""
+        how = lambda a, b: self.matching(a, b, conditions, without)
+        if (apart := self.by_parts(now, inner, how)) is not None:
+            return apart
+        how = "left_anti" if without else "left_semi"
+        if not conditions:
+            renamed, cond, _ = self._matched(now, inner)
+            return Sol(now.df.join(renamed, cond, how), now.maybe)
+        # fields of terms as columns of their own: the planner loses fields that both sides of such a join take from one source
+        (one, mine), (two, theirs) = _flat(now, "_one"), _flat(inner, "_two")
+        cond = F.lit(True)
+        for v in (v for v in now.vars if v in theirs):
+            same = [F.col(f"{a}_{x}").eqNullSafe(F.col(f"{b}_{x}")) for a, b in [(mine[v][1], theirs[v][1])] for x in "dl"]
+            eq = (F.col(f"{mine[v][1]}_v") == F.col(f"{theirs[v][1]}_v")) & (F.col(f"{mine[v][1]}_k") == F.col(f"{theirs[v][1]}_k")) & same[0] & same[1]
+            for side, sol in ((mine, now), (theirs, inner)):
+                eq = eq | F.col(f"{side[v][1]}_k").isNull() if v in sol.maybe else eq
+            cond = cond & eq
+        scope = {v: c for v, (c, _) in {**theirs, **mine}.items()}
+        for c in conditions:
+            cond = cond & F.coalesce(as_bool(self.value(c, now, scope)), F.lit(False))
+        return Sol(one.join(two.drop(*inner.vars), cond, how).select(*now.vars), now.maybe)
+
     # queries
 
     def select(self, q: dict, graph: tuple | None = None) -> Sol:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 from lectern.sources.base import Builder, decode, picture_format
@@ -50,6 +51,21 @@ class Node:
         return " ".join("".join(out).split())
 
 
+    def raw(self) -> str:
+        """All text as it stands."""
+        out, todo = [], [iter(self.children)]
+        while todo:
+            for child in todo[-1]:
+                if isinstance(child, str):
+                    out.append(child)
+                else:
+                    todo.append(iter(child.children))
+                    break
+            else:
+                todo.pop()
+        return "".join(out)
+
+
 class Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -140,80 +156,86 @@ def picture(b: Builder, node: Node) -> str:
     return b.element("PictureElement", "picture", None, alt_text=node.attrs.get("alt"), link_target=src or None, pic_format=picture_format(src))
 
 
-def inline(b: Builder, node: Node, within: frozenset[str] = frozenset()) -> None:
-    """Links and images below a text element become elements of their own after it; ``within`` is left to the caller."""
-    for child in node.children:
-        if isinstance(child, Node) and child.tag not in within:
-            if child.tag == "a":
-                link(b, child)
-                inline(b, child, within)
-            elif child.tag == "img":
-                picture(b, child)
-            else:
-                inline(b, child, within)
+def below(node: Node, enter) -> Iterator[Node]:
+    """Nodes below ``node`` in document order, without recursion; only what ``enter`` lets is descended into."""
+    todo = [iter(node.children)]
+    while todo:
+        for child in todo[-1]:
+            if isinstance(child, Node):
+                yield child
+                if enter(child):
+                    todo.append(iter(child.children))
+                    break
+        else:
+            todo.pop()
 
 
-def walk(b: Builder, node: Node) -> None:
-    for child in node.children:
-        if not isinstance(child, Node) or child.tag in SKIPPED:
+def inline(b: Builder, node: Node, within: frozenset[str] = frozenset()) -> None:
+    """Links and images below a text element become elements of their own after it; ``within`` is left to the caller."""
+    for child in below(node, lambda x: x.tag not in within and x.tag != "img"):
+        if child.tag in within:
             continue
-        tag = child.tag
-        if tag in PASSING:
-            walk(b, child)
-        elif len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
-            if text := child.text():
-                b.element("SectionHeader", "heading", text, level=int(tag[1]))
-                inline(b, child)
-        elif tag == "p":
-            if text := child.text():
-                b.element("Paragraph", "paragraph", text)
-            inline(b, child)
-        elif tag == "li":
-            if text := child.text(STRUCTURE):
-                b.element("ListItem", "listitem", text)
-            inline(b, child, STRUCTURE)
-            structured(b, child)
-        elif tag in PARENTS:
-            b.open(PARENTS[tag], tag)
-            walk(b, child)
-            b.close()
-        elif tag == "a":
+        if child.tag == "a":
             link(b, child)
-        elif tag == "img":
+        elif child.tag == "img":
             picture(b, child)
-        elif tag == "table":
-            read_table(b, child)
-        elif tag == "pre":
-            code = next(child.find_all("code"), None)
-            raw = "".join(x for x in flat(code or child))
-            if code is not None:
-                b.element("Code", "code", raw, code_lang=code_language(code.attrs.get("class", "")))
-            elif raw.strip():
-                b.element("Paragraph", "paragraph", raw.strip())
-        elif tag == "figure":
-            el = next((picture(b, i) for i in child.find_all("img")), None)
-            for c in child.find_all("figcaption"):
-                b.element("Caption", "caption", c.text(), caption_of=el)
-
-
-def structured(b: Builder, node: Node) -> None:
-    """Lists and tables nested in a list item."""
-    for child in node.children:
-        if isinstance(child, Node):
-            if child.tag in STRUCTURE:
-                wrapper = Node("#part", {})
-                wrapper.children = [child]
-                walk(b, wrapper)
-            else:
-                structured(b, child)
 
 
-def flat(node: Node):
-    for child in node.children:
-        if isinstance(child, str):
-            yield child
+def walk(b: Builder, root: Node) -> None:
+    """Elements of a tree, however deep; what is open stands on a stack with whether it closes a parent."""
+    todo = [(iter(root.children), False)]
+    while todo:
+        children, opened = todo[-1]
+        for child in children:
+            if isinstance(child, Node) and child.tag not in SKIPPED and (into := visit(b, child)) is not None:
+                todo.append((iter(into), child.tag in PARENTS))
+                break
         else:
-            yield from flat(child)
+            todo.pop()
+            if opened:
+                b.close()
+
+
+def visit(b: Builder, child: Node) -> list | None:
+    """Elements of one node; what below it is to be walked."""
+    tag = child.tag
+    if tag in PASSING:
+        return child.children
+    if tag in PARENTS:
+        b.open(PARENTS[tag], tag)
+        return child.children
+    if len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
+        if text := child.text():
+            b.element("SectionHeader", "heading", text, level=int(tag[1]))
+            inline(b, child)
+    elif tag == "p":
+        if text := child.text():
+            b.element("Paragraph", "paragraph", text)
+        inline(b, child)
+    elif tag == "li":
+        if text := child.text(STRUCTURE):
+            b.element("ListItem", "listitem", text)
+        inline(b, child, STRUCTURE)
+        # lists and tables nested in a list item
+        return [x for x in below(child, lambda x: x.tag not in STRUCTURE) if x.tag in STRUCTURE]
+    elif tag == "a":
+        link(b, child)
+    elif tag == "img":
+        picture(b, child)
+    elif tag == "table":
+        read_table(b, child)
+    elif tag == "pre":
+        code = next(child.find_all("code"), None)
+        raw = (code or child).raw()
+        if code is not None:
+            b.element("Code", "code", raw, code_lang=code_language(code.attrs.get("class", "")))
+        elif raw.strip():
+            b.element("Paragraph", "paragraph", raw.strip())
+    elif tag == "figure":
+        el = next((picture(b, i) for i in child.find_all("img")), None)
+        for c in child.find_all("figcaption"):
+            b.element("Caption", "caption", c.text(), caption_of=el)
+    return None
 
 
 def parse(name: str, data: bytes) -> list[dict]:

@@ -16,13 +16,25 @@ def attr(e: ET.Element | None, name: str) -> str | None:
     return None if e is None else next((v for k, v in e.attrib.items() if k.rsplit("}", 1)[-1] == name), None)
 
 
+#: Unpacked bytes of one part of an archive; a larger part fails the document.
+LARGEST = 1 << 29
+#: Cells of a sheet's bounding rectangle up to which empty ones between used ones are cells too.
+DENSE = 1 << 20
+
+
 class Archive:
     def __init__(self, data: bytes):
         self.zip = zipfile.ZipFile(io.BytesIO(data))
         self.names = set(self.zip.namelist())
 
     def xml(self, path: str) -> ET.Element | None:
-        return ET.fromstring(self.zip.read(path)) if path in self.names else None
+        if path not in self.names:
+            return None
+        with self.zip.open(path) as part:
+            data = part.read(LARGEST + 1)
+        if len(data) > LARGEST:
+            raise ValueError(f"{path} has more than {LARGEST} bytes unpacked")
+        return ET.fromstring(data)
 
     def links(self, path: str) -> dict[str, tuple[str, str]]:
         """Relationship id -> (target resolved against the part, kind)."""
@@ -254,7 +266,8 @@ def parse_xlsx(name: str, data: bytes) -> list[dict]:
                 grid[r, column(c.get("r", "")) if c.get("r") else k] = text
         if grid:
             top, left = min(r for r, _ in grid), min(c for _, c in grid)
-            for r in range(top, max(r for r, _ in grid) + 1):
-                for c in range(left, max(c for _, c in grid) + 1):
-                    b.cell(el, r - top, c - left, grid.get((r, c), ""), r == top)
+            height, width = max(r for r, _ in grid) - top + 1, max(c for _, c in grid) - left + 1
+            dense = height * width <= max(DENSE, 4 * len(grid))
+            for r, c in ((top + k // width, left + k % width) for k in range(height * width)) if dense else sorted(grid):
+                b.cell(el, r - top, c - left, grid.get((r, c), ""), r == top)
     return b.rows()

@@ -27,7 +27,7 @@ SAMPLES = {
 @pytest.fixture(scope="module")
 def frames(spark):
     rows = [(n, bytearray(t.encode())) for n, t in SAMPLES.items()] + [("bad.zzz", bytearray(b"\x00\x01")), ("bad.docx", bytearray(b"PK\x03\x04 no zip")), ("empty.md", bytearray())]
-    return convert(spark.createDataFrame(rows, "name string, content binary"), persist=True)
+    return convert(spark.createDataFrame(rows, "name string, content binary"), store=True)
 
 
 def test_every_format_is_read(frames):
