@@ -64,6 +64,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def narrow(df: DataFrame, most: int = 1 << 18) -> DataFrame:
+    """``cut``; of a table of narrow rows that has ``most`` at most, one partition, which needs no exchange after that."""
+    out = cut(df)
+    return out.coalesce(1) if out.count() <= most else out
+
+
 def near(df: DataFrame, most: int = 1 << 16) -> DataFrame:
     """``df``, a written table of narrow rows, to be broadcast if it has ``most`` rows at most."""
     return F.broadcast(df) if df.count() <= most else df

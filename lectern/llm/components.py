@@ -37,17 +37,17 @@ def least_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def components(links: DataFrame, rounds: int = 60, few: int = FEW) -> DataFrame:
     """(node, component): the smallest node reachable from each node that has a link; ``links`` has a and b.
 
-    Up to ``few`` distinct links are joined by one task.  More stay spread over the cluster: large and small stars
+    Up to ``few`` links are joined by one task.  More stay spread over the cluster: large and small stars
     take turns, so every node links its larger neighbours to its smallest neighbour, then itself and its smaller
     neighbours to it, until nothing changes.  The minimum of a node's neighbours is combined before each
     shuffle, and joins on it have one row a node on one side, so a node with many links can be split.  Each
     round is written to the shared checkpoint folder.
     """
     ends = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
-    edges = cut(links.filter("a <> b").select(*ends).distinct())
+    edges = cut(links.filter("a <> b").select(*ends))
     if edges.count() <= few:
         return edges.coalesce(1).mapInArrow(_in_one_task, "node long, component long")
-    before = None
+    edges, before = cut(edges.distinct()), None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))

@@ -29,7 +29,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import crc32_text, cut, near as nearby, pick
+from lectern.llm.common import crc32_text, cut, narrow, pick
+from lectern.llm.common import near as nearby
 from lectern.llm.substring import NO_ID
 
 SHINGLE, THRESHOLD, RADIUS = 5, 0.8, 11
@@ -118,8 +119,9 @@ def with_probe(rows: DataFrame, items: DataFrame, kinds: list[int], near) -> Dat
         hits = F.explode(F.array_distinct(F.concat(*(_hits(k) for k in kinds)))).alias("x")
         found = placed.select("key", "crc", hits).select("key", "crc", "x.k", "x.shingle")
         held = found.join(near(probes.select("k", "shingle").distinct()), ["k", "shingle"], "left_semi")
-        held = cut(held.select("key", "crc").distinct())
+        held = narrow(held.select("key", "crc").distinct())
         rows = rows.join(nearby(held), ["key", "crc"], "left_semi")
+    # wide rows, but those of documents that hold a probe only
     return cut(rows.groupBy("key", "crc").agg(F.min("text").alias("text")))
 
 
@@ -162,7 +164,7 @@ def windows_of(keyed: DataFrame, items: DataFrame, kinds: list[int], near) -> Da
     mine = hits.groupBy("key", "crc").agg(F.array_distinct(F.flatten(F.collect_list(starts))).alias("windows")).filter(F.size("windows") > 0)
     kind = lambda w: F.xxhash64(w["k"], w["size"], said(by_kind(w["k"], kinds), w["k"], w))
     told = F.transform("windows", lambda w: F.struct(w["k"].alias("k"), w["size"].alias("size"), w["start"].alias("start"), kind(w).alias("kind")))
-    return cut(made.join(mine, ["key", "crc"]).select("key", "crc", F.explode(told).alias("w")).select("key", "crc", "w.*"))
+    return narrow(made.join(mine, ["key", "crc"]).select("key", "crc", F.explode(told).alias("w")).select("key", "crc", "w.*"))
 
 
 def said(hashes: Column, k: Column, window: Column) -> Column:
@@ -178,7 +180,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ids are kept; repeated documents and items give one row for each pair of ids; empty tables give an empty
     result; other columns are ignored.
     """
-    items = cut(items_of(benchmark, item_col, item_text))
+    items = narrow(items_of(benchmark, item_col, item_text))
     counts = {r["k"]: r["m"] for r in items.groupBy("k").agg(F.sum(F.size("shingles")).alias("m")).collect()}
     if not counts:
         schema = "doc_id long, item_id long, start int, n_words int, distance int, similarity double"
@@ -206,7 +208,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     shared = F.expr("aggregate(array_distinct(b), 0, (s, x) -> s + least(size(filter(a, y -> y = x)), size(filter(b, y -> y = x))))")
     similarity = shared / (F.size("a") + F.size("b") - shared)
     verified = sides.select("kind", "item_id", "distance", similarity.alias("similarity")).filter(F.col("similarity") >= THRESHOLD)
-    found = windows.join(nearby(cut(verified)), "kind").select("key", "item_id", F.struct((-F.col("similarity")).alias("rank"), "start", "size", "distance").alias("x"))
+    found = windows.join(nearby(narrow(verified)), "kind").select("key", "item_id", F.struct((-F.col("similarity")).alias("rank"), "start", "size", "distance").alias("x"))
     first = found.groupBy("key", "item_id").agg(F.min("x").alias("x"))
     told = F.col("x.start"), F.col("x.size").alias("n_words"), F.col("x.distance"), (-F.col("x.rank")).alias("similarity")
     return first.select(F.nullif("key", F.lit(NO_ID)).alias("doc_id"), "item_id", *told)

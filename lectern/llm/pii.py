@@ -30,7 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import crc32_text, cut, near, position
+from lectern.llm.common import crc32_text, narrow, near, position
 from lectern.llm.substring import NO_ID, keyed
 
 KINDS = ("email", "ip", "card", "phone")
@@ -235,21 +235,21 @@ def revealing(rows: DataFrame) -> DataFrame:
     """
     total = rows.count()
     # an entity of too few texts, or in all documents, has no revealing term
-    entities = cut(mentioned(rows).filter((F.col("n_texts") >= SUPPORT) & (F.col("n_entity") < total)).select("entity", "n_entity"))
+    entities = narrow(mentioned(rows).filter((F.col("n_texts") >= SUPPORT) & (F.col("n_entity") < total)).select("entity", "n_entity"))
     counted = together(rows, bitmap(entities.select(F.col("entity").alias("term"))))
-    pairs = cut(counted.filter(F.col("n_texts") >= SUPPORT).select("entity", "term", "n_both"))
+    pairs = narrow(counted.filter(F.col("n_texts") >= SUPPORT).select("entity", "term", "n_both"))
     counts = term_counts(rows, bitmap(pairs.select("term"))).select("term", F.col("n_docs").alias("n_term"))
     pmi = F.log2(F.lit(float(total)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
     content = F.log2(F.lit(float(total)) / F.col("n_entity"))
     seen = counts.join(near(pairs), "term").join(near(entities), "entity")
-    seen = cut(seen.select("entity", "term", "n_both", "n_entity", (pmi / content).alias("disclosure")))
-    top = cut(seen.groupBy("term").agg(F.max(F.struct("disclosure", "entity")).alias("top")).select("term", "top.*"))
+    seen = narrow(seen.select("entity", "term", "n_both", "n_entity", (pmi / content).alias("disclosure")))
+    top = narrow(seen.groupBy("term").agg(F.max(F.struct("disclosure", "entity")).alias("top")).select("term", "top.*"))
     found = top.filter(F.col("disclosure") >= GENERALISE)
-    plain = near(cut(top.filter(F.col("disclosure") < GENERALISE).select("term")))
+    plain = near(narrow(top.filter(F.col("disclosure") < GENERALISE).select("term")))
     common = seen.filter(F.col("n_both") * 2 >= F.col("n_entity")).join(plain, "term", "left_semi")
     general = common.groupBy("entity").agg(F.max(F.struct("disclosure", "term")).alias("x"))
-    general = near(cut(general.select("entity", F.col("x.term").alias("general"))))
-    return cut(found.join(general, "entity", "left").select("term", "disclosure", "general"))
+    general = near(narrow(general.select("entity", F.col("x.term").alias("general"))))
+    return narrow(found.join(general, "entity", "left").select("term", "disclosure", "general"))
 
 
 def gathered(terms: DataFrame) -> Broadcast | None:

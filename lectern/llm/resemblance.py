@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut, documents, near
+from lectern.llm.common import cut, documents, narrow, near
 from lectern.llm.components import components
 from lectern.llm.pii import bitmap
 from lectern.llm.simhash import LOWER, fingerprint_links
@@ -39,7 +39,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Cells of the table of counts, and of a range of it that is summed at a time.
 CELL_BITS, RANGE_BITS = 20, 14
 #: Nodes that a worker remembers to send once, pairs that are looked at together, and shingles that are sent together.
-MEMORY, PAIRS, AT_ONCE = 1 << 18, 1 << 20, 1 << 18
+MEMORY, PAIRS, AT_ONCE = 1 << 18, 1 << 17, 1 << 18
 #: Bits of a parity bitmap, in longs.
 PARITY = 4
 #: MinHash values of a node.
@@ -169,7 +169,7 @@ def within_bounds(one: str, two: str, t: float) -> Column:
 
 
 def seed_pairs(rows: DataFrame, given: DataFrame, levels: Broadcast, size: int, t: float) -> DataFrame:
-    """(a, b): distinct pairs of nodes, a few for each node that has anything in common with others."""
+    """(a, b): pairs of nodes, a few for each node that has anything in common with others."""
     sent = cut(seeds(given, levels, size))
     # the most central node of each bucket
     best = F.max(F.struct("common", "node", "n", *PARITIES)).alias("two")
@@ -177,7 +177,7 @@ def seed_pairs(rows: DataFrame, given: DataFrame, levels: Broadcast, size: int,
     stars = met.filter((F.col("one.node") != F.col("two.node")) & within_bounds("one", "two", t))
     linked = fingerprint_links(rows.filter("fp is not null").groupBy("fp").agg(F.min("node").alias("node")), "node")
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    return stars.select(*pair("one.node", "two.node")).unionByName(linked.select(*pair("a", "b"))).distinct()
+    return stars.select(*pair("one.node", "two.node")).unionByName(linked.select(*pair("a", "b")))
 
 
 def prefixes(rows: DataFrame, levels: Broadcast, size: int, t: float) -> DataFrame:
@@ -237,7 +237,7 @@ def near_pairs(columns: list[np.ndarray], t: float) -> tuple[np.ndarray, np.ndar
 
 
 def candidates(sent: DataFrame, t: float) -> DataFrame:
-    """(a, b): distinct pairs of nodes of different groups that share a shingle of their prefixes and pass the bounds."""
+    """(a, b): pairs of nodes of different groups that share a shingle of their prefixes and pass the bounds."""
     names = ["token", "chunks", "node", "component", "place", *PARITIES]
 
     def found(groups: list[list[np.ndarray]]) -> pa.RecordBatch:
@@ -263,7 +263,7 @@ def candidates(sent: DataFrame, t: float) -> DataFrame:
             yield found([rest[2:]])
 
     dealt = sent.select(*names).repartition("token", "chunks").sortWithinPartitions("token", "chunks")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def similar(pairs: DataFrame, size: int, t: float) -> DataFrame:
@@ -287,8 +287,8 @@ def similar(pairs: DataFrame, size: int, t: float) -> DataFrame:
 
 def verified(pairs: DataFrame, nodes: DataFrame, given: DataFrame, size: int, t: float) -> DataFrame:
     """(a, b) of those ``pairs`` (a written table) that are similar; only texts of nodes in question are sent."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = cut(nodes.join(near(cut(ends)), "node").select("node", "code"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    wanted = narrow(nodes.join(near(cut(ends)), "node", "left_semi").select("node", "code"))
     lets = bitmap(wanted, F.col("code"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,25 +311,28 @@ def grouped(docs: DataFrame, size: int, t: float, id_col: str, text_col: str) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(x, size) for x in batch.column(2).to_pylist()]
-            nodes = pa.array([node_of(x) for x in sets], pa.int64())
-            fps = pa.array([fingerprint(x) if len(x) else None for x in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), nodes, fps], ["doc_id", "code", "node", "fp"])
+            told = []
+            for text in batch.column(2).to_pylist():
+                own = shingles(text, size)
+                told.append((node_of(own), fingerprint(own) if len(own) else None))
+            made = [pa.array([x[i] for x in told], pa.int64()) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["doc_id", "code", "node", "fp"])
 
     rows = cut(given.select("doc_id", "code", "text").mapInArrow(run, "doc_id long, code long, node long, fp long"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "code")).alias("first")
     nodes = cut(rows.groupBy("node").agg(F.min("code").alias("code"), first))
     levels = counted(given, size)
-    seeded = cut(verified(cut(seed_pairs(rows, given, levels, size, t)), nodes, given, size, t))
-    labels = cut(components(seeded))
+    proposed = narrow(narrow(seed_pairs(rows, given, levels, size, t)).distinct())
+    seeded = narrow(verified(proposed, nodes, given, size, t))
+    labels = narrow(components(seeded))
     sent = prefixes(given, levels, size, t).join(near(labels, LABELS), "node", "left")
-    rest = cut(candidates(sent.withColumn("component", F.coalesce("component", "node")), t))
+    rest = narrow(narrow(candidates(sent.withColumn("component", F.coalesce("component", "node")), t)).distinct())
     if not rest.isEmpty():
-        labels = cut(components(seeded.unionByName(verified(rest, nodes, given, size, t))))
+        labels = narrow(components(seeded.unionByName(verified(rest, nodes, given, size, t))))
     levels.unpersist()
-    connected = nodes.join(near(labels), "node").select("node", "component", "first")
-    least = connected.groupBy("component").agg(F.min("first").alias("least"))
-    named = cut(labels.join(near(cut(least)), "component").select("node", "least"))
+    connected = narrow(nodes.join(near(labels), "node").select("node", "component", "first"))
+    least = narrow(connected.groupBy("component").agg(F.min("first").alias("least")))
+    named = narrow(labels.join(near(least), "component").select("node", "least"))
     return rows, nodes.join(near(named), "node", "left").select("node", "first", F.coalesce("least", "first").alias("least"))
 
 

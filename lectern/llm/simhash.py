@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut, documents
+from lectern.llm.common import cut, documents, near
 from lectern.llm.components import components
 
 RADIUS = 3
@@ -213,15 +213,14 @@ def segments(fp: str, n: int) -> Column:
 
 
 def fingerprint_links(distinct: DataFrame, name: str = "fp") -> DataFrame:
-    """(a, b): links among distinct fingerprints (column fp) that connect all within RADIUS bits.
+    """(a, b), some of them several times: links among distinct fingerprints (column fp) that connect all within RADIUS bits.
 
     Ends are told by the column ``name``, a long that is different for each fingerprint.
     """
     given = distinct.select("fp", F.col(name).alias("name"))
     keyed = given.select("fp", "name", F.explode(segments("fp", given.count())).alias("segment"))
     counts = keyed.groupBy("segment").count().filter(F.col("count") > CHUNK)
-    crowded = cut(counts.select("segment", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks")))
-    crowded = F.broadcast(crowded) if crowded.count() <= BROADCAST else crowded
+    crowded = near(cut(counts.select("segment", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))), BROADCAST)
     own = F.pmod(F.xxhash64("fp"), F.col("chunks").cast("long")).cast("int")
     dealt = keyed.join(crowded, "segment", "left").withColumn("own", F.coalesce(own, F.lit(0)))
     last = F.coalesce("chunks", F.lit(1)) - 1
@@ -255,7 +254,7 @@ def fingerprint_links(distinct: DataFrame, name: str = "fp") -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     met = pairs.repartition("segment", "low", "high").sortWithinPartitions("segment", "low", "high")
-    return met.mapInArrow(run, "a long, b long").distinct()
+    return met.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
