@@ -69,7 +69,8 @@ def mark_windows(rows: DataFrame, size: int) -> DataFrame:
                 out.append(hashes[np.unique(at)])
         return np.concatenate(out)
 
-    seen = sketched(rows, values, hot=1 << 30)
+    # an anchor every few words, of six bytes or so
+    seen = sketched(rows, values, hot=1 << 30, spacing=2 * size)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest

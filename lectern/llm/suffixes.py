@@ -11,8 +11,8 @@ At scale only suffixes that may be repeated are sorted.  Every string has an anc
 smallest hash inside it (see ``sketch``); a count-min sketch of all anchors rules out strings whose anchor
 occurs once.  What is left travels as *runs*: neighbouring strings with the same anchor, sent once as the
 bytes they span.  Runs with the same anchor meet in one task, which refines their suffixes.  An anchor that
-occurs very often has its runs cut into shorter ones that meet by the bytes their strings have in common,
-so near copies of one text are spread over many tasks.
+occurs very often has its runs cut into single strings.  These need no refinement: each meets its equals by a
+128-bit digest, so that a passage in any number of surroundings is spread over as many buckets as strings.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ from lectern.llm.substring import keyed
 
 #: Bytes of an anchor, at most half of a string.
 ANCHOR = 64
-#: An anchor estimated to occur more often has its runs cut into runs of PART strings.
-HOT, PART = 1000, 16
+#: An anchor estimated to occur more often has its runs cut into single strings, which meet by their digest.
+HOT = 1000
 #: Bytes whose suffixes are refined together.
 BLOCK = 1 << 21
 
@@ -106,13 +106,13 @@ def spans(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1) - 1
 
 
-def text_anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(prefix sums, hashes of all anchors-to-be, place of each string's anchor)."""
+def text_anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all anchors-to-be, place of each string's anchor)."""
     short = min(ANCHOR, max(length // 2, 1))
     sums = prefix(data)
     starts = np.arange(len(data) - short + 1)
     hashes = pieces(sums, starts, starts + short)
-    return sums, hashes, anchors(hashes, length - short + 1)
+    return hashes, anchors(hashes, length - short + 1)
 
 
 def find_repeats(rows: DataFrame, length: int) -> DataFrame:
@@ -123,16 +123,18 @@ def find_repeats(rows: DataFrame, length: int) -> DataFrame:
         for text in batch.column(3).to_pylist():
             data = np.frombuffer(text.encode("utf-8"), np.uint8)
             if len(data) >= length:
-                _, hashes, at = text_anchors(data, length)
+                hashes, at = text_anchors(data, length)
                 out.append(hashes[at[np.flatnonzero(np.diff(at, prepend=-1))]])
         return np.concatenate(out)
 
-    seen = sketched(rows, values, hot=HOT)
+    # an anchor for about a third of a string
+    seen = sketched(rows, values, hot=HOT, spacing=max(length // 3, 1))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_128_digest
         for batch in batches:
             keys, crcs = batch.column(0).to_numpy().tolist(), batch.column(1).to_numpy().tolist()
-            # run -> [bucket, key, place, whether it occurs again in this batch]
+            # run, or digest of a string -> [bucket, key, place, whether it occurs again in this batch]
             met: dict[bytes, list] = {}
             whole: list[tuple[int, int, int]] = []
             for n, text in enumerate(batch.column(3).to_pylist()):
@@ -140,30 +142,29 @@ def find_repeats(rows: DataFrame, length: int) -> DataFrame:
                 if len(raw) < length:
                     continue
                 data = np.frombuffer(raw, np.uint8)
-                sums, hashes, at = text_anchors(data, length)
+                hashes, at = text_anchors(data, length)
                 firsts = np.flatnonzero(np.diff(at, prepend=-1))
                 lasts = np.append(firsts[1:], len(at)) - 1
                 heads = hashes[at[firsts]]
                 again = seen.value.repeated(heads)
                 firsts, lasts, heads = firsts[again], lasts[again], heads[again]
                 hot = seen.value.frequent(heads)
-                if hot.any():
-                    # parts are aligned to the anchor, so that equal strings are in parts of equal bounds
-                    shift = (at[firsts[hot]] - firsts[hot]) % PART
-                    cut_f, cut_l = [firsts[~hot]], [lasts[~hot]]
-                    cut_h = [heads[~hot].view(np.int64)]
-                    for f, la, s in zip(firsts[hot].tolist(), lasts[hot].tolist(), shift.tolist(), strict=True):
-                        edges = np.arange(f + s, la + 1, PART)
-                        f2 = np.concatenate([[f], edges[edges > f]])
-                        l2 = np.append(f2[1:], la + 1) - 1
-                        # what all strings of a full part share; it is inside any one of them
-                        low = f2 - (f2 - f - s) % PART
-                        core = pieces(sums, low + PART - 1, low + length)
-                        cut_f.append(f2), cut_l.append(l2), cut_h.append(core.view(np.int64))
-                    firsts, lasts, buckets = np.concatenate(cut_f), np.concatenate(cut_l), np.concatenate(cut_h)
-                else:
-                    buckets = heads.view(np.int64)
                 key, crc = keys[n], crcs[n]
+                for f, la in zip(firsts[hot].tolist(), lasts[hot].tolist(), strict=True):
+                    known = np.zeros(la - f + 1, bool)
+                    for k in range(la - f + 1):
+                        string = raw[f + k : f + k + length]
+                        d = digest(string)
+                        token = d if length > len(d) else string
+                        if (old := met.get(token)) is None:
+                            met[token] = [int.from_bytes(d[:8], "little", signed=True), key, (f + k) << 32 | crc, False]
+                            continue
+                        known[k] = True
+                        if not old[3]:
+                            whole.append((old[1], old[2], 1))
+                            old[3] = True
+                    whole += [(key, (f + a) << 32 | crc, b - a + 1) for a, b in zip(*(x.tolist() for x in spans(known)), strict=True)]
+                firsts, lasts, buckets = firsts[~hot], lasts[~hot], heads[~hot].view(np.int64)
                 for f, la, b in zip(firsts.tolist(), lasts.tolist(), buckets.tolist(), strict=True):
                     run = raw[f : la + length]
                     if (old := met.get(run)) is None:
@@ -186,8 +187,10 @@ def find_repeats(rows: DataFrame, length: int) -> DataFrame:
         now, bucket, held, size = None, {}, [], 0
 
         def close() -> None:
-            """A bucket with one run, or with none whose strings are still in question, needs no refinement."""
+            """A bucket with one run, or with none whose strings are still in question, needs no refinement; digests never do."""
             nonlocal size
+            for run in [x for x in bucket if len(x) < length]:
+                del bucket[run]
             if len(bucket) > 1 and any(not x[2] for x in bucket.values()):
                 held.append(dict(bucket))
                 size += sum(map(len, bucket))
@@ -233,9 +236,10 @@ def find_repeats(rows: DataFrame, length: int) -> DataFrame:
                     bucket[run] = (key, place, copies)
                 else:
                     # the same run in two batches: every string in it is repeated
+                    strings = max(len(run) - length, 0)
                     for k, p, c in (old, (key, place, copies)):
                         if not c:
-                            done.append((k, p & 0xFFFFFFFF, p >> 32, (p >> 32) + len(run) - length))
+                            done.append((k, p & 0xFFFFFFFF, p >> 32, (p >> 32) + strings))
                     bucket[run] = (old[0], old[1], True)
             yield frame(done)
         close()

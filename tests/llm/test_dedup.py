@@ -1,6 +1,7 @@
 """Suffix-array and substring dedup against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -57,7 +58,7 @@ def test_suffixes_short_strings(spark, length):
 
 
 def test_suffixes_hot_anchor_is_cut(spark, monkeypatch):
-    for name, value in (("HOT", 3), ("PART", 4), ("BLOCK", 1 << 10)):
+    for name, value in (("HOT", 3), ("BLOCK", 1 << 10)):
         monkeypatch.setattr(suffixes, name, value)
     text = prose(5, 200)
     docs = [(k, text[: 300 + 17 * k] + f" {k} " + text[200 + 11 * k :]) for k in range(40)]
@@ -108,7 +109,7 @@ def test_words_on_the_table(spark, sf):
 def test_sketch_never_misses(spark):
     texts = spark.createDataFrame([(k, str(k % 700)) for k in range(1000)], "doc_id long, text string").repartition(5)
     values = lambda batch: sketch.mix(np.array([int(t) for t in batch.column(1).to_pylist()], dtype=np.uint64))
-    seen = sketch.sketched(texts, values, hot=1).value
+    seen = sketch.sketched(texts, values, hot=1, spacing=3).value
     every = sketch.mix(np.arange(700, dtype=np.uint64))
     assert seen.repeated(every)[:300].all()
     assert seen.repeated(every)[300:].mean() < 0.01
@@ -121,3 +122,33 @@ def test_anchor_is_the_leftmost_smallest():
         hashes = rng.integers(0, 1 << 63, 50, dtype=np.uint64)
         want = [int(np.argmin(hashes[i : i + width] >> np.uint64(32))) + i for i in range(50 - width + 1)]
         assert sketch.anchors(hashes, width).tolist() == want
+
+
+def test_a_passage_in_many_surroundings(spark, monkeypatch):
+    """One passage of 260 bytes in each of 3,000 texts that share nothing else; no bucket gathers its surroundings."""
+    monkeypatch.setattr(suffixes, "HOT", 100)
+    rng = random.Random(3)
+    noise = lambda n: "".join(chr(rng.randrange(97, 123)) for _ in range(n))
+    passage = noise(260)
+    docs = [(k, noise(60) + passage + noise(50)) for k in range(1500)] + [(9000, noise(900))]
+    rows = suffixes.drop_repeats(table(spark, docs), output="kept_sha256").collect()
+    assert by_id(rows, *COLUMNS1) == brute_bytes(docs, 200)
+    # one run of starts for each text, or a few
+    assert suffixes.find_repeats(suffixes.keyed(table(spark, docs), "doc_id", "text"), 200).count() <= 80 * len(docs)
+
+
+def test_sketches_follow_the_text(spark):
+    rows = lambda n: suffixes.keyed(table(spark, [(k, "x" * 1000) for k in range(n)]), "doc_id", "text")
+    few, many = rows(10), rows(2000)
+    assert sketch.size_of(few, 40) == sketch.RANGE_BITS < sketch.size_of(many, 4) <= sketch.MOST_BITS
+    assert sketch.size_of(rows(0), 40) == sketch.RANGE_BITS
+
+
+@pytest.mark.parametrize("bits", [16, 18])
+def test_full_sketches_lose_nothing(spark, monkeypatch, bits):
+    """Far more values than cells: more is estimated repeated, with the same results."""
+    docs = [(k, prose(k, 400)) for k in range(60)] + [(100 + k, prose(k, 400)) for k in range(5)]
+    want = [sorted(map(tuple, f(table(spark, docs)).collect())) for f in (suffixes.drop_repeats, substring.drop_repeats)]
+    monkeypatch.setattr(sketch, "RANGE_BITS", 8)
+    monkeypatch.setattr(sketch, "MOST_BITS", bits - 8)
+    assert [sorted(map(tuple, f(table(spark, docs)).collect())) for f in (suffixes.drop_repeats, substring.drop_repeats)] == want
