@@ -29,8 +29,8 @@ from lectern.llm.common import documents
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: White space beside a space, also at either end.
 UNEVEN = regex.compile(r"\s |(?: )(?:\s|$)|^ ")
-#: Encoded pre-tokens that a worker remembers before it starts afresh.
-MEMORY = 1 << 19
+#: Pairs of tokens, and bytes of texts and ids (with ENTRY for each one), that a worker remembers before it starts afresh.
+MEMORY, BYTES, ENTRY = 1 << 19, 1 << 25, 160
 
 
 def byte_letters() -> dict[str, int]:
@@ -45,25 +45,53 @@ def pack(ids: list[int]) -> bytes:
 
 
 class Remembered(dict):
+    """What was made of pieces of text, with the bytes that it takes; texts without a space are pieces of any length."""
+
+    size = 0
+
+    def made(self, piece: str) -> bytes:
+        raise NotImplementedError
+
+    def __missing__(self, piece: str) -> bytes:
+        out = self.made(piece)
+        if self.size > BYTES:
+            self.clear()
+            self.size = 0
+        self.size += len(piece) + len(out) + ENTRY
+        self[piece] = out
+        return out
+
+
+class Words(Remembered):
     """Pre-token -> its ids as little-endian 32-bit integers."""
 
     def __init__(self, encode):
         self.encode = encode
 
-    def __missing__(self, word: str) -> bytes:
-        out = self[word] = pack(self.encode(word.encode("utf-8")))
-        return out
+    def made(self, piece: str) -> bytes:
+        return pack(self.encode(piece.encode("utf-8")))
 
 
-class AfterSpace(dict):
+class AfterSpace(Remembered):
     """What stands between two spaces -> the ids of it and the space before it."""
 
     def __init__(self, coder: Codec):
         self.split, self.words = coder.split.findall, coder.words
 
-    def __missing__(self, piece: str) -> bytes:
-        out = self[piece] = b"".join(map(self.words.__getitem__, self.split(" " + piece)))
-        return out
+    def made(self, piece: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, self.split(" " + piece)))
+
+
+def check(spec: dict) -> None:
+    """Refuse a file whose scheme is another one than that of this encoder."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    other = [k for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix") if model.get(k)]
+    other += [k for k in ("byte_fallback", "ignore_merges") if model.get(k)]
+    other += [k for k in ("normalizer",) if spec.get(k)]
+    if model.get("type", "BPE") != "BPE" or before.get("type") != "ByteLevel" or other:
+        raise ValueError(f"not a plain byte-level BPE file: {model.get('type')}, {before.get('type')}, {other}")
+    if before.get("add_prefix_space") or not before.get("use_regex", True):
+        raise ValueError("a byte-level file with a prefix space or without its own pattern is not supported")
 
 
 class Codec:
@@ -72,6 +100,7 @@ class Codec:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check(spec)
         model, letters = spec["model"], byte_letters()
         self.specials = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         size = max([*model["vocab"].values(), *self.specials.values()]) + 1
@@ -106,7 +135,7 @@ class Codec:
         self.run = np.frombuffer(b"".join(self.strings), dtype=np.uint8)
         self.offsets = np.concatenate([[0], np.cumsum([len(s) for s in self.strings])]).astype(np.int64)
         self.compatible: dict[int, bool] = {}
-        self.words = Remembered(self.encode_bytes)
+        self.words = Words(self.encode_bytes)
         self.split = regex.compile(SPLIT)
         self.pieces = AfterSpace(self)
         self.special = regex.compile("|".join(map(regex.escape, self.specials))) if self.specials else None
@@ -177,9 +206,6 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers; strings of special tokens become their ids."""
-        for memory in (self.words, self.pieces):
-            if len(memory) > MEMORY:
-                memory.clear()
         if self.special is None or not self.special.search(text):
             return self.plain(text)
         out, at = [], 0

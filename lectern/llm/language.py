@@ -30,11 +30,12 @@ WORD = re.compile(r"[^\W\d_]+")
 BUCKETS, DIMENSIONS = 1 << 16, 16
 #: Different labelled texts in the training sample at most, and languages: those with most different texts.
 SAMPLE, LANGUAGES = 3000, 256
-EPOCHS, RATE, HELD_BACK = 8, 0.5, 0.2
+#: Rounds over the sample, more for a small one, so that as many steps as this are taken at least.
+EPOCHS, STEPS, RATE, HELD_BACK = 8, 4000, 0.5, 0.2
 #: This share of the held-back rows is rejected, as far as their number resolves it, and never for a score above CEILING.
 REJECTED, CEILING = 0.005, 0.5
 #: Words that a worker remembers before it starts afresh.
-MEMORY = 1 << 18
+MEMORY = 1 << 16
 
 
 def pieces(word: str) -> list[int]:
@@ -145,8 +146,9 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Model
     train = [r for own in by_language for r in own[int(len(own) * HELD_BACK) :]]
     embed = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)).astype(np.float32)
     layer, bias = np.zeros((DIMENSIONS, len(languages)), np.float32), np.zeros(len(languages), np.float32)
-    step, steps = 0, max(1, EPOCHS * len(train))
-    for _ in range(EPOCHS):
+    epochs = max(EPOCHS, -(-STEPS // len(train)))
+    step, steps = 0, epochs * len(train)
+    for _ in range(epochs):
         for k in rng.permutation(len(train)):
             lang, ids, shares = train[k]
             rate = RATE * (1 - step / steps)
@@ -203,7 +205,7 @@ def identify(docs: DataFrame, model: Model | None, keep: bool = False, id_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = Scores(shared.value) if shared.value else None
         for batch in batches:
-            found = [scores.score(t) if scores is not None else (UNKNOWN, 0.0) for t in batch.column(len(passed)).to_pylist()]
+            found = [scores.score(t) if scores is not None else (UNKNOWN, 0.0) for t in (x.as_py() for x in batch.column(len(passed)))]
             limit = shared.value.threshold if shared.value else 1.0
             columns = [batch.column(i) for i in range(len(passed))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[0] == UNKNOWN or x[1] < limit for x in found], pa.bool_())], [*passed, "lang_pred", "score", "rejected"])

@@ -53,7 +53,7 @@ TERMS = 1 << 17
 BITS, SPARSE = (16, 25), 32
 #: Rows up to which cells are gathered without taking duplicates out first.
 FEW = 1 << 20
-MEMORY = 1 << 19
+MEMORY = 1 << 17
 #: Pairs of an entity and a term that a worker sends together.
 PAIRS = 1 << 16
 

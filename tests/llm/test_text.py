@@ -313,3 +313,23 @@ def test_language_samples_every_language():
     shares = language.quotas({"a": 10**12, "b": 5, "c": 10**9, "d": 700}, 3000)
     assert shares == {"b": 5, "d": 700, "c": 1147, "a": 1148} and sum(shares.values()) == 3000
     assert language.quotas({}, 10) == {} and language.quotas({"a": 3}, 10) == {"a": 3}
+
+
+def test_bpe_remembers_a_bounded_number_of_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "BYTES", 10_000)
+    coder = bpe.Codec(queries.vocabulary())
+    for k in range(200):
+        text = chr(97 + k % 26) * 5000 + f" {k}x end"
+        assert coder.decode(coder.encode(text)).decode() == text
+        assert all(m.size <= 10_000 + 30_000 for m in (coder.words, coder.pieces))
+
+
+def test_bpe_refuses_other_schemes(tmp_path):
+    import json
+
+    spec = json.load(open(queries.vocabulary(), encoding="utf-8"))
+    for change in ({"pre_tokenizer": {"type": "Whitespace"}}, {"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}):
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError):
+            bpe.Codec(str(path))
