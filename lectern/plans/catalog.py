@@ -649,19 +649,51 @@ def sparql_ask(spark, d):
     return spark.createDataFrame([(found,)], "answer boolean")
 
 
-@register("select '<r:' || r_regionkey || '> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <urn:lectern:ontology#Region> .' as line from region union all select '<r:' || r_regionkey || '> <urn:lectern:ontology#name> \"' || r_name || '\" .' from region union all select '<r:' || r_regionkey || '> <urn:lectern:ontology#key> \"' || r_regionkey || '\"^^<http://www.w3.org/2001/XMLSchema#integer> .' from region")
+def star_sql() -> str:
+    """The facts of ``star`` in SQL: q (subject, predicate, object, kind, datatype)."""
+    out = []
+    kinds = {
+        "region": ("r", "r_regionkey", {"a": "Region", "name": ("r_name", "string"), "key": ("r_regionkey", "integer")}),
+        "nation": ("n", "n_nationkey", {"a": "Nation", "name": ("n_name", "string"), "key": ("n_nationkey", "integer"), "inRegion": "'r:' || n_regionkey"}),
+        "customer": ("c", "c_custkey", {"a": "Customer", "name": ("c_name", "string"), "key": ("c_custkey", "integer"), "ofNation": "'n:' || c_nationkey", "segment": ("c_mktsegment", "string")}),
+        "orders": ("o", "o_orderkey", {"a": "Order", "by": "'c:' || o_custkey", "priority": ("o_orderpriority", "string")}),
+    }
+    for name, (prefix, key, props) in kinds.items():
+        for p, v in props.items():
+            predicate = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type" if p == "a" else NS + p
+            value, kind, datatype = (v[0], "literal", f"'{XSD}{v[1]}'") if isinstance(v, tuple) else (f"'{NS}{v}'" if p == "a" else v, "iri", "null")
+            out.append(f"select '{prefix}:' || {key} as subject, '{predicate}' as predicate, ({value})::varchar as object, '{kind}' as kind, {datatype}::varchar as datatype from {name}")
+    return f"q as ({' union all '.join(out)})"
+
+
+TERM_SQL = f"case when kind = 'iri' then '<' || object || '>' when datatype = '{XSD}string' then '\"' || object || '\"' else '\"' || object || '\"^^<' || datatype || '>' end"
+
+
+@register(f"with {star_sql()} select '<' || subject || '> <' || predicate || '> ' || {TERM_SQL} || ' .' as line from q")
 def ntriples_lines(spark, d):
-    return ntriples(star(spark, d).filter("graph = 'g:region'"))
+    return ntriples(star(spark, d))
 
 
-@register("select 'r:' || r_regionkey as subject, 3 as n from region")
+@register(
+    f"with {star_sql()}, x as (select subject, case when ends_with(predicate, '#type') then 'a' else '<' || predicate || '>' end || ' ' || {TERM_SQL} as pair from q) "
+    "select subject, '<' || subject || '> ' || string_agg(pair, ' ;' || chr(10) || '    ' order by pair) || ' .' as block from x group by subject"
+)
 def turtle_blocks(spark, d):
-    return turtle(star(spark, d).filter("graph = 'g:region'")).select("subject", F.size(F.split("block", " ;\n")).alias("n"))
+    return turtle(star(spark, d)).select("subject", "block")
 
 
-@register("select 'r:' || r_regionkey as subject, 3 as n from region")
+RDFXML = f"""
+with {star_sql()},
+h as (select *, regexp_extract(predicate, '([^#/]+)$', 1) as local, regexp_extract(predicate, '^(.*[#/])', 1) as space from q),
+l as (select subject, '  <p:' || local || ' xmlns:p="' || space || '"' || case when kind = 'iri' then ' rdf:resource="' || object || '"/>'
+    else case when datatype <> '{XSD}string' then ' rdf:datatype="' || datatype || '"' else '' end || '>' || object || '</p:' || local || '>' end as line from h)
+select subject, '<rdf:Description rdf:about="' || subject || '">' || chr(10) || string_agg(line, chr(10) order by line) || chr(10) || '</rdf:Description>' as block from l group by subject
+"""
+
+
+@register(RDFXML)
 def rdfxml_blocks(spark, d):
-    return rdfxml(star(spark, d).filter("graph = 'g:region'")).select("subject", (F.size(F.split("block", "\n")) - 2).alias("n"))
+    return rdfxml(star(spark, d)).select("subject", "block")
 
 
 @register("select 27::bigint as classes, 63::bigint as properties")
@@ -672,7 +704,48 @@ def ontology_counts(spark, d):
     return o.agg(F.count_if(F.col("object") == RDFS + "Class").alias("classes"), F.count_if(F.col("object") != RDFS + "Class").alias("properties"))
 
 
-@register()
+#: Elements of the driver's pages as the reader numbers them: title, list, items with their links, article, heading, paragraphs, footer.
+PAGE_ELEMENTS = f"""
+p as (select html, page_id, 'urn:lectern:doc:' || sha256(html) as doc, split_part(html, '<article>', 1) as nav, split_part(split_part(html, '<article>', 2), '</article>', 1) as body,
+    {said("regexp_extract(html, '<title>(.*?)</title>', 1)")} as title from pages),
+i as (select doc, unnest(regexp_extract_all(nav, '<li>(.*?)</li>', 1)) as x, generate_subscripts(regexp_extract_all(nav, '<li>'), 1) - 1 as k from p),
+n as (select doc, len(regexp_extract_all(nav, '<li>')) as n from p),
+t0 as (select doc, {said("regexp_replace(regexp_replace(split_part(unnest(string_split(body, '<p>')[2:]), '</p>', 1), '<br>', ' ', 'g'), '<[^>]*>', '', 'g')")} as x,
+    generate_subscripts(string_split(body, '<p>')[2:], 1) as k from p),
+t as (select doc, x, row_number() over (partition by doc order by k) - 1 as k, count(*) over (partition by doc) as m from t0 where x <> ''),
+e as (
+    select doc, 'Title' as cls, 'title' as pre, 0 as ord, title as text, null::int as level, null as target, null as parent, 0 as depth from p where title <> ''
+    union all select doc, 'UnorderedList', 'ul', 1, null, null, null, null, 0 from p
+    union all select doc, 'ListItem', 'listitem', 2 + 2 * k, {said("regexp_replace(x, '<[^>]*>', '', 'g')")}, null, null, doc || '/ul-1', 1 from i
+    union all select doc, 'Hyperlink', 'link', 3 + 2 * k, {said("regexp_replace(x, '<[^>]*>', '', 'g')")}, null, regexp_extract(x, 'href="([^"]*)"', 1), doc || '/ul-1', 1 from i
+    union all select doc, 'Group', 'article', 2 + 2 * n, null, null, null, null, 0 from n
+    union all select doc, 'SectionHeader', 'heading', 3 + 2 * n, {said("regexp_extract(html, '<h1>(.*?)</h1>', 1)")}, 1, null, doc || '/article-' || (2 + 2 * n), 1 from p join n using (doc)
+    union all select doc, 'Paragraph', 'paragraph', 4 + 2 * n + k, x, null, null, doc || '/article-' || (2 + 2 * n), 1 from t join n using (doc)
+    union all select doc, 'PageFooter', 'footer', 4 + 2 * n + (select count(*) from t where t.doc = n.doc), null, null, null, null, 0 from n),
+el as (select *, doc || '/' || pre || '-' || ord as el from e),
+x as (select *, lag(el) over w as prev, lead(el) over w as next from el window w as (partition by doc, depth order by ord))"""
+
+_L, _X = "urn:lectern:ontology#", "http://www.w3.org/2001/XMLSchema#"
+
+
+def quads_sql() -> str:
+    def made(subject: str, predicate: str, value: str, source: str, kind: str | None = None) -> str:
+        what = f"'literal' as object_kind, '{_X}{kind}' as datatype" if kind else "'iri' as object_kind, null as datatype"
+        p = predicate if ":" in predicate else _L + predicate
+        return f"select doc as graph, {subject} as subject, '{p}' as predicate, ({value})::varchar as object, {what}, null::varchar as lang from {source} where ({value}) is not null"
+
+    rdf, language = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type", "nullif(regexp_extract(html, '<html lang=\"([^\"]*)\"', 1), '')"
+    rows = [made("doc", rdf, f"'{_L}Document'", "p"), made("el", rdf, f"'{_L}' || cls", "x")]
+    of_doc = [("sourceFormat", "'html'", "string"), ("documentHash", "sha256(html)", "string"), ("fileName", "'page-' || page_id || '.html'", "string"), ("fileSize", "octet_length(encode(html))", "integer"), ("language", language, "string"), ("http://purl.org/dc/terms/title", "nullif(title, '')", "string")]
+    rows += [made("doc", p, v, "p", t) for p, v, t in of_doc]
+    of_element = [("textContent", "text", "string"), ("readingOrder", "ord", "integer"), ("headingLevel", "level", "integer"), ("linkTarget", "target", "string"), ("linkText", "case when cls = 'Hyperlink' then text end", "string")]
+    rows += [made("el", p, v, "x", t) for p, v, t in of_element]
+    rows += [made("el", p, v, "x") for p, v in (("parentElement", "parent"), ("previousElement", "prev"), ("nextElement", "next"))]
+    rows += [made("doc", "hasElement", "el", "x"), made("parent", "childElement", "case when parent is not null then el end", "x")]
+    return f"with {PAGE_ELEMENTS} {' union all '.join(rows)}"
+
+
+@register(quads_sql())
 def quads_of_pages(spark, d):
     return to_quads(pages(spark, d))
 
@@ -718,6 +791,55 @@ def chunks_conversations(spark, d):
     return chunking.chunks(conversation_frames(spark, d), chunking.Options(max_tokens=128, overlap=16))
 
 
+#: Neighbours under the same heading are joined while they fit; headings stay alone.
+MERGED = """
+with recursive c as (
+    select conv_id::varchar as doc, turn, role = 'system' as head, text, last_value(case when role = 'system' then text end ignore nulls) over w as crumb from conversations
+    window w as (partition by conv_id order by turn rows between unbounded preceding and current row)),
+o as (select doc, head, case when head then null else crumb end as crumb, case when head or crumb is null then text else '# ' || crumb || chr(10) || chr(10) || text end as text,
+    row_number() over (partition by doc order by turn) as i from c where head or trim(text) <> ''),
+k as (
+    select doc, i, 0 as chunk, text, head, crumb from o where i = 1
+    union all
+    select o.doc, o.i, case when fits then k.chunk else k.chunk + 1 end, case when fits then k.text || chr(10) || chr(10) || o.text else o.text end, o.head, o.crumb
+    from k join o on o.doc = k.doc and o.i = k.i + 1,
+    lateral (select not k.head and not o.head and k.crumb is not distinct from o.crumb and octet_length(encode(k.text || chr(10) || chr(10) || o.text)) <= 4 * 600 as fits))
+select doc, chunk as chunk_index, max_by(text, i) as text from k group by doc, chunk
+"""
+
+
+@register(MERGED)
+def chunks_merged(spark, d):
+    """Texts of conversations are shorter than the budget, so that none is cut."""
+    return chunking.chunks(conversation_frames(spark, d), chunking.Options(max_tokens=600)).select("doc", "chunk_index", "text")
+
+
+@register(
+    """
+    with n as (select conv_id::varchar as doc, turn, regexp_replace(translate(text, ' ' || chr(10) || chr(9), '___'), '[^\\x00-\\x7F]', 'x', 'g') as text from conversations),
+    k as (select doc, turn, unnest(range(0, greatest(1, ceil(length(text) / 40.0)::int))) as i, text from n)
+    select doc, (row_number() over (partition by doc order by turn, i) - 1)::int as chunk_index, substr(text, i * 40 + 1, 40) as text from k
+    """
+)
+def chunks_cut(spark, d):
+    """Texts without white space are cut hard, without overlap; each turn is a document's own run of headings."""
+    f = conversation_frames(spark, d)
+    solid = F.regexp_replace(F.translate("text", " \n\t", "___"), r"[^\x00-\x7F]", "x")
+    el = f.elements.withColumn("text", solid).withColumn("cls", F.lit("SectionHeader")).withColumn("level", F.lit(1))
+    return chunking.chunks(f.with_(elements=el), chunking.Options(max_tokens=10, overlap=0)).select("doc", "chunk_index", "text")
+
+
+@register(
+    "select conv_id, turn::int as n, (row_number() over (order by conv_id, turn) - 1)::bigint as chunk_index from conversations"
+)
+def chunks_renumbered(spark, d):
+    """Numbers across documents, from numbers within each."""
+    c = table(spark, d, "conversations")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    own = c.select("conv_id", F.col("turn").cast("int").alias("n"), (F.row_number().over(w) - 1).alias("chunk_index"))
+    return chunking.renumber(own, ["conv_id"]).select("conv_id", "n", "chunk_index")
+
+
 @register()
 def chunks_pages(spark, d):
     return chunking.chunks(pages(spark, d))
