@@ -1,7 +1,7 @@
 """PDF text reader and the text heuristics behind it.
 
-Text is taken from plain and Flate streams of simple fonts; encrypted files and files with object streams only
-give their document row.  The heuristics are plain functions that also serve tables of extracted paragraphs.
+Text is taken from plain and Flate streams, of simple fonts and of fonts with a ToUnicode table; objects may stand in
+object streams.  Encrypted files give their document row only.  The heuristics are plain functions that also serve tables of extracted paragraphs.
 """
 
 from __future__ import annotations
@@ -11,6 +11,9 @@ import zlib
 
 from lectern.sources.base import Builder
 
+#: Unpacked bytes of a stream that are read.
+LARGEST = 1 << 28
+
 
 def split_into_paragraphs(text: str) -> list[str]:
     """Blank lines and deep indents break paragraphs; lines of a paragraph are joined by spaces."""
@@ -71,36 +74,116 @@ def literal(raw: bytes) -> bytes:
 STRING = rb"\(((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*)\)"
 
 
-def stream_text(data: bytes) -> str:
+HEX = rb"<([0-9A-Fa-f\s]*)>"
+SHOWN = re.compile(
+    rb"/([^\s/<>\[\]()]+)\s+[-\d.]+\s+Tf|(?:" + STRING + rb"|" + HEX + rb")\s*(Tj|'|\")|\[((?:[^\[\]\\]|\\.)*)\]\s*TJ"
+    rb"|(-?[\d.]+)\s+(-?[\d.]+)\s+T[dD]|(T\*)|(ET)",
+    re.S,
+)
+PIECE = re.compile(STRING + rb"|" + HEX + rb"|(-?[\d.]+)", re.S)
+
+
+class Font:
+    """What the codes of a font's strings mean, by its ToUnicode table."""
+
+    def __init__(self, table: bytes):
+        text = lambda x: bytes.fromhex(x.decode()).decode("utf-16-be", errors="replace")
+        self.map: dict[int, str] = {}
+        spaces = re.findall(rb"begincodespacerange\s*<([0-9A-Fa-f]+)>", table)
+        self.width = len(spaces[0]) // 2 if spaces else 2
+        for part in re.findall(rb"beginbfchar(.*?)endbfchar", table, re.S):
+            for code, to in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", part):
+                self.map[int(code, 16)] = text(to)
+        for part in re.findall(rb"beginbfrange(.*?)endbfrange", table, re.S):
+            for low, high, one, many in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*(?:<([0-9A-Fa-f]+)>|\[([^\]]*)\])", part):
+                codes = range(int(low, 16), min(int(high, 16), int(low, 16) + 65535) + 1)
+                if one:
+                    for k, code in enumerate(codes):
+                        first = text(one)
+                        self.map[code] = first[:-1] + chr(min(ord(first[-1:] or "\0") + k, 0x10FFFF))
+                else:
+                    self.map.update(zip(codes, map(text, re.findall(rb"<([0-9A-Fa-f]+)>", many)), strict=False))
+
+    def decode(self, raw: bytes) -> str:
+        codes = (int.from_bytes(raw[k : k + self.width], "big") for k in range(0, len(raw), self.width))
+        return "".join(self.map.get(c, "") for c in codes)
+
+
+def stream_text(data: bytes, fonts: dict[bytes, Font] | None = None) -> str:
+    """Text in the order of a content stream; strings of a font with a ToUnicode table are decoded by it."""
     out: list[str] = []
-    for m in re.finditer(STRING + rb"\s*(Tj|'|\")|\[((?:[^\[\]\\]|\\.)*)\]\s*TJ|(-?[\d.]+)\s+(-?[\d.]+)\s+T[dD]|(T\*)|(ET)", data, re.S):
-        if m[2]:
-            out.append(("\n" if m[2] != b"Tj" else "") + decode_string(literal(m[1])))
-        elif m[3] is not None:
-            out.append("".join(decode_string(literal(s)) if s else (" " if float(n) < -200 else "") for s, n in re.findall(STRING + rb"|(-?[\d.]+)", m[3], re.S)))
+    font: Font | None = None
+
+    def said(plain: bytes | None, coded: bytes | None) -> str:
+        raw = literal(plain) if coded is None else bytes.fromhex((h := re.sub(rb"\s", b"", coded)).decode() + "0" * (len(h) % 2))
+        return font.decode(raw) if font else decode_string(raw)
+
+    for m in SHOWN.finditer(data):
+        if m[1]:
+            font = (fonts or {}).get(m[1])
+        elif m[4]:
+            out.append(("\n" if m[4] != b"Tj" else "") + said(m[2], m[3]))
         elif m[5] is not None:
-            drop = abs(float(m[5]))
+            out.append("".join(said(p[1], p[2]) if p[3] is None else (" " if float(p[3]) < -200 else "") for p in PIECE.finditer(m[5])))
+        elif m[7] is not None:
+            drop = abs(float(m[7]))
             out.append("\n\n" if drop > 20 else "\n" if drop else " ")
-        elif m[6]:
+        elif m[8]:
             out.append("\n")
         else:
             out.append("\n\n")
     return re.sub(r"\n{3,}", "\n\n", "".join(out)).strip()
 
 
-def parse(name: str, data: bytes) -> list[dict]:
-    b = Builder(name, data, "pdf")
-    if not data.startswith(b"%PDF"):
-        raise ValueError("no PDF header")
-    objects = {int(m[1]): m[2] for m in re.finditer(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", data, re.S)}
+class File:
+    """Numbered objects, those inside object streams too."""
+
+    def __init__(self, data: bytes):
+        self.objects = {int(m[1]): m[2] for m in re.finditer(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", data, re.S)}
+        for n, body in list(self.objects.items()):
+            if re.search(rb"/Type\s*/ObjStm\b", body[:2000]):
+                inner = self.stream(n)
+                count, first = (int(re.search(rb"/" + k + rb"\s+(\d+)", body)[1]) for k in (b"N", b"First"))
+                heads = [int(x) for x in inner[:first].split()[: 2 * count]]
+                places = [*(first + x for x in heads[1::2]), len(inner)]
+                for k, number in enumerate(heads[::2]):
+                    self.objects.setdefault(number, inner[places[k] : places[k + 1]])
 
-    def stream(n: int) -> bytes:
-        body = objects.get(n, b"")
+    def stream(self, n: int) -> bytes:
+        """An object's stream, unpacked; no more than LARGEST bytes of it."""
+        body = self.objects.get(n, b"")
         m = re.search(rb"stream\r?\n(.*?)\r?\n?endstream", body, re.S)
         if not m:
             return b""
-        return zlib.decompress(m[1]) if b"FlateDecode" in body[: m.start()] else m[1]
+        return zlib.decompressobj().decompress(m[1], LARGEST) if b"FlateDecode" in body[: m.start()] else m[1]
 
+    def inside(self, body: bytes, key: bytes) -> bytes:
+        """What stands in a dictionary under a key: the dictionary itself, or the object that is named."""
+        m = re.search(rb"/" + key + rb"\s*(?:(\d+)\s+\d+\s+R|<<)", body)
+        if not m:
+            return b""
+        if m[1]:
+            return self.objects.get(int(m[1]), b"")
+        at, depth = m.end(), 1
+        while depth and (t := re.compile(rb"<<|>>").search(body, at)):
+            depth += 1 if t[0] == b"<<" else -1
+            at = t.end()
+        return body[m.end() : at]
+
+    def fonts(self, page: bytes) -> dict[bytes, Font]:
+        found = {}
+        for name, n in re.findall(rb"/([^\s/<>\[\]()]+)\s+(\d+)\s+\d+\s+R", self.inside(self.inside(page, b"Resources"), b"Font")):
+            if table := re.search(rb"/ToUnicode\s+(\d+)\s+\d+\s+R", self.objects.get(int(n), b"")):
+                found[name] = Font(self.stream(int(table[1])))
+        return found
+
+
+def parse(name: str, data: bytes) -> list[dict]:
+    b = Builder(name, data, "pdf")
+    if not data.startswith(b"%PDF"):
+        raise ValueError("no PDF header")
+    file = File(data)
+    objects = file.objects
     pages = [(n, o) for n, o in sorted(objects.items()) if re.search(rb"/Type\s*/Page\b(?!s)", o)]
     kids = re.search(rb"/Kids\s*\[([^\]]*)\]", b" ".join(o for o in objects.values() if re.search(rb"/Type\s*/Pages\b", o)))
     if kids:
@@ -111,7 +194,8 @@ def parse(name: str, data: bytes) -> list[dict]:
         sides = [float(x) for x in box.groups()] if box else None
         b.page(p, sides[2] - sides[0] if sides else None, sides[3] - sides[1] if sides else None)
         refs = re.search(rb"/Contents\s*(?:\[([^\]]*)\]|(\d+\s+\d+\s+R))", body)
-        text = "\n".join(stream_text(stream(int(x))) for x in re.findall(rb"(\d+)\s+\d+\s+R", refs[1] or refs[2])) if refs else ""
+        fonts = file.fonts(body)
+        text = "\n".join(stream_text(file.stream(int(x)), fonts) for x in re.findall(rb"(\d+)\s+\d+\s+R", refs[1] or refs[2])) if refs else ""
         parts = split_into_paragraphs(text)
         for t in parts:
             if level := heading_of(t, len(parts)):

@@ -189,3 +189,32 @@ def test_stored_tables_are_pruned(spark):
     rows = stored(spark.createDataFrame([(1, "a"), (2, "b")], "x int, kind string"), "kind")
     assert rows.filter("kind = 'a'").count() == 1 and rows.columns == ["x", "kind"]
     assert shared_dir(spark)
+
+
+def test_pdf_with_object_streams_and_tounicode():
+    import zlib
+
+    from lectern.sources import pdf
+
+    codes = {c: 0x100 + i for i, c in enumerate(sorted(set("Größe und Maß: ΑΒΓ")))}
+    table = b"1 begincodespacerange <0000> <FFFF> endcodespacerange\n%d beginbfchar\n" % len(codes)
+    table += b"".join(b"<%04X> <%s>\n" % (n, c.encode("utf-16-be").hex().encode()) for c, n in codes.items()) + b"endbfchar\n"
+    table += b"1 beginbfrange <0041> <0043> <0061> endbfrange"
+    coded = lambda t: "".join(f"{codes[c]:04X}" for c in t).encode()
+    content = b"BT /F1 10 Tf <%s> Tj 0 -30 Td [<%s> -300 <00410042>] TJ ET" % (coded("Größe und Maß: ΑΒΓ"), coded("und"))
+    inner = [
+        (1, b"<</Type /Catalog /Pages 2 0 R>>"), (2, b"<</Type /Pages /Kids [3 0 R] /Count 1>>"),
+        (3, b"<</Type /Page /MediaBox [0 0 100 200] /Contents 6 0 R /Resources <</Font <</F1 4 0 R>>>>>>"), (4, b"<</Type /Font /ToUnicode 5 0 R>>"),
+    ]
+    heads, at = [], 0
+    for n, body in inner:
+        heads += [b"%d %d" % (n, at)]
+        at += len(body) + 1
+    head = b" ".join(heads) + b" "
+    packed = zlib.compress(head + b" ".join(x for _, x in inner))
+    stream = lambda n, keys, raw: b"%d 0 obj <<%s /Length %d /Filter /FlateDecode>> stream\n" % (n, keys, len(raw)) + raw + b"\nendstream endobj\n"
+    data = b"%PDF-1.5\n" + stream(5, b"", zlib.compress(table)) + stream(6, b"", zlib.compress(content))
+    data += stream(7, b"/Type /ObjStm /N 4 /First %d" % len(head), packed)
+    rows = pdf.parse("a.pdf", data)
+    assert [r["text"] for r in rows if r["kind"] == "element"] == ["Größe und Maß: ΑΒΓ", "und ab"]
+    assert [(r["width"], r["height"]) for r in rows if r["kind"] == "page"] == [(100.0, 200.0)]
