@@ -14,10 +14,25 @@ from lectern.plans.quads import QuadStore, to_quads
 from lectern.sources import detect
 from lectern.sources.reader import DocFrames, convert, read_files
 
+
+
+def _tool(about: str, needs: tuple[str, ...] = (), **fields: tuple[str, str]) -> dict:
+    made = {k: {"type": kind, "description": text} for k, (kind, text) in fields.items()}
+    return {"description": about, "inputSchema": {"type": "object", "properties": made, "required": list(needs)}}
+
+
+_ID = ("string", "id that convert_document gave")
+_LIMIT, _OFFSET = ("integer", "rows at most"), ("integer", "rows to skip")
+#: What an assistant may call, with the schema of each call's arguments.
 TOOLS = {
-    "convert_document": {"path": "string"}, "list_documents": {}, "export_document": {"id": "string", "format": "string"}, "list_elements": {"id": "string", "type": "string?"},
-    "query_graph": {"sparql": "string", "id": "string?", "limit": "integer?", "offset": "integer?"}, "chunk_document": {"id": "string", "max_tokens": "integer?"}, "get_formats": {},
-}
+    "convert_document": _tool("Read a file or folder", ("source",), source=("string", "path"), format=("string", "preset of stages")),
+    "query_document": _tool("SPARQL over the graph", ("document_id", "sparql"), document_id=_ID, sparql=("string", "SELECT or ASK"), limit=_LIMIT, offset=_OFFSET),
+    "export_document": _tool("Text in another format", ("document_id",), document_id=_ID, format=("string", "json if not given")),
+    "list_elements": _tool("Elements in order", ("document_id",), document_id=_ID, element_type=("string", "class"), limit=_LIMIT, offset=_OFFSET),
+    "chunk_document": _tool("Chunks for retrieval", ("document_id",), document_id=_ID, max_tokens=("integer", "budget"), include_headings=("boolean", "headings before texts")),
+    "list_documents": _tool("What was converted"),
+    "list_formats": _tool("Formats that can be read"),
+}
 
 
 class Engine:
@@ -49,6 +64,8 @@ class Engine:
         return self.sets[key]
 
     def documents(self) -> DataFrame:
+        if not self.sets:
+            raise ValueError("nothing was converted yet")
         parts = [f.docs.withColumn("id", F.lit(k)) for k, f in self.sets.items()]
         out = parts[0]
         for p in parts[1:]:

@@ -27,6 +27,7 @@ CELLS = ["doc", "tbl", "row", "col", "text", "is_header", "row_span", "col_span"
 PAGES = ["doc", "page", "width", "height"]
 QUADS = "graph string, subject string, predicate string, object string, object_kind string, datatype string, lang string"
 
+# The names below are fixed values: classes, properties, domains and ranges of the vocabulary that queries use.
 _TEXT = "Title SectionHeader Paragraph ListItem Footnote Caption Code Formula Reference Hyperlink".split()
 #: class -> parent
 CLASSES: dict[str, str | None] = {

@@ -218,3 +218,93 @@ def test_pdf_with_object_streams_and_tounicode():
     rows = pdf.parse("a.pdf", data)
     assert [r["text"] for r in rows if r["kind"] == "element"] == ["Größe und Maß: ΑΒΓ", "und ab"]
     assert [(r["width"], r["height"]) for r in rows if r["kind"] == "page"] == [(100.0, 200.0)]
+
+
+def test_http_routes(spark, tmp_path):
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from lectern.engine import Engine
+    from lectern.server import server
+
+    (tmp_path / "a.md").write_bytes(MAKERS["markdown"][1](1, "ASIA", NATIONS))
+    made = server(Engine(spark))
+    threading.Thread(target=made.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{made.server_port}"
+
+    def call(path, body=None):
+        request = urllib.request.Request(base + path, None if body is None else json.dumps(body).encode())
+        try:
+            with urllib.request.urlopen(request, timeout=60) as r:
+                return r.status, json.loads(r.read())
+        except urllib.error.HTTPError as e:
+            return e.code, json.loads(e.read())
+
+    assert call("/health") == (200, {"status": "ok", "documents": 0}) and call("/documents") == (200, [])
+    status, answer = call("/convert", {"source": str(tmp_path), "preset": "simple"})
+    assert status == 201 and answer["documents"] == 1
+    key = answer["id"]
+    assert call(f"/documents/{key}")[1]["documents"][0]["file_name"] == "a.md" and len(call("/documents")[1]) == 1
+    assert call(f"/documents/{key}/export?format=markdown")[1][0]["text"].startswith("# ASIA")
+    assert call(f"/documents/{key}/query", {"sparql": "SELECT ?t { ?e a :SectionHeader ; :textContent ?t }"}) == (200, [{"t": "ASIA"}])
+    assert [r["text"] for r in call(f"/documents/{key}/elements?type=ListItem&limit=2&offset=1")[1]] == ["Nation 1", "Nation 2"]
+    assert call(f"/documents/{key}/chunks?max_tokens=64")[1][0]["text"] == "ASIA"
+    assert call("/documents/none/chunks")[0] == 404 and call("/nowhere")[0] == 404
+    assert call(f"/documents/{key}/export?format=pdf")[0] == 400 and call(f"/documents/{key}/query", {"sparql": "SELECT"})[0] == 400
+    assert call("/convert", {})[0] == 400 and len(call("/tools")[1]) == 7
+    made.shutdown()
+
+
+def onnx_double():
+    """A model that adds its input to itself, written by hand: field numbers of the format's own description."""
+
+    def field(number, value):
+        if isinstance(value, int):
+            return bytes([number << 3]) + (bytes([value]) if value < 128 else bytes([value & 127 | 128, value >> 7]))
+        value = value.encode() if isinstance(value, str) else value
+        return bytes([number << 3 | 2, len(value)]) + value
+
+    tensor = lambda name: field(1, name) + field(2, field(1, field(1, 1) + field(2, field(1, field(2, "n")) + field(1, field(1, 3)))))
+    node = field(1, "x") + field(1, "x") + field(2, "y") + field(4, "Add")
+    graph = field(1, node) + field(2, "g") + field(11, tensor("x")) + field(12, tensor("y"))
+    return field(1, 8) + field(7, graph) + field(8, field(2, 13))
+
+
+def test_models(spark, tmp_path):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from lectern import models
+
+    (tmp_path / "ocr.onnx").write_bytes(onnx_double())
+    (tmp_path / "other.onnx").write_bytes(b"")
+    registry = models.Registry()
+    assert registry.scan(str(tmp_path)) == ["ocr"]
+    with pytest.raises(KeyError):
+        registry.path("vlm")
+    with pytest.raises(ValueError):
+        registry.register("cooking", "x")
+    rows = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, None), (3, [0.5, 0.0, -1.0])], "k int, image array<float>")
+    with open(registry.path("ocr"), "rb") as f:
+        out = models.infer(rows, f.read(), "image", (3,)).collect()
+    assert {r["k"]: r["output"] for r in out} == {1: [2.0, 4.0, 6.0], 2: None, 3: [1.0, 0.0, -2.0]}
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            self.send_response(500 if "fail" in asked["said"] else 200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"answer": asked["said"] + "!"}).encode())
+
+        def log_message(self, *args):
+            pass
+
+    web = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=web.serve_forever, daemon=True).start()
+    f = frames(spark, [("a.md", b"# H\n\none\n\nfail\n")])
+    ask = models.described(f"http://127.0.0.1:{web.server_port}", lambda r: {"said": r["text"]}, lambda a: a["answer"])
+    stage = models.text_stage(lambda f: f.elements.filter("cls = 'Paragraph'").select("el", "text"), ask)
+    texts = {r["text"] for r in enrich.enrich(f, "vlm", {"vlm": stage}).elements.collect()}
+    assert texts == {"H", "one!", "fail"}
+    web.shutdown()
