@@ -22,13 +22,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.llm.common import documents
+from lectern.llm.common import cut, documents
 
 FIRST_DIGITS, MORE_DIGITS = 4, 2
 #: A cell above this share of all bytes is split before the search begins.
 LARGE = 1 / 512
 #: Parts of a shard that are counted apart, so that numbering a shard's rows is no single task.
 PARTS = 1024
+#: Equal rows that one row tells out at a time.
+BLOCK = 4096
 
 
 @dataclass(frozen=True)
@@ -152,17 +154,28 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
     promise about one more shard).  Equal texts share a shard; the largest shard is the smallest possible
     for groups in digest order.  Slots number a shard's rows without gaps: rows are counted by
     (shard, part of a hash of doc_id), the few counts are summed up in order, and rows are numbered within
-    their part, so a shard's rows never meet in one task.  Null texts are empty (size 1, CRC of no
+    their part, so a shard's rows never meet in one task; equal rows are one row with a count until the end.  Null texts are empty (size 1, CRC of no
     bytes); null and repeated ids get slots of their own; an empty table gives an empty result; other
     columns are ignored.
     """
     rows = sized(docs, id_col, text_col)
     starts, _ = boundaries(rows, shards)
-    dealt = rows.select("doc_id", "size", "text_crc32", shard_of(F.col("digest"), starts).alias("shard"), F.pmod(F.xxhash64("doc_id", "digest"), F.lit(PARTS)).cast("int").alias("part"))
+    part = F.pmod(F.xxhash64("doc_id", "digest"), F.lit(PARTS)).cast("int").alias("part")
+    dealt = rows.select("doc_id", "size", "text_crc32", shard_of(F.col("digest"), starts).alias("shard"), part)
+    # rows that are equal in all that is returned are one with a count, before and after the exchange
+    own = cut(dealt.groupBy("shard", "part", "doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n")))
     # at most shards * PARTS rows
-    counts = dealt.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
+    counts = own.groupBy("shard", "part").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = F.broadcast(counts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")))
+    offsets = counts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("shard", "part").orderBy("doc_id", "size", "text_crc32")
-    numbered = dealt.withColumn("row", F.row_number().over(inside).cast("long"))
-    return numbered.join(offsets, ["shard", "part"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("offset") + F.col("row") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    earlier = F.coalesce(F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = own.withColumn("row", earlier).join(F.broadcast(offsets), ["shard", "part"])
+    # equal rows are told out in blocks, which are spread if some rows have many
+    blocks = numbered.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(BLOCK).cast("long"))))
+    if (counts.agg(F.max("most")).first()[0] or 0) > BLOCK:
+        blocks = blocks.repartition("doc_id", "text_crc32", "at")
+    last = F.least(F.col("n"), F.col("at") + BLOCK) - 1
+    told = blocks.withColumn("copy", F.explode(F.sequence("at", last)))
+    slot = (F.col("offset") + F.col("row") + F.col("copy")).cast("long").alias("slot")
+    return told.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot, F.lit(None).cast("int").alias("grown_shard"))

@@ -164,6 +164,12 @@ def test_sharding_edges(spark, shards):
         judged(docs, sharding.shard_documents(table(spark, docs), shards).collect(), shards)
 
 
+def test_sharding_of_many_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BLOCK", 16)
+    docs = [(None, "the same row")] * 300 + [(7, prose(1, 20))] * 40 + [(k, prose(k, 8)) for k in range(60)]
+    judged(docs, sharding.shard_documents(table(spark, docs), 3).collect(), 3)
+
+
 ITEMS = [(1, prose(71, 40)), (2, prose(72, 12)), (3, "only three words"), (4, "single"), (5, None), (6, ""), (7, prose(71, 40)), (8, prose(73, 25)), (None, prose(74, 15)), (9, "two words")]
 
 
