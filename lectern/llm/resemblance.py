@@ -9,7 +9,8 @@ step proposes is verified by all shingles of both texts:
    that.
 2. The rest, exactly, by prefix filtering.  Shingles are put in one order for the whole corpus, rarest first as
    far as a table of counts of fixed size tells; any order gives the same result.  Two sets of similarity t or
-   more share a shingle among the first n - ceil(t n) + 1 of each, so only these *prefixes* meet.  Nodes that the
+   more share a shingle among the first n - ceil(t n) + 1 of each, so only these *prefixes* meet, and of them
+   only shingles that a count-min sketch estimates to stand in several.  Nodes that the
    seeds have connected are not compared again.  Of the other pairs that meet, three bounds that no pair of
    similarity t fails take out most: of the sizes, of the places of the shared shingle, and of a parity bitmap
    (each shingle flips one bit, so two bitmaps differ in at most as many bits as the sets do).
@@ -33,7 +34,7 @@ from lectern.llm.common import cut, documents, narrow, near
 from lectern.llm.components import components
 from lectern.llm.pii import bitmap
 from lectern.llm.simhash import LOWER, fingerprint_links
-from lectern.llm.sketch import mix, pieces, prefix
+from lectern.llm.sketch import mix, pieces, prefix, sketched
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Cells of the table of counts, and of a range of it that is summed at a time.
@@ -44,6 +45,8 @@ MEMORY, PAIRS, AT_ONCE = 1 << 18, 1 << 17, 1 << 18
 PARITY = 4
 #: MinHash values of a node.
 SEEDS = 4
+#: Bytes of text for each shingle of a prefix, or some more.
+SPACING = 40
 #: Connected nodes up to which their labels are broadcast.
 LABELS = 1 << 20
 PARITIES = [f"p{k}" for k in range(PARITY)]
@@ -180,8 +183,27 @@ def seed_pairs(rows: DataFrame, given: DataFrame, levels: Broadcast, size: int,
     return stars.select(*pair("one.node", "two.node")).unionByName(linked.select(*pair("a", "b")))
 
 
-def prefixes(rows: DataFrame, levels: Broadcast, size: int, t: float) -> DataFrame:
-    """(token, chunks: pair of chunks, node, place: place << 32 | size of the set, parity bitmap) for each text's prefix."""
+def prefix_of(own: np.ndarray, levels: Broadcast, t: float) -> np.ndarray:
+    """Places in ``own`` of its prefix, in the corpus's order."""
+    n = len(own)
+    return np.lexsort((own, levels.value[cell(own)]))[: n - int(np.ceil(t * n - 1e-9)) + 1]
+
+
+def repeated(rows: DataFrame, levels: Broadcast, size: int, t: float) -> Broadcast:
+    """A count-min sketch of all prefixes: a shingle that stands in one of them only has nothing to meet."""
+
+    def values(batch: pa.RecordBatch) -> np.ndarray:
+        sets = (own for _, own in distinct_sets(iter([batch]), size) if len(own))
+        return np.concatenate([np.zeros(0, np.uint64), *(own[prefix_of(own, levels, t)] for own in sets)])
+
+    return sketched(rows.select("text"), values, hot=1 << 30, spacing=SPACING)
+
+
+def prefixes(rows: DataFrame, levels: Broadcast, seen: Broadcast, size: int, t: float) -> DataFrame:
+    """(token, chunks: pair of chunks, node, place: place << 32 | size of the set, parity bitmap) for each text's prefix.
+
+    Only shingles that the sketch estimates to stand in several prefixes are sent.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list[np.ndarray]] = [[] for _ in NAMES]
@@ -190,16 +212,15 @@ def prefixes(rows: DataFrame, levels: Broadcast, size: int, t: float) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in out], NAMES)
                 out = [[] for _ in NAMES]
                 continue
-            n = len(own)
-            level = levels.value[cell(own)]
-            order = np.lexsort((own, level))[: n - int(np.ceil(t * n - 1e-9)) + 1]
-            chunks = np.ceil(np.exp2((level[order] + 1.0) / 8) / CROWD).astype(np.int64)
-            at = np.repeat(np.arange(len(order)), chunks)
+            tokens = own[prefix_of(own, levels, t)]
+            place = np.flatnonzero(seen.value.repeated(tokens))
+            chunks = np.ceil(np.exp2((levels.value[cell(tokens[place])] + 1.0) / 8) / CROWD).astype(np.int64)
+            at = np.repeat(place, chunks)
             other = np.arange(len(at)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
-            mine = node % chunks[at]
+            mine = node % np.repeat(chunks, chunks)
             pair = np.minimum(mine, other) << 32 | np.maximum(mine, other)
             same = [np.full(len(at), p) for p in parity(own)]
-            for column, x in zip(out, (own[order][at].view(np.int64), pair, np.full(len(at), node), at << 32 | n, *same), strict=True):
+            for column, x in zip(out, (tokens[at].view(np.int64), pair, np.full(len(at), node), at << 32 | len(own), *same), strict=True):
                 column.append(x)
 
     return rows.select("text").mapInArrow(run, ", ".join(f"{x} long" for x in NAMES))
@@ -325,11 +346,12 @@ def grouped(docs: DataFrame, size: int, t: float, id_col: str, text_col: str) ->
     proposed = narrow(narrow(seed_pairs(rows, given, levels, size, t)).distinct())
     seeded = narrow(verified(proposed, nodes, given, size, t))
     labels = narrow(components(seeded))
-    sent = prefixes(given, levels, size, t).join(near(labels, LABELS), "node", "left")
+    seen = repeated(given, levels, size, t)
+    sent = prefixes(given, levels, seen, size, t).join(near(labels, LABELS), "node", "left")
     rest = narrow(narrow(candidates(sent.withColumn("component", F.coalesce("component", "node")), t)).distinct())
     if not rest.isEmpty():
         labels = narrow(components(seeded.unionByName(verified(rest, nodes, given, size, t))))
-    levels.unpersist()
+    levels.unpersist(), seen.unpersist()
     connected = narrow(nodes.join(near(labels), "node").select("node", "component", "first"))
     least = narrow(connected.groupBy("component").agg(F.min("first").alias("least")))
     named = narrow(labels.join(near(least), "component").select("node", "least"))
