@@ -34,7 +34,7 @@ SAMPLE, LANGUAGES = 3000, 256
 EPOCHS, STEPS, RATE, HELD_BACK = 8, 4000, 0.5, 0.2
 #: This share of the held-back rows is rejected, as far as their number resolves it, and never for a score above CEILING.
 REJECTED, CEILING = 0.005, 0.5
-#: Words that a worker remembers before it starts afresh.
+#: Words of a generation that a worker remembers.
 MEMORY = 1 << 16
 
 
@@ -58,16 +58,23 @@ class Model:
 
 
 class Scores(dict):
-    """Word -> its row in ``rows``: summed logits of its pieces, and how many there are."""
+    """Word -> its row in ``rows``: summed logits of its pieces, and how many there are.
+
+    Words of the last two generations are remembered, so that frequent ones stay.
+    """
 
     def __init__(self, model: Model):
         self.model = model
         self.rows = np.zeros((1 << 12, len(model.languages) + 1))
+        self.old: tuple[dict[str, int], np.ndarray] = {}, self.rows
 
     def __missing__(self, word: str) -> int:
         n = self[word] = len(self)
         if n == len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        if (before := self.old[0].get(word)) is not None:
+            self.rows[n] = self.old[1][before]
+            return n
         found = pieces(word)
         self.rows[n, :-1] = self.model.weights[found].sum(axis=0)
         self.rows[n, -1] = len(found)
@@ -75,6 +82,7 @@ class Scores(dict):
 
     def score(self, text: str | None) -> tuple[str, float]:
         if len(self) > MEMORY:
+            self.old = dict(self), self.rows[: len(self)].copy()
             self.clear()
         words = WORD.findall((text or "").lower())
         total = self.rows_of(words).sum(axis=0) if words else [0]
