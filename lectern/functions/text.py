@@ -111,7 +111,7 @@ def contextualize(headings: str | Column, text: str | Column) -> Column:
 
 def paragraphs(text: str | Column) -> Column:
     """Blocks between blank lines, lines trimmed and joined by spaces."""
-    block = lambda b: F.array_join(F.filter(F.transform(F.split(b, "\n"), F.trim), lambda x: x != ""), " ")
+    block = lambda b: F.array_join(F.filter(F.transform(F.split(b, "\n"), lambda x: F.trim(x)), lambda x: x != ""), " ")
     return F.filter(F.transform(F.split(F.regexp_replace(col(text), r"\n[ \t]*\n|\n(?=[ \t]{4,}\S)", "\n\n"), "\n\n"), block), lambda x: x != "")
 
 
@@ -181,12 +181,12 @@ def image_format(link: str | Column) -> Column:
 def tabular_rows(body: str | Column) -> Column:
     """LaTeX table body: rows of trimmed cells."""
     rows = F.split(F.replace(col(body), F.lit("\\hline"), F.lit("")), r"\\\\")
-    return F.transform(F.filter(rows, lambda r: F.trim(r) != ""), lambda r: F.transform(F.split(r, "&"), F.trim))
+    return F.transform(F.filter(rows, lambda r: F.trim(r) != ""), lambda r: F.transform(F.split(r, "&"), lambda x: F.trim(x)))
 
 
 def bar_cells(line: str | Column) -> Column:
     """AsciiDoc table line: cells after the first bar; empty ones only if the line ends with a bar."""
-    cells = F.transform(F.slice(F.split(col(line), r"\|"), 2, 1 << 20), F.trim)
+    cells = F.transform(F.slice(F.split(col(line), r"\|"), 2, 1 << 20), lambda x: F.trim(x))
     return F.when(F.rtrim(col(line)).endswith("|"), cells).otherwise(F.filter(cells, lambda c: c != ""))
 
 

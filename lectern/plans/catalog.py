@@ -846,4 +846,4 @@ def chunks_pages(spark, d):
 
 
 # documents of every format, made from the tables
-from lectern.plans import catalog_documents  # noqa: E402, F401
+from lectern.plans import catalog_documents, catalog_functions  # noqa: E402, F401
