@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from lectern.llm.common import documents
+from lectern.llm.common import documents, tidy
 
 #: Pre-tokens of the byte-level scheme.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -264,4 +264,4 @@ def encode_documents(docs: DataFrame, vocabulary: str, outputs: tuple[str, ...]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(made[name], KINDS[name][0]) for name in outputs)], ["doc_id", *outputs])
 
     schema = ", ".join(["doc_id long", *(f"{name} {KINDS[name][1]}" for name in outputs)])
-    return documents(docs, id_col, text_col).mapInArrow(run, schema)
+    return documents(docs, id_col, text_col).mapInArrow(tidy(run), schema)

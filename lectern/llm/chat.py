@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import pick
+from lectern.llm.common import pick, tidy
 
 START, END = "<|im_start|>", "<|im_end|>"
 TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)
@@ -125,7 +125,7 @@ def format_turns(conversations: DataFrame, content: str = "text", learn: str = "
                 out.append({"conv_id": row["conv_id"], "turn": row["turn"], "role": row["role"], "formatted": formatted, "loss_start": start if mine else None, "loss_end": end if mine else None, "attachments": found, "extra_tokens": sum(x["n_tokens"] for x in found)})
             yield pa.RecordBatch.from_pylist(out, TURN_ARROW)
 
-    return rows.mapInArrow(run, TURN_SCHEMA)
+    return rows.mapInArrow(tidy(run), TURN_SCHEMA)
 
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -164,4 +164,4 @@ def digest_conversations(turns: DataFrame) -> DataFrame:
         return dict(zip(DIGEST_ARROW.names, [conv_id, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]], strict=True))
 
     ordered = turns.select("conv_id", "turn", "role", "formatted", "loss_start", "loss_end").repartition("conv_id").sortWithinPartitions(*(F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role", "formatted")))
-    return ordered.mapInArrow(run, DIGEST)
+    return ordered.mapInArrow(tidy(run), DIGEST)

@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,3 +75,16 @@ def narrow(df: DataFrame, most: int = 1 << 18) -> DataFrame:
 def near(df: DataFrame, most: int = 1 << 16) -> DataFrame:
     """``df``, a written table of narrow rows, to be broadcast if it has ``most`` rows at most."""
     return F.broadcast(df) if df.count() <= most else df
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``run``, giving memory that Arrow holds in reserve back after each batch: workers live on from task to task."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for made in run(batches):
+            yield made
+            del made
+            pa.default_memory_pool().release_unused()
+        pa.default_memory_pool().release_unused()
+
+    return wrapped

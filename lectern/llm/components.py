@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut
+from lectern.llm.common import cut, tidy
 
 #: Links up to which they are joined in one task: 16 bytes each, whatever the corpus.
 FEW = 1 << 20
@@ -46,7 +46,7 @@ def components(links: DataFrame, rounds: int = 60, few: int = FEW) -> DataFrame:
     ends = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     edges = cut(links.filter("a <> b").select(*ends))
     if edges.count() <= few:
-        return edges.coalesce(1).mapInArrow(_in_one_task, "node long, component long")
+        return edges.coalesce(1).mapInArrow(tidy(_in_one_task), "node long, component long")
     edges, before = cut(edges.distinct()), None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.llm.common import pick, position
+from lectern.llm.common import pick, position, tidy
 
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
@@ -138,7 +138,7 @@ def sampled(labelled: DataFrame, size: int) -> list[tuple[str, np.ndarray, np.nd
                     langs.append(lang), ids.append(b), shares.append((n / n.sum()).astype(np.float32))
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(ids, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))], ["lang", "ids", "shares"])
 
-    rows = chosen.mapInArrow(features, "lang string, ids array<int>, shares array<float>").toArrow()
+    rows = chosen.mapInArrow(tidy(features), "lang string, ids array<int>, shares array<float>").toArrow()
     out = [(a, np.asarray(b.values), np.asarray(c.values)) for a, b, c in zip(rows.column(0).to_pylist(), rows.column(1), rows.column(2), strict=True)]
     return sorted(out, key=lambda x: (crc32(x[1].tobytes() + x[2].tobytes()), x[0]))
 
@@ -219,4 +219,4 @@ def identify(docs: DataFrame, model: Model | None, keep: bool = False, id_col: s
             yield pa.RecordBatch.from_arrays([*columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[0] == UNKNOWN or x[1] < limit for x in found], pa.bool_())], [*passed, "lang_pred", "score", "rejected"])
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    return rows.mapInArrow(run, ", ".join([*kinds, "lang_pred string", "score double", "rejected boolean"])).toDF(*names, "lang_pred", "score", "rejected")
+    return rows.mapInArrow(tidy(run), ", ".join([*kinds, "lang_pred string", "score double", "rejected boolean"])).toDF(*names, "lang_pred", "score", "rejected")

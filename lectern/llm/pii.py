@@ -30,7 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import crc32_text, narrow, near, position
+from lectern.llm.common import crc32_text, narrow, near, position, tidy
 from lectern.llm.substring import NO_ID, keyed
 
 KINDS = ("email", "ip", "card", "phone")
@@ -176,7 +176,7 @@ def mentioned(rows: DataFrame) -> DataFrame:
                     found[name, code] += 1
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.int64()), pa.array(found.values(), pa.int64())], ["entity", "code", "n"])
 
-    sent = rows.mapInArrow(run, "entity string, code long, n long")
+    sent = rows.mapInArrow(tidy(run), "entity string, code long, n long")
     by_text = sent.groupBy("entity", "code").agg(F.sum("n").alias("n"))
     return by_text.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count(F.lit(1)).alias("n_texts"))
 
@@ -206,7 +206,7 @@ def together(rows: DataFrame, lets: Broadcast) -> DataFrame:
     def packed(out: list[list]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["entity", "term", "code", "n"])
 
-    sent = rows.mapInArrow(run, "entity string, term string, code long, n long")
+    sent = rows.mapInArrow(tidy(run), "entity string, term string, code long, n long")
     by_text = sent.groupBy("entity", "term", "code").agg(F.sum("n").alias("n"))
     return by_text.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("n_texts"))
 
@@ -224,7 +224,7 @@ def term_counts(rows: DataFrame, lets: Broadcast) -> DataFrame:
                 found.update(filter(known.__getitem__, terms_of(text)))
             yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["term", "n"])
 
-    return rows.mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_docs"))
+    return rows.mapInArrow(tidy(run), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_docs"))
 
 
 def revealing(rows: DataFrame) -> DataFrame:
@@ -304,7 +304,7 @@ def term_spans(rows: DataFrame, terms: DataFrame) -> DataFrame:
             columns = list(zip(*out, strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names)
 
-    found = rows.mapInArrow(run, "key long, crc long, term string, start int, end int")
+    found = rows.mapInArrow(tidy(run), "key long, crc long, term string, start int, end int")
     return found.join(terms, "term").select("key", "crc", "start", "end", "disclosure", "general").distinct()
 
 
@@ -332,7 +332,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             columns = [batch.column(2), batch.column(0), batch.column(1), *spans]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "crc", "base", "added"])
 
-    base = rows.mapInArrow(run, f"doc_id long, key long, crc long, base {SPANS}, added {SPANS}")
+    base = rows.mapInArrow(tidy(run), f"doc_id long, key long, crc long, base {SPANS}, added {SPANS}")
     if known is not None:
         return base
     one = F.struct("start", "end", "disclosure", "general")
@@ -373,7 +373,7 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             columns = [batch.column(i) if i != at else pa.array(texts, pa.string()) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, [f"_p{i}" for i in range(len(names))])
 
-    return flat.mapInArrow(run, schema).toDF(*names)
+    return flat.mapInArrow(tidy(run), schema).toDF(*names)
 
 
 def sanitise(text: str, spans: list[dict]) -> str:

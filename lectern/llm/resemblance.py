@@ -30,7 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut, documents, narrow, near
+from lectern.llm.common import cut, documents, narrow, near, tidy
 from lectern.llm.components import components
 from lectern.llm.pii import bitmap
 from lectern.llm.simhash import LOWER, fingerprint_links
@@ -113,9 +113,9 @@ def counted(rows: DataFrame, size: int) -> Broadcast:
         levels = [(8 * np.log2(x + 1)).astype(np.uint8).tobytes() for x in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array(levels, pa.binary())], ["range", "levels"])
 
-    sent = rows.select("text").mapInArrow(partial, "range int, counts binary")
+    sent = rows.select("text").mapInArrow(tidy(partial), "range int, counts binary")
     out = np.zeros(1 << CELL_BITS, np.uint8)
-    for k, x in sent.repartition("range").mapInArrow(merge, "range int, levels binary").collect():
+    for k, x in sent.repartition("range").mapInArrow(tidy(merge), "range int, levels binary").collect():
         out[k << RANGE_BITS : (k + 1) << RANGE_BITS] = np.frombuffer(bytes(x), np.uint8)
     return rows.sparkSession.sparkContext.broadcast(out)
 
@@ -160,7 +160,7 @@ def seeds(rows: DataFrame, levels: Broadcast, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names)
                 out = []
 
-    return rows.select("text").mapInArrow(run, ", ".join(f"{x} long" for x in names))
+    return rows.select("text").mapInArrow(tidy(run), ", ".join(f"{x} long" for x in names))
 
 
 def within_bounds(one: str, two: str, t: float) -> Column:
@@ -223,7 +223,7 @@ def prefixes(rows: DataFrame, levels: Broadcast, seen: Broadcast, size: int, t:
             for column, x in zip(out, (tokens[at].view(np.int64), pair, np.full(len(at), node), at << 32 | len(own), *same), strict=True):
                 column.append(x)
 
-    return rows.select("text").mapInArrow(run, ", ".join(f"{x} long" for x in NAMES))
+    return rows.select("text").mapInArrow(tidy(run), ", ".join(f"{x} long" for x in NAMES))
 
 
 def near_pairs(columns: list[np.ndarray], t: float) -> tuple[np.ndarray, np.ndarray]:
@@ -284,7 +284,7 @@ def candidates(sent: DataFrame, t: float) -> DataFrame:
             yield found([rest[2:]])
 
     dealt = sent.select(*names).repartition("token", "chunks").sortWithinPartitions("token", "chunks")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(tidy(run), "a long, b long")
 
 
 def similar(pairs: DataFrame, size: int, t: float) -> DataFrame:
@@ -303,7 +303,7 @@ def similar(pairs: DataFrame, size: int, t: float) -> DataFrame:
             kept = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["a", "b"])
 
-    return pairs.select("a", "b", "one", "two").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "one", "two").mapInArrow(tidy(run), "a long, b long")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, given: DataFrame, size: int, t: float) -> DataFrame:
@@ -316,7 +316,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, given: DataFrame, size: int, t:
         for batch in batches:
             yield batch.filter(pa.array(lets.value.has(batch.column(0).to_numpy())))
 
-    held = given.select("code", "text").mapInArrow(run, "code long, text string").groupBy("code").agg(F.min("text").alias("text"))
+    held = given.select("code", "text").mapInArrow(tidy(run), "code long, text string").groupBy("code").agg(F.min("text").alias("text"))
     texts = cut(held.join(near(wanted), "code").select("node", "text"))
     # the ends that stand in many pairs come last, so that their shingles are made once
     sides = texts.select(F.col("node").alias("b"), F.col("text").alias("two")).join(near(pairs), "b")
@@ -339,7 +339,7 @@ def grouped(docs: DataFrame, size: int, t: float, id_col: str, text_col: str) ->
             made = [pa.array([x[i] for x in told], pa.int64()) for i in range(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["doc_id", "code", "node", "fp"])
 
-    rows = cut(given.select("doc_id", "code", "text").mapInArrow(run, "doc_id long, code long, node long, fp long"))
+    rows = cut(given.select("doc_id", "code", "text").mapInArrow(tidy(run), "doc_id long, code long, node long, fp long"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "code")).alias("first")
     nodes = cut(rows.groupBy("node").agg(F.min("code").alias("code"), first))
     levels = counted(given, size)

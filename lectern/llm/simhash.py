@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut, documents, near
+from lectern.llm.common import cut, documents, near, tidy
 from lectern.llm.components import components
 
 RADIUS = 3
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
             found = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
-    return documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return documents(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -254,7 +254,7 @@ def fingerprint_links(distinct: DataFrame, name: str = "fp") -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     met = pairs.repartition("segment", "low", "high").sortWithinPartitions("segment", "low", "high")
-    return met.mapInArrow(run, "a long, b long")
+    return met.mapInArrow(tidy(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -23,6 +23,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import tidy
+
 DEPTH, RANGE_BITS = 2, 16
 MULTIPLIERS = (0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)
 #: Cells of a row for each value expected, and the most bits that number them.
@@ -151,7 +153,7 @@ def sketched(rows: DataFrame, values: Callable[[pa.RecordBatch], np.ndarray], ho
         if now is not None:
             yield summed()
 
-    sent = rows.mapInArrow(partial, "range int, hits binary").repartition("range").sortWithinPartitions("range")
-    merged = sent.mapInArrow(merge, "range int, twice binary, hot binary")
+    sent = rows.mapInArrow(tidy(partial), "range int, hits binary").repartition("range").sortWithinPartitions("range")
+    merged = sent.mapInArrow(tidy(merge), "range int, twice binary, hot binary")
     seen = Seen(bits, [(r[0], bytes(r[1]), bytes(r[2])) for r in merged.collect()])
     return rows.sparkSession.sparkContext.broadcast(seen)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import crc32_text, documents
+from lectern.llm.common import crc32_text, documents, tidy
 from lectern.llm.sketch import anchors, mix, pieces, prefix, sketched
 
 #: Stands for a null doc_id, which comes before all others.
@@ -121,9 +121,9 @@ def mark_windows(rows: DataFrame, size: int) -> DataFrame:
             out = known | (key != first_key) | (place != first_place)
             yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(place[out] & 0xFFFFFFFF), pa.array((place[out] >> 32).astype(np.int32))], ["key", "crc", "start"])
 
-    marks = rows.mapInArrow(candidates, "k1 long, k2 long, key long, place long, known boolean")
+    marks = rows.mapInArrow(tidy(candidates), "k1 long, k2 long, key long, place long, known boolean")
     met = marks.repartition("k1").sortWithinPartitions("k1", "k2", "key", "place")
-    return met.mapInArrow(later, "key long, crc long, start int")
+    return met.mapInArrow(tidy(later), "key long, crc long, start int")
 
 
 OUTPUTS = {"kept": pa.string(), "kept_sha256": pa.string()}
@@ -163,4 +163,4 @@ def drop_repeats(docs: DataFrame, size: int = 20, output: str = "kept", id_col:
                 out.append(kept.decode("utf-8") if output == "kept" else hashlib.sha256(kept).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(out, OUTPUTS[output])], ["doc_id", "n_words", "n_removed", output])
 
-    return joined.mapInArrow(cut, f"doc_id long, n_words long, n_removed long, {output} string")
+    return joined.mapInArrow(tidy(cut), f"doc_id long, n_words long, n_removed long, {output} string")

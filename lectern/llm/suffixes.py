@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import tidy
 from lectern.llm.sketch import anchors, pieces, prefix, sketched
 from lectern.llm.substring import keyed
 
@@ -245,9 +246,9 @@ def find_repeats(rows: DataFrame, length: int) -> DataFrame:
         close()
         yield sort_out()
 
-    sent = rows.mapInArrow(runs, "bucket long, run binary, key long, place long, copies boolean")
+    sent = rows.mapInArrow(tidy(runs), "bucket long, run binary, key long, place long, copies boolean")
     met = sent.repartition("bucket").sortWithinPartitions("bucket")
-    return met.mapInArrow(decide, "key long, crc long, first int, last int")
+    return met.mapInArrow(tidy(decide), "key long, crc long, first int, last int")
 
 
 OUTPUTS = {"kept": (pa.binary(), "binary"), "kept_sha256": (pa.string(), "string")}
@@ -285,4 +286,4 @@ def drop_repeats(docs: DataFrame, length: int = 200, output: str = "kept", id_co
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(made, [pa.int64()] * 3 + [OUTPUTS[output][0]], strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", output])
 
-    return joined.mapInArrow(cut, f"doc_id long, n_bytes long, n_removed long, n_spans long, {output} {OUTPUTS[output][1]}")
+    return joined.mapInArrow(tidy(cut), f"doc_id long, n_bytes long, n_removed long, n_spans long, {output} {OUTPUTS[output][1]}")

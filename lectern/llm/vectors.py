@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.llm.common import cut, pick
+from lectern.llm.common import cut, pick, tidy
 
 #: Vectors in the sample that centroids are fitted on, about; centroids at most, and vectors a centroid.
 SAMPLE, MOST_LISTS, PER_LIST = 20_000, 1024, 64
@@ -150,7 +150,7 @@ def placed(rows: DataFrame, graph, lengths: np.ndarray | None = None, k: int = 0
             at = np.repeat(np.arange(batch.num_rows), [len(x) for x in found])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(np.concatenate(found), pa.int32())], ["vec_id", "vector", "list"])
 
-    return rows.mapInArrow(run, PLACES)
+    return rows.mapInArrow(tidy(run), PLACES)
 
 
 def search(index: DataFrame, queries: DataFrame, graph, k: int) -> DataFrame:
@@ -200,7 +200,7 @@ def search(index: DataFrame, queries: DataFrame, graph, k: int) -> DataFrame:
                 at = to
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "vec_id", "score"])
 
-    return met.select("vec_id", "vector", "list", "piece", "asks").mapInArrow(run, "query_id long, vec_id long, score double")
+    return met.select("vec_id", "vector", "list", "piece", "asks").mapInArrow(tidy(run), "query_id long, vec_id long, score double")
 
 
 def once(ids: np.ndarray, vectors: np.ndarray, most: int) -> tuple[list[list[int]], np.ndarray]:
