@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from lectern.llm.common import documents, tidy
+from lectern.llm.common import batches, documents, tidy
 
 #: Pre-tokens of the byte-level scheme.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -140,6 +140,11 @@ class Codec:
         self.pieces = AfterSpace(self)
         self.special = regex.compile("|".join(map(regex.escape, self.specials))) if self.specials else None
 
+    def forget(self) -> None:
+        for memory in (self.words, self.pieces, self.compatible):
+            memory.clear()
+        self.words.size = self.pieces.size = 0
+
     def fits(self, one: int, two: int) -> bool:
         """Whether the two tokens can be neighbours, that is, whether no merge across their border comes first."""
         key, limit, out = one << 32 | two, 1 << 62, None
@@ -250,9 +255,11 @@ def encode_documents(docs: DataFrame, vocabulary: str, outputs: tuple[str, ...]
     every executor can open.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    batches(docs.sparkSession)
+
+    def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(vocabulary)
-        for batch in batches:
+        for batch in given:
             made: dict[str, list] = {name: [] for name in outputs}
             for text in batch.column(1).to_pylist():
                 ids = coder.encode(text or "")
@@ -263,5 +270,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, outputs: tuple[str, ...]
                     )
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(made[name], KINDS[name][0]) for name in outputs)], ["doc_id", *outputs])
 
+        # the tables stay with the worker, what was remembered of texts does not
+        coder.forget()
+
     schema = ", ".join(["doc_id long", *(f"{name} {KINDS[name][1]}" for name in outputs)])
     return documents(docs, id_col, text_col).mapInArrow(tidy(run), schema)

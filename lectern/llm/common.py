@@ -88,3 +88,11 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
         pa.default_memory_pool().release_unused()
 
     return wrapped
+
+
+def batches(spark: SparkSession, size: str = "4m") -> None:
+    """Bytes of text that go to a worker at a time: by number of rows alone, a batch of long texts has no bound.
+
+    Operators that take out copies within a batch ask for larger ones.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.llm.common import pick, position, tidy
+from lectern.llm.common import batches, pick, position, tidy
 
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
@@ -208,11 +208,12 @@ def identify(docs: DataFrame, model: Model | None, keep: bool = False, id_col: s
     passed = given.columns if keep else [f"_p{position(docs, id_col)}"]
     names = docs.columns if keep else ["doc_id"]
     rows = given.select(*(F.col(c) if keep else F.col(c).cast("long") for c in passed), F.col(f"_p{position(docs, text_col)}").cast("string").alias("_text"))
+    batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = Scores(shared.value) if shared.value else None
-        for batch in batches:
+        for batch in given:
             found = [scores.score(t) if scores is not None else (UNKNOWN, 0.0) for t in (x.as_py() for x in batch.column(len(passed)))]
             limit = shared.value.threshold if shared.value else 1.0
             columns = [batch.column(i) for i in range(len(passed))]

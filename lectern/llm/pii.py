@@ -30,6 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import batches as bounded
 from lectern.llm.common import crc32_text, narrow, near, position, tidy
 from lectern.llm.substring import NO_ID, keyed
 
@@ -233,6 +234,7 @@ def revealing(rows: DataFrame) -> DataFrame:
     general is what a term to be generalised becomes: of the terms in at least half the documents of the entity that
     reveal no entity, the one that tells most about it.  It is null if there is none.
     """
+    bounded(rows.sparkSession)
     total = rows.count()
     # an entity of too few texts, or in all documents, has no revealing term
     entities = narrow(mentioned(rows).filter((F.col("n_texts") >= SUPPORT) & (F.col("n_entity") < total)).select("entity", "n_entity"))

@@ -30,6 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import batches as bounded
 from lectern.llm.common import cut, documents, narrow, near, tidy
 from lectern.llm.components import components
 from lectern.llm.pii import bitmap
@@ -328,6 +329,7 @@ def grouped(docs: DataFrame, size: int, t: float, id_col: str, text_col: str) ->
 
     first is the node's first document, least that of its group: by (id is null, doc_id, code).
     """
+    bounded(docs.sparkSession)
     given = documents(docs, id_col, text_col).withColumn("code", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import batches as bounded
 from lectern.llm.common import crc32_text, documents, tidy
 from lectern.llm.sketch import anchors, mix, pieces, prefix, sketched
 
@@ -138,6 +139,7 @@ def drop_repeats(docs: DataFrame, size: int = 20, output: str = "kept", id_col:
     itself, so both copies keep the same words.  Null and empty texts have no words; texts shorter than a
     window lose nothing; an empty table gives an empty result; other columns are ignored.
     """
+    bounded(docs.sparkSession, "64m")
     rows = keyed(docs, id_col, text_col)
     marked = mark_windows(rows, size).groupBy("key", "crc").agg(F.collect_list("start").alias("starts"))
     joined = rows.join(marked, ["key", "crc"], "left").select("doc_id", "text", "starts")

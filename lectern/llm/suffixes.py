@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import batches as bounded
 from lectern.llm.common import tidy
 from lectern.llm.sketch import anchors, pieces, prefix, sketched
 from lectern.llm.substring import keyed
@@ -263,6 +264,7 @@ def drop_repeats(docs: DataFrame, length: int = 200, output: str = "kept", id_co
     twice repeats all its strings; null ids are one more id; an empty table gives an empty result; other columns
     are ignored.
     """
+    bounded(docs.sparkSession, "64m")
     rows = keyed(docs, id_col, text_col)
     found = find_repeats(rows, length).groupBy("key", "crc").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     joined = rows.join(found, ["key", "crc"], "left").select("doc_id", "text", "runs")
