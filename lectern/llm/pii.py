@@ -213,17 +213,23 @@ def together(rows: DataFrame, lets: Broadcast) -> DataFrame:
 
 
 def term_counts(rows: DataFrame, lets: Broadcast) -> DataFrame:
-    """(term, n_docs): documents with the term, for all terms that the bitmap lets through; each batch sends a term once."""
+    """(term, n_docs): documents with the term, for all terms that the bitmap lets through; sent once for many texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Lets(lets.value)
+        known, found = Lets(lets.value), Counter()
+
+        def packed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["term", "n"])
+
         for batch in batches:
             if len(known) > MEMORY:
                 known.clear()
-            found: Counter = Counter()
             for text in batch.column(3).to_pylist():
                 found.update(filter(known.__getitem__, terms_of(text)))
-            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["term", "n"])
+            if len(found) > PAIRS:
+                yield packed()
+                found.clear()
+        yield packed()
 
     return rows.mapInArrow(tidy(run), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_docs"))
 

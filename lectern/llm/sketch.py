@@ -29,6 +29,8 @@ DEPTH, RANGE_BITS = 2, 16
 MULTIPLIERS = (0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)
 #: Cells of a row for each value expected, and the most bits that number them.
 SPARSE, MOST_BITS = 8, 30
+#: Values that are sketched together before they are sent.
+AT_ONCE = 1 << 21
 BASE = 0x9E3779B97F4A7C15 | 5
 _random = np.random.Generator(np.random.PCG64(20240229))
 LETTERS = _random.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -112,19 +114,28 @@ def size_of(rows: DataFrame, spacing: int) -> int:
     return min(max(ceil(log2(max(total / spacing, 1) * SPARSE)), RANGE_BITS), MOST_BITS)
 
 
+def together(found: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+    """The same values, AT_ONCE or somewhat more at a time."""
+    held: list[np.ndarray] = []
+    for x in found:
+        held.append(x)
+        if sum(map(len, held)) >= AT_ONCE:
+            yield np.concatenate(held)
+            held = []
+    if sum(map(len, held)):
+        yield np.concatenate(held)
+
+
 def sketched(rows: DataFrame, values: Callable[[pa.RecordBatch], np.ndarray], hot: int, spacing: int) -> Broadcast:
     """Count-min sketch of ``values`` over all batches of ``rows``, as a broadcast ``Seen``.
 
-    Each batch sends its own sketch sparsely, one row for each range of 65,536 cells it hits: the cells as
+    Every so many values, or a partition, send their own sketch sparsely, one row for each range of 65,536 cells it hits: the cells as
     16-bit numbers, once for each hit up to ``hot`` + 1.  A range is then summed in one counter array.
     """
     bits = size_of(rows, spacing)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = values(batch)
-            if not len(found):
-                continue
+        for found in together(map(values, batches)):
             hit, times = np.unique(np.concatenate(cells(found, bits)), return_counts=True)
             hit = np.repeat(hit, np.minimum(times, hot + 1))
             at = hit >> RANGE_BITS
