@@ -13,8 +13,9 @@ languages numbers, whatever the corpus's size.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -36,6 +37,10 @@ EPOCHS, STEPS, RATE, HELD_BACK = 8, 4000, 0.5, 0.2
 REJECTED, CEILING = 0.005, 0.5
 #: Words of a generation that a worker remembers.
 MEMORY = 1 << 16
+#: Characters of texts and of new words that are worked on at a time, times the numbers in a row of scores.
+TEXTS, WORDS = 1 << 21, 1 << 18
+#: CRC-32 by bytes.
+TABLE = np.array([crc32(bytes([255 ^ i])) ^ 0xFF000000 for i in range(256)], np.uint32)
 
 
 def pieces(word: str) -> list[int]:
@@ -47,6 +52,59 @@ def pieces(word: str) -> list[int]:
     return [crc32(p.encode("utf-8", "surrogatepass")) & (BUCKETS - 1) for p in parts]
 
 
+def portions(strings: Iterable[str], most: int) -> Iterator[list[str]]:
+    """The strings in order, in lists of ``most`` characters at most, or of one string."""
+    portion: list[str] = []
+    size = 0
+    for s in strings:
+        if portion and size + len(s) > most:
+            yield portion
+            portion, size = [], 0
+        portion.append(s)
+        size += len(s)
+    if portion:
+        yield portion
+
+
+def read(register: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """CRC-32 registers after the UTF-8 bytes of one more code point each."""
+
+    def byte(old: np.ndarray, value: np.ndarray) -> np.ndarray:
+        return TABLE[(old ^ value) & 255] ^ (old >> 8)
+
+    if points.max() < 0x80:
+        return byte(register, points)
+    lead = np.select([points < 0x80, points < 0x800, points < 0x10000], [points, 0xC0 | points >> 6, 0xE0 | points >> 12], 0xF0 | points >> 18)
+    out = byte(register, lead)
+    for least, shift in ((0x10000, 12), (0x800, 6), (0x80, 0)):
+        at = np.flatnonzero(points >= least)
+        out[at] = byte(out[at], 0x80 | points[at] >> shift & 0x3F)
+    return out
+
+
+def all_pieces(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``pieces`` of all words, one after the other but in another order within a word, and how many each word has."""
+    framed = [f"<{w}>" for w in words]
+    sizes = np.fromiter(map(len, framed), np.int64, len(words))
+    ends = sizes.cumsum()
+    points = np.frombuffer("".join(framed).encode("utf-32-le", "surrogatepass"), np.uint32)
+    # characters from each one to the end of its word
+    left = np.repeat(ends, sizes) - np.arange(len(points))
+    real = np.fromiter((w.isalpha() or any(map(str.isalpha, w)) for w in words), bool, len(words))
+    left[~np.repeat(real, sizes)] = 0
+    padded = np.concatenate([points, np.zeros(3, np.uint32)])
+    found, there = np.zeros((len(points), 4), np.int32), np.zeros((len(points), 4), bool)
+    starts = ends - sizes
+    found[starts, 0] = [crc32(w.encode("utf-8", "surrogatepass")) & (BUCKETS - 1) for w in framed]
+    there[starts, 0] = real
+    register = read(np.full(len(points), 0xFFFFFFFF, np.uint32), points)
+    for k in (1, 2, 3):
+        register = read(register, padded[k : k + len(points)])
+        found[:, k] = ~register & (BUCKETS - 1)
+        there[:, k] = left > k
+    return found[there], np.add.reduceat(there.sum(axis=1), starts)
+
+
 @dataclass
 class Model:
     """``weights``: each bucket's part of the logits, already divided by the temperature."""
@@ -65,38 +123,53 @@ class Scores(dict):
 
     def __init__(self, model: Model):
         self.model = model
-        self.rows = np.zeros((1 << 12, len(model.languages) + 1))
+        self.width = len(model.languages) + 1
+        self.rows = np.zeros((1 << 12, self.width))
         self.old: tuple[dict[str, int], np.ndarray] = {}, self.rows
 
-    def __missing__(self, word: str) -> int:
-        n = self[word] = len(self)
-        if n == len(self.rows):
+    def place(self, rows: np.ndarray, words: list[str]) -> None:
+        n = len(self)
+        while n + len(words) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        if (before := self.old[0].get(word)) is not None:
-            self.rows[n] = self.old[1][before]
-            return n
-        found = pieces(word)
-        self.rows[n, :-1] = self.model.weights[found].sum(axis=0)
-        self.rows[n, -1] = len(found)
-        return n
-
-    def score(self, text: str | None) -> tuple[str, float]:
+        self.rows[n : n + len(words)] = rows
+        self.update(zip(words, range(n, n + len(words)), strict=True))
+
+    def learn(self, words: list[str]) -> None:
+        """Rows of new words, from the generation before or from their pieces."""
+        places, rows = self.old
+        before = [w for w in words if w in places]
+        self.place(rows[[places[w] for w in before]], before)
+        for some in portions((w for w in words if w not in places), WORDS // self.width):
+            found, sizes = all_pieces(some)
+            made = np.zeros((len(some), self.width))
+            real = np.flatnonzero(sizes)
+            if len(real):
+                made[real, :-1] = np.add.reduceat(self.model.weights[found], (sizes.cumsum() - sizes)[real], axis=0)
+            made[:, -1] = sizes
+            self.place(made, some)
+
+    def score(self, texts: Iterable[str | None]) -> list[tuple[str, float]]:
+        """(language, score) of each text."""
+        return [x for some in portions((t or "" for t in texts), TEXTS // self.width) for x in self.scored(some)]
+
+    def scored(self, texts: list[str]) -> Iterator[tuple[str, float]]:
         if len(self) > MEMORY:
             self.old = dict(self), self.rows[: len(self)].copy()
             self.clear()
-        words = WORD.findall((text or "").lower())
-        total = self.rows_of(words).sum(axis=0) if words else [0]
-        if not total[-1]:
-            return UNKNOWN, 0.0
-        logits = total[:-1] / total[-1] + self.model.bias
-        p = np.exp(logits - logits.max())
-        p /= p.sum()
-        best = int(p.argmax())
-        return self.model.languages[best], float(p[best])
-
-    def rows_of(self, words: list[str]) -> np.ndarray:
-        places = list(map(self.__getitem__, words))
-        return self.rows[places]
+        found = [WORD.findall(t.lower()) for t in texts]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self.learn([w for w in set(chain.from_iterable(found)) if w not in self])
+        places = np.fromiter(map(self.__getitem__, chain.from_iterable(found)), np.int64, sizes.sum())
+        total = np.zeros((len(texts), self.width))
+        spoken = np.flatnonzero(sizes)
+        if len(spoken):
+            total[spoken] = np.add.reduceat(self.rows[places], (sizes.cumsum() - sizes)[spoken], axis=0)
+        logits = total[:, :-1] / np.maximum(total[:, -1:], 1) + self.model.bias
+        p = np.exp(logits - logits.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        best = p.argmax(axis=1)
+        for k, lang in enumerate(best):
+            yield (self.model.languages[lang], float(p[k, lang])) if total[k, -1] else (UNKNOWN, 0.0)
 
 
 def quotas(counts: dict[str, int], size: int) -> dict[str, int]:
@@ -132,9 +205,9 @@ def sampled(labelled: DataFrame, size: int) -> list[tuple[str, np.ndarray, np.nd
         for batch in batches:
             langs, ids, shares = [], [], []
             for lang, text in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
-                found = [b for w in WORD.findall(text.lower()) for b in pieces(w)]
-                if found:
-                    b, n = np.unique(np.array(found, np.int32), return_counts=True)
+                found = [all_pieces(some)[0] for some in portions(WORD.findall(text.lower()), WORDS)]
+                if sum(map(len, found)):
+                    b, n = np.unique(np.concatenate(found), return_counts=True)
                     langs.append(lang), ids.append(b), shares.append((n / n.sum()).astype(np.float32))
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(ids, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))], ["lang", "ids", "shares"])
 
@@ -214,7 +287,8 @@ def identify(docs: DataFrame, model: Model | None, keep: bool = False, id_col: s
     def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = Scores(shared.value) if shared.value else None
         for batch in given:
-            found = [scores.score(t) if scores is not None else (UNKNOWN, 0.0) for t in (x.as_py() for x in batch.column(len(passed)))]
+            texts = (x.as_py() for x in batch.column(len(passed)))
+            found = scores.score(texts) if scores is not None else [(UNKNOWN, 0.0) for _ in texts]
             limit = shared.value.threshold if shared.value else 1.0
             columns = [batch.column(i) for i in range(len(passed))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[0] == UNKNOWN or x[1] < limit for x in found], pa.bool_())], [*passed, "lang_pred", "score", "rejected"])

@@ -315,6 +315,42 @@ def test_language_samples_every_language():
     assert language.quotas({}, 10) == {} and language.quotas({"a": 3}, 10) == {"a": 3}
 
 
+def odd_words(n):
+    rng, pool = random.Random(6), "abcxyz äöüßñİŞ½²Ⅷ٣ 汉字кирилл𝒜𝕏🍎_-1 \ud800"
+    return [w for _ in range(n) for w in language.WORD.findall("".join(rng.choice(pool) for _ in range(rng.randrange(1, 25))).lower())]
+
+
+def test_language_hashes_many_words_as_one_by_one():
+    words = [*odd_words(3000), "x" * 50_000, "½"]
+    found, sizes = language.all_pieces(words)
+    assert [sorted(x) for x in np.split(found, sizes.cumsum()[:-1])] == [sorted(language.pieces(w)) for w in words]
+
+
+def test_language_scores_do_not_depend_on_the_texts_beside(monkeypatch):
+    """Equal to the scores from each word's pieces, whatever is forgotten between; words are hashed together, not one by one."""
+    rng = np.random.default_rng(3)
+    model = language.Model(["aa", "bb", "cc"], rng.normal(size=(language.BUCKETS, 3)).astype(np.float32), rng.normal(size=3), 0.5)
+    words, mixed = odd_words(2000), random.Random(8)
+    texts = [" ".join(mixed.choices(words, k=mixed.randrange(40))) for _ in range(600)] + [None, "", "12 ½ -", "x" * 9000] * 2
+    want = []
+    for t in texts:
+        found = [b for w in language.WORD.findall((t or "").lower()) for b in language.pieces(w)]
+        z = model.weights[found].astype(float).sum(axis=0) / max(1, len(found)) + model.bias
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        want.append((model.languages[p.argmax()], p.max()) if found else ("und", 0.0))
+    monkeypatch.setattr(language, "MEMORY", 300)
+    monkeypatch.setattr(language, "TEXTS", 8000)
+    calls, together = [], language.all_pieces
+    monkeypatch.setattr(language, "all_pieces", lambda some: calls.append(len(some)) or together(some))
+    got = language.Scores(model).score(texts)
+    assert [x[0] for x in got] == [x[0] for x in want]
+    assert np.allclose([x[1] for x in got], [x[1] for x in want], atol=1e-5)
+    assert sum(calls) > 10 * len(calls)
+    order = mixed.sample(range(len(texts)), len(texts))
+    again = language.Scores(model).score([texts[k] for k in order])
+    assert all(again[n] == got[k] for n, k in enumerate(order))
+
+
 def test_bpe_remembers_a_bounded_number_of_bytes(monkeypatch):
     monkeypatch.setattr(bpe, "BYTES", 10_000)
     coder = bpe.Codec(queries.vocabulary())
