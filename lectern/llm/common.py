@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
@@ -77,6 +78,12 @@ def near(df: DataFrame, most: int = 1 << 16) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def trim() -> None:
+    """Give memory back that the C library holds in reserve, where it can."""
+    if give := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        give(0)
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
     """``run``, giving memory that Arrow holds in reserve back after each batch: workers live on from task to task."""
 

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import batches as bounded
-from lectern.llm.common import tidy
+from lectern.llm.common import tidy, trim
 from lectern.llm.sketch import anchors, pieces, prefix, sketched
 from lectern.llm.substring import keyed
 
@@ -37,6 +38,8 @@ ANCHOR = 64
 HOT = 1000
 #: Bytes whose suffixes are refined together.
 BLOCK = 1 << 21
+#: Bytes of runs (with ENTRY for each one) that a worker holds, to find copies, before it sends them, PIECE rows at a time.
+HELD, ENTRY, PIECE = 1 << 26, 256, 1 << 13
 
 
 def refine(ids: np.ndarray, places: np.ndarray, offset: int) -> None:
@@ -44,18 +47,18 @@ def refine(ids: np.ndarray, places: np.ndarray, offset: int) -> None:
 
     An identifier is the rank of its bucket's first suffix, so it stays below that of the next bucket.
     """
-    first, second = ids[places], ids[places + offset]
-    order = np.argsort(first << 32 | second)
-    a, b = first[order], second[order]
-    starts = np.ones(len(order), bool)
-    starts[1:] = a[1:] != a[:-1]
-    splits = starts.copy()
-    splits[1:] |= b[1:] != b[:-1]
+    both = ids[places] << 32
+    both |= ids[places + offset]
+    order = np.argsort(both)
+    both = both[order]
+    splits, starts = np.ones((2, len(order)), bool)
+    splits[1:] = both[1:] != both[:-1]
+    both >>= 32
+    starts[1:] = both[1:] != both[:-1]
     at = np.arange(len(order))
-    within = np.maximum.accumulate(np.where(splits, at, 0)) - np.maximum.accumulate(np.where(starts, at, 0))
-    new = np.empty(len(order), ids.dtype)
-    new[order] = a + within
-    ids[places] = new
+    both += np.maximum.accumulate(np.where(splits, at, 0))
+    both -= np.maximum.accumulate(np.where(starts, at, 0))
+    ids[places[order]] = both
 
 
 def classes(data: np.ndarray, room: np.ndarray, length: int) -> np.ndarray:
@@ -64,28 +67,30 @@ def classes(data: np.ndarray, room: np.ndarray, length: int) -> np.ndarray:
     Two such suffixes have equal identifiers exactly if their first ``length`` bytes are equal.
     """
     n = len(data)
-    out = np.full(n, -1, np.int64)
     depth = min(8, length)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
     grams = np.zeros(n, np.uint64)
     for k in range(depth):
-        grams = grams << np.uint64(8) | padded[k : k + n]
+        grams <<= np.uint64(8)
+        grams |= padded[k : k + n]
     places = np.flatnonzero(room >= depth)
-    ids = np.full(n, -1, np.int64)
-    order = np.argsort(grams[places])
-    sorted_ = grams[places][order]
+    grams = grams[places]
+    order = np.argsort(grams)
+    grams = grams[order]
     starts = np.ones(len(order), bool)
-    starts[1:] = sorted_[1:] != sorted_[:-1]
+    starts[1:] = grams[1:] != grams[:-1]
+    del grams
+    ids = np.full(n, -1, np.int64)
     ids[places[order]] = np.maximum.accumulate(np.where(starts, np.arange(len(order)), 0))
+    del order
     while depth < length:
         step = min(depth, length - depth)
         places = places[room[places] >= depth + step]
         kept = ids[places]
         refine(ids, places[np.bincount(kept, minlength=n)[kept] > 1], step)
         depth += step
-    final = places[room[places] >= length]
-    out[final] = ids[final]
-    return out
+    ids[room < length] = -1
+    return ids
 
 
 def repeated_starts(data: bytes, length: int) -> np.ndarray:
@@ -134,11 +139,23 @@ def find_repeats(rows: DataFrame, length: int) -> DataFrame:
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
+        # run, or digest of a string -> [bucket, key, place, whether it occurs again while it is held]
+        met: dict[bytes, list] = {}
+        whole: list[tuple[int, int, int]] = []
+        held = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            """The first of several equal runs stays as a witness; all of them are known to be repeated."""
+            once = ((x[0], run, x[1], x[2], x[3]) for run, x in met.items())
+            known = ((key ^ place, n.to_bytes(4, "little"), key, place, None) for key, place, n in whole)
+            made = chain(once, known)
+            while piece := list(islice(made, PIECE)):
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*piece, strict=True), RUNS.types, strict=True)], schema=RUNS)
+            met.clear()
+            whole.clear()
+
         for batch in batches:
             keys, crcs = batch.column(0).to_numpy().tolist(), batch.column(1).to_numpy().tolist()
-            # run, or digest of a string -> [bucket, key, place, whether it occurs again in this batch]
-            met: dict[bytes, list] = {}
-            whole: list[tuple[int, int, int]] = []
             for n, text in enumerate(batch.column(3).to_pylist()):
                 raw = text.encode("utf-8")
                 if len(raw) < length:
@@ -160,6 +177,7 @@ def find_repeats(rows: DataFrame, length: int) -> DataFrame:
                         token = d if length > len(d) else string
                         if (old := met.get(token)) is None:
                             met[token] = [int.from_bytes(d[:8], "little", signed=True), key, (f + k) << 32 | crc, False]
+                            held += ENTRY
                             continue
                         known[k] = True
                         if not old[3]:
@@ -171,18 +189,17 @@ def find_repeats(rows: DataFrame, length: int) -> DataFrame:
                     run = raw[f : la + length]
                     if (old := met.get(run)) is None:
                         met[run] = [b, key, f << 32 | crc, False]
+                        held += len(run) + ENTRY
                     else:
                         if not old[3]:
                             whole.append((old[1], old[2], la - f + 1))
                             old[3] = True
                         whole.append((key, f << 32 | crc, la - f + 1))
-            # the first of several equal runs stays as a witness; all of them are known to be repeated
-            buckets = [x[0] for x in met.values()] + [x[0] ^ x[1] for x in whole]
-            body = [*met, *(n.to_bytes(4, "little") for _, _, n in whole)]
-            place = [x[1:3] for x in met.values()] + [[x[0], x[1]] for x in whole]
-            copies = [True if x[3] else False for x in met.values()] + [None] * len(whole)
-            if body:
-                yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(body, pa.binary()), pa.array([x[0] for x in place], pa.int64()), pa.array([x[1] for x in place], pa.int64()), pa.array(copies, pa.bool_())], schema=RUNS)
+                if held + ENTRY * len(whole) > HELD:
+                    yield from flush()
+                    held = 0
+        yield from flush()
+        trim()
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Batches come ordered by bucket; whole buckets are refined together, some BLOCK bytes at a time."""
@@ -205,7 +222,8 @@ def find_repeats(rows: DataFrame, length: int) -> DataFrame:
             data = np.frombuffer(b"".join(run for run, _ in all_runs), np.uint8)
             lengths = np.array([len(run) for run, _ in all_runs], dtype=np.int64)
             ends = np.cumsum(lengths)
-            room = np.repeat(ends, lengths) - np.arange(len(data))
+            room = np.repeat(ends, lengths)
+            room -= np.arange(len(data))
             found = classes(data, room, length)
             starts = found >= 0
             times = np.bincount(found[starts], minlength=len(data) + 1)
@@ -246,6 +264,7 @@ def find_repeats(rows: DataFrame, length: int) -> DataFrame:
             yield frame(done)
         close()
         yield sort_out()
+        trim()
 
     sent = rows.mapInArrow(tidy(runs), "bucket long, run binary, key long, place long, copies boolean")
     met = sent.repartition("bucket").sortWithinPartitions("bucket")
@@ -264,7 +283,7 @@ def drop_repeats(docs: DataFrame, length: int = 200, output: str = "kept", id_co
     twice repeats all its strings; null ids are one more id; an empty table gives an empty result; other columns
     are ignored.
     """
-    bounded(docs.sparkSession, "64m")
+    bounded(docs.sparkSession)
     rows = keyed(docs, id_col, text_col)
     found = find_repeats(rows, length).groupBy("key", "crc").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     joined = rows.join(found, ["key", "crc"], "left").select("doc_id", "text", "runs")

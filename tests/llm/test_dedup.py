@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -87,6 +88,27 @@ def test_bucket_pointer_refinement():
             assert suffixes.repeated_starts(data, length).tolist() == want
 
 
+def test_refinement_takes_little_memory():
+    data = np.random.default_rng(1).integers(97, 99, 1 << 18, dtype=np.uint8)
+    room = len(data) - np.arange(len(data))
+    tracemalloc.start()
+    suffixes.classes(data, room, 200)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak <= 100 * len(data)
+
+
+def test_suffixes_held_runs_are_sent_in_pieces(spark, monkeypatch):
+    for name, value in (("HELD", 1 << 14), ("PIECE", 7), ("HOT", 30)):
+        monkeypatch.setattr(suffixes, name, value)
+    text = prose(6, 300)
+    docs = [(k, text[50 * (k % 5) :] + f" {k} " + prose(k % 9, 60)) for k in range(60)]
+    got = suffixes.drop_repeats(table(spark, docs).coalesce(1), 50, "kept_sha256").collect()
+    assert by_id(got, *COLUMNS1) == brute_bytes(docs, 50)
+    # a batch on its way to a worker takes memory on both sides
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "4m"
+
+
 @pytest.mark.parametrize("size", [2, 3, 5])
 def test_words_short_windows(spark, size):
     docs = random_texts(size, 80, "aab  \t", 60)
