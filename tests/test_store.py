@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from lectern.operators import chunking, enrich, sequence, tables, validate
 from lectern.plans import export
+from lectern.plans.catalog import QUERIES
 from lectern.plans.catalog_documents import MAKERS
 from lectern.plans.quads import QuadStore, to_quads
+from lectern.plans.registry import table
 from lectern.sources import delimited, detect, office
 from lectern.sources.reader import convert, parse_one, read_files
 from lectern.storage import shared_dir, stored
@@ -41,6 +43,11 @@ def test_quad_store(spark):
         s.serialize("other")
 
 
+def test_optional_then_join_takes_every_customer(spark, sf):
+    rows = QUERIES["sparql_optional_then_join"](spark, sf)
+    assert rows.select("c").distinct().count() == table(spark, sf, "customer").count()
+
+
 def test_equal_files_are_one_document(spark):
     page = MAKERS["html"][1](1, "EUROPE", NATIONS)
     f = frames(spark, [("a.html", page), ("b.html", page), ("c.html", page + b"<p>more</p>")])
