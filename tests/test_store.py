@@ -48,6 +48,11 @@ def test_optional_then_join_takes_every_customer(spark, sf):
     assert rows.select("c").distinct().count() == table(spark, sf, "customer").count()
 
 
+def test_products_of_small_parts_are_broadcast(spark, sf):
+    plan = QUERIES["sparql_optional_then_join"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin BuildLeft" in plan
+
+
 def test_equal_files_are_one_document(spark):
     page = MAKERS["html"][1](1, "EUROPE", NATIONS)
     f = frames(spark, [("a.html", page), ("b.html", page), ("c.html", page + b"<p>more</p>")])
