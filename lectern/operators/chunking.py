@@ -32,6 +32,8 @@ class Options:
     merge_list_items: bool = True
     include_headings: bool = True
     chars_per_token: float = 4.0
+    #: Without it a text beyond the budget stays whole.
+    cut: bool = True
 
     def tokens(self, text: str) -> int:
         size = len(text.encode("utf-8"))
@@ -67,7 +69,7 @@ def candidates(f: DocFrames, o: Options) -> DataFrame:
 def split(text: str, o: Options) -> list[str]:
     """Pieces of at most the budget: cut at the last newline in reach, else the last space, else hard; neighbours overlap."""
     most, over = max(o.chars(o.max_tokens), 1), o.chars(o.overlap)
-    if o.tokens(text) <= o.max_tokens:
+    if not o.cut or o.tokens(text) <= o.max_tokens:
         return [text]
     out, at = [], 0
     while at < len(text):

@@ -3,12 +3,13 @@
 import json
 import struct
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import chunking, enrich, sequence, tables, validate
 from lectern.plans import export
-from lectern.plans.catalog import QUERIES
+from lectern.plans.catalog import ORACLES, QUERIES
 from lectern.plans.catalog_documents import MAKERS
 from lectern.plans.quads import QuadStore, to_quads
 from lectern.plans.registry import table
@@ -104,6 +105,15 @@ def test_streaming_ingest(spark, tmp_path):
     assert spark.read.parquet(f"{args[1]}/cells").count() == 6
 
 
+def test_merged_chunks_are_not_cut(spark, tmp_path):
+    said = [(0, "system", "Rules"), (1, "user", "word " * 600), (2, "assistant", "yes"), (3, "user", "no")]
+    spark.createDataFrame([(1, *x) for x in said], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    got = QUERIES["chunks_merged"](spark, str(tmp_path)).select("doc", "chunk_index", "text").collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(ORACLES["chunks_merged"]).fetchall()) and len(got) == 3
+
+
 def test_markdown_cells_with_bars(spark):
     f = frames(spark, [("a.csv", b"h;w\na|b;x\n\xc3\xa9;y\n")])
     lines = export.markdown(f).collect()[0]["text"].splitlines()
