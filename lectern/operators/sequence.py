@@ -69,10 +69,13 @@ def upper_median(values: Column) -> Column:
 
 
 def font_runs(words: DataFrame, body: float | None = None) -> DataFrame:
-    """Headings from runs of words of one size above the body size (the upper median of the page)."""
+    """Headings from runs of words of one size above the body size (the upper median of the page).
+
+    Words at one place go by their text, in runs as in what is said, so that the order of the input does not matter.
+    """
     from lectern.functions.text import font_heading_level
 
-    w = Window.partitionBy("doc", "page").orderBy("top", "left")
+    w = Window.partitionBy("doc", "page").orderBy("top", "left", "text", "font_size")
     sizes = F.collect_list("font_size").over(Window.partitionBy("doc", "page"))
     median = F.lit(body) if body is not None else upper_median(sizes)
     marked = words.withColumn("_body", median).withColumn("_new", F.coalesce(F.col("font_size") != F.lag("font_size").over(w), F.lit(True)).cast("int"))

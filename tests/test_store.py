@@ -114,6 +114,13 @@ def test_merged_chunks_are_not_cut(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(con.execute(ORACLES["chunks_merged"]).fetchall()) and len(got) == 3
 
 
+def test_font_runs_of_words_at_one_place(spark):
+    words = [("d", 1, 0.0, 0.0, "a", 20.0), ("d", 1, 0.0, 0.0, "b", 30.0), ("d", 1, 0.0, 0.0, "c", 20.0), *(("d", 1, 9.0, float(k), "x", 10.0) for k in range(5))]
+    made = lambda rows: spark.createDataFrame(rows, "doc string, page int, top double, left double, text string, font_size double").coalesce(1)
+    found = [sorted((r["run"], r["text"]) for r in sequence.font_runs(made(rows)).collect()) for rows in (words, [words[k] for k in (2, 0, 1, 3, 4, 5, 6, 7)])]
+    assert found[0] == found[1] == [(1, "a"), (2, "b"), (3, "c")]
+
+
 def test_markdown_cells_with_bars(spark):
     f = frames(spark, [("a.csv", b"h;w\na|b;x\n\xc3\xa9;y\n")])
     lines = export.markdown(f).collect()[0]["text"].splitlines()
